@@ -7,17 +7,20 @@ n - ceil(t n) + 1 of each. Every order used here puts shingles that are
 frequent in the corpus last (frequency classes from a table of fixed size that
 counts all documents) and orders the rest by a hash of its own. Candidates of
 the first order are kept only if they also share prefix shingles under every
-other order and if their sizes allow the similarity; then they are verified on
-the whole sets.
+other order, as many as the similarity asks for, and if their sizes allow it;
+then they are verified on the whole sets.
 
 Large groups are never expanded into pairs. Equal sets are one node. Postings
-are range-partitioned by shingle and node, so that a hot shingle spreads over
-many tasks, and streamed: each node becomes a candidate with the first one of
-its run only. Components of the verified links are found, and only what then
-still lies in different components under one prefix shingle is compared in a
-second turn: those outside the shingle's largest component against all. After
-it every pair that shares a prefix shingle is either compared or already
-connected, so no component is missed.
+are range-partitioned by shingle, place in the prefix and node, so that a hot
+shingle spreads over many tasks, and streamed: each node becomes a candidate
+with the first one of its run only, the one with the fewest rarer shingles and
+so the likeliest original of a group of copies. Components of the verified
+links are found, and only what then still lies in different components under
+one prefix shingle is compared in a second turn: those outside the shingle's
+largest component against all. Places count: sets of nx and ny shingles that
+must share s of them share one among the first nx - s + 1 and ny - s + 1. After
+this turn every pair that may link is either compared or already connected, so
+no component is missed.
 
 Definitions for odd rows. Null, empty and blank texts have an empty set and
 link with nothing. A null id never links. Rows with one id are one node,
@@ -39,7 +42,7 @@ from .textcore import SPACE, Spans, chunks, mix, signed, whole, windows
 
 _ORDERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: log2 of the buckets of the frequency table, of the blocks it is added up in, and of the id slots of a pass.
-FREQ_BITS, BLOCK_BITS, SLOT_BITS = 20, 12, 22
+FREQ_BITS, BLOCK_BITS, SLOT_BITS = 21, 12, 22
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -80,7 +83,7 @@ def _count(k: int):
                 rows.append((batch.column(0)[row].as_py(), len(s), *(fingerprint(s) if len(s) else (0, 0))))
                 slots.append(s >> np.uint64(64 - FREQ_BITS))
                 held += len(s)
-                if held > 1 << 18:
+                if held > 1 << 20:
                     table += np.bincount(np.concatenate(slots).view(np.int64), minlength=len(table)).astype(np.uint32)
                     slots, held = [], 0
             if slots:
@@ -106,17 +109,17 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_classes(blocks: DataFrame) -> np.ndarray:
-    """A class for each of the 2**FREQ_BITS buckets; 0 for usual counts, one more for each factor of 1.4 above them."""
+    """A class for each of the 2**FREQ_BITS buckets; 0 for usual counts, one more for each 4 % above them, up to 255."""
     table = np.zeros(1 << FREQ_BITS, np.float64)
     size = 1 << BLOCK_BITS
     # the table's size is fixed, whatever the corpus; partial tables are added up in a stream
     for block, counts in blocks.repartition("block").mapInArrow(_add, "block int, counts binary").collect():
         table[block * size : (block + 1) * size] += np.frombuffer(counts, np.uint64)
     usual = max(1.0, float(np.median(table)))
-    return np.clip(2 * np.log2(np.maximum(table, usual) / usual), 0, 127).astype(np.uint8)
+    return np.clip(16 * np.log2(np.maximum(table, usual) / usual), 0, 255).astype(np.uint8)
 
 
-_SKETCH = "doc_id long, n long, f1 long, f2 long, p1 array<long>, p2 array<int>, p3 array<int>"
+_SKETCH = "doc_id long, n long, f1 long, f2 long, slack int, p1 array<long>, p2 array<int>, p3 array<int>"
 
 
 def _sketch(k: int, percent: int, shared):
@@ -137,55 +140,74 @@ def _sketch(k: int, percent: int, shared):
                 own = []
                 for odd in _ORDERS:
                     key = first | (mix(s * odd) >> np.uint64(8))
-                    own.append(s[np.argpartition(key, p - 1)[:p]])
-                rows.append((doc_id, len(s), *same, signed(own[0]), own[1].astype(np.uint32).view(np.int32), own[2].astype(np.uint32).view(np.int32)))
+                    least = np.argpartition(key, p - 1)[:p]
+                    own.append(s[least] if own else s[least[np.argsort(key[least])]])
+                short = [x.astype(np.uint32).view(np.int32) for x in own[1:]]
+                slack = max(p - len(np.unique(x)) for x in short)  # shingles whose short forms coincide
+                rows.append((doc_id, len(s), *same, slack, signed(own[0]), *short))
             if rows:
-                kinds = [*[pa.int64()] * 4, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n", "f1", "f2", "p1", "p2", "p3"])
+                kinds = [*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n", "f1", "f2", "slack", "p1", "p2", "p3"])
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted postings (token, node) to rows (token, node, pivot, edge) of runs of two nodes or more.
+def shared_needed(nx, ny, percent: int):
+    """Shingles that sets of these sizes must share (numbers, arrays or columns)."""
+    return (percent * (nx + ny) + 99 + percent) // (100 + percent)
 
-    pivot is the first node of the token in this partition. The pivots of the
-    first and the last run also come as rows with edge, since those runs may go
-    on in the next partition.
+
+def _runs(percent: int):
+    """Postings (token, node, place, n), sorted by token, place and node, to rows (token, node, place, n, pivot, pair, edge) of runs of two nodes or more.
+
+    pivot is the first node of the token in this partition, pair whether the
+    places allow a link with it. The pivots of the first and the last run
+    also come as rows with edge, since those runs may go on in the next partition.
     """
+    names = ["token", "node", "place", "n", "pivot", "pair", "edge"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
 
-    def rows(token, node, pivot, edge):
-        return pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(node, pa.int64()), pa.array(pivot, pa.int64()), pa.array(edge, pa.bool_())], names=["token", "node", "pivot", "edge"])
+    def rows(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    last = None  # (token, pivot, whether the pivot's own row is out)
-    first = True
-    for batch in batches:
-        token, node = (np.asarray(batch.column(i)) for i in (0, 1))
-        if not len(token):
-            continue
-        if first:
-            yield rows(token[:1], node[:1], node[:1], [True])
-            first = False
-        new = np.empty(len(token), bool)
-        new[0] = last is None or token[0] != last[0]
-        new[1:] = token[1:] != token[:-1]
-        run = np.cumsum(new) - 1 + (not new[0])
-        starts = np.flatnonzero(new)
-        pivots, lengths = node[starts], np.bincount(run)
-        if not new[0]:
-            pivots = np.concatenate([[last[1]], pivots])
-            if not last[2]:
-                yield rows([last[0]], [last[1]], [last[1]], [False])
-        keep = lengths[run] >= 2
-        if not new[0]:
-            keep |= run == 0
-        # the last run's pivot waits for a second node if it stands alone so far
-        out = not new[0] or lengths[0] >= 2 if len(pivots) == 1 else lengths[-1] >= 2
-        last = (token[-1], pivots[-1], bool(out))
-        if keep.any():
-            yield rows(token[keep], node[keep], pivots[run[keep]], np.zeros(int(keep.sum()), bool))
-    if last is not None:
-        yield rows([last[0]], [last[1]], [last[1]], [True])
+    def alone(token, node, place, n, edge):
+        return rows([token], [node], [place], [n], [node], [False], [edge])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the open run: (token, pivot, its place, its n), and whether the pivot's own row is out
+        out = False
+        for batch in batches:
+            token, node, place, n = (np.asarray(batch.column(i)) for i in range(4))
+            if not len(token):
+                continue
+            if last is None:
+                yield alone(token[0], node[0], place[0], n[0], True)
+            new = np.empty(len(token), bool)
+            new[0] = last is None or token[0] != last[0]
+            new[1:] = token[1:] != token[:-1]
+            starts = np.flatnonzero(new)
+            pivots = [x[starts] for x in (token, node, place, n)]
+            of = np.cumsum(new) - 1
+            lengths = np.bincount(of + (not new[0]))
+            if not new[0]:  # the first rows go on with the open run
+                of = of + 1
+                pivots = [np.concatenate([[x], y]) for x, y in zip(last, pivots, strict=True)]
+                if not out:
+                    yield alone(*last, False)
+                lengths[0] += 1
+            keep = lengths[of] >= 2
+            out = bool(lengths[-1] >= 2)
+            last = tuple(x[-1] for x in pivots)
+            if keep.any():
+                of = of[keep]
+                t, x, px, nx = (c[keep] for c in (token, node, place, n))
+                y, py, ny = pivots[1][of], pivots[2][of], pivots[3][of]
+                share = shared_needed(nx, ny, percent)
+                yield rows(t, x, px, nx, y, (x != y) & (px <= nx - share) & (py <= ny - share), np.zeros(len(t), bool))
+        if last is not None:
+            yield alone(*last, True)
+
+    return run
 
 
 def _sets(k: int, shared):
@@ -243,27 +265,31 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = counted.where("block is null").select("doc_id", "n", "f1", "f2")
     sketch = materialise(texts.mapInArrow(_sketch(k, percent, classes), _SKETCH), "sketch")
     sets = materialise(sketch.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node")), "nodes")
-    standing = materialise(sketch.select("doc_id", "f1", "f2", "n").join(sets, ["f1", "f2", "n"]).select("doc_id", "node"), "standing")
+    standing = materialise(sketch.select("doc_id", "f1", "f2", "n").join(sets, ["f1", "f2", "n"]).select("doc_id", "node", "n"), "standing")
     # candidates of the first order: each posting with the first of its run
-    postings = sketch.select(F.explode("p1").alias("token"), "doc_id").repartitionByRange(parts, "token", "doc_id").sortWithinPartitions("token", "doc_id")
-    live = materialise(postings.mapInArrow(_runs, "token long, doc_id long, pivot long, edge boolean"), "postings")
-    edge = live.where("edge")
+    postings = sketch.select(F.posexplode("p1").alias("place", "token"), "doc_id", "n").select("token", "doc_id", "place", "n")
+    postings = postings.repartitionByRange(parts, "token", "place", "doc_id").sortWithinPartitions("token", "place", "doc_id")
+    live = materialise(postings.mapInArrow(_runs(percent), "token long, doc_id long, place int, n long, pivot long, pair boolean, edge boolean"), "postings")
+    edge = live.where("edge").select("token", "pivot")
     meet = edge.groupBy("token").agg(F.min("pivot").alias("least"))
-    pairs = live.where("not edge and doc_id <> pivot").select("doc_id", "pivot").distinct().unionByName(edge.join(meet, "token").where("pivot <> least").select(F.col("pivot").alias("doc_id"), F.col("least").alias("pivot")))
+    pairs = live.where("pair").select("doc_id", "pivot").distinct().unionByName(edge.join(meet, "token").where("pivot <> least").select(F.col("pivot").alias("doc_id"), F.col("least").alias("pivot")))
     one, two = standing.select("doc_id", F.col("node").alias("x")), standing.select(F.col("doc_id").alias("pivot"), F.col("node").alias("y"))
     pairs = pairs.join(one, "doc_id").join(two, "pivot").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = materialise(pairs, "candidates")
     links = _verified(pairs, sketch, texts, k, percent)
     # second turn: what shares a prefix shingle across components
     comp = components(links)
-    tokens = live.where("not edge").select("token", "doc_id").join(standing, "doc_id").select("token", "node").distinct()
-    tokens = tokens.join(comp, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+    tokens = live.select("token", "doc_id", "place").join(standing, "doc_id").select("token", "node", "place", "n").distinct()
+    tokens = tokens.join(comp, "node", "left").select("token", "node", "place", "n", F.coalesce("component", "node").alias("component"))
     tokens = materialise(tokens, "tokens")
     sizes = tokens.groupBy("token", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
+    main = sizes.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("c").alias("nodes")).where("parts > 1 and nodes > 2").select("token", "main")
     apart = tokens.join(main, "token")
-    outside = apart.where("component <> main").select("token", F.col("node").alias("x"), F.col("component").alias("cx"))
-    more = outside.join(apart.select("token", F.col("node").alias("y"), F.col("component").alias("cy")), "token").where("cx <> cy")
+    outside = apart.where("component <> main").select("token", F.col("node").alias("x"), F.col("place").alias("px"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+    others = apart.select("token", F.col("node").alias("y"), F.col("place").alias("py"), F.col("n").alias("ny"), F.col("component").alias("cy"))
+    share = F.expr(f"({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
+    near = (F.col("cx") != F.col("cy")) & (F.col("px") <= F.col("nx") - share) & (F.col("py") <= F.col("ny") - share)
+    more = outside.join(others, "token").where(near)
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     late = _verified(materialise(more, "candidates"), sketch, texts, k, percent)
     links = links.unionByName(late)
@@ -284,9 +310,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _verified(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, shared, joined) of the candidate pairs that the sizes and the other orders allow and the whole sets confirm."""
     spark = pairs.sparkSession
-    of = sketch.select("doc_id", "n", "p2", "p3")
-    kept = pairs.join(of.toDF("a", "na", "a2", "a3"), "a").join(of.toDF("b", "nb", "b2", "b3"), "b")
-    kept = kept.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3"))
+    of = sketch.select("doc_id", "n", "slack", "p2", "p3")
+    kept = pairs.join(of.toDF("a", "na", "sa", "a2", "a3"), "a").join(of.toDF("b", "nb", "sb", "b2", "b3"), "b")
+    # Let x be the set whose prefix ends first in an order. All that its prefix shares with y lies in y's prefix, and
+    # the rest of x holds n - prefix(n) shingles; together they must reach the overlap that the similarity asks for.
+    need = F.expr(f"greatest(1, ({percent} * (na + nb) + {99 + percent}) div {100 + percent} - (({percent} * greatest(na, nb) + 99) div 100 - 1) - sa - sb)")
+    kept = kept.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.size(F.array_intersect("a2", "b2")) >= need) & (F.size(F.array_intersect("a3", "b3")) >= need))
     kept = materialise(kept.select("a", "b"), "kept")
     if kept.isEmpty():
         return spark.createDataFrame([], "a long, b long, shared long, joined long")
