@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +26,16 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Modules whose import registers queries.
+MODULES = ("plans.tpch", "operators.sequence", "operators.grouping", "operators.ordered")
+
+
 def queries() -> dict[str, Query]:
+    for m in MODULES:
+        import_module(f"{__package__}.{m}")
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
