@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules whose import registers queries.
-MODULES = ("plans.tpch", "operators.sequence", "operators.grouping", "operators.ordered")
+MODULES = ("plans.tpch", "operators.sequence", "operators.grouping", "operators.ordered", "operators.spatial", "operators.graph", "operators.analytics")
 
 
 def queries() -> dict[str, Query]:
