@@ -54,7 +54,7 @@ def read_dimacs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """Coordinates from 1 with values; the size line is the first that is no comment, known by the shared file offset order of one file."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.filter(F.split("value", "\n"), lambda x: (x != "") & ~F.startswith(x, F.lit("%"))), 2, 2147483647)).alias("line"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.filter(F.split("value", "\n"), lambda x: (x != "") & ~F.startswith(x, F.lit("%"))), 2, 1 << 30)).alias("line"))
     f = rows.select(F.split(F.trim("line"), r"\s+").alias("f"))
     return f.select((_n(0) - 1).alias("src"), (_n(1) - 1).alias("dst"), F.get("f", F.lit(2)).cast("double").alias("w"))
 
@@ -186,7 +186,7 @@ def read_road(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_sequence(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
     """(idx, x) of a sequence file: a header line, then one value a line."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.slice(F.filter(F.split("value", "\n"), lambda x: x != ""), 2, 2147483647)).alias("idx", "x"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.slice(F.filter(F.split("value", "\n"), lambda x: x != ""), 2, 1 << 30)).alias("idx", "x"))
     return rows.select(F.col("idx").cast("long").alias("idx"), F.col("x").cast(kind).alias("x"))
 
 
