@@ -1,0 +1,448 @@
+"""The training-data operators against brute force, on odd rows and on planted cases."""
+
+import hashlib
+import html
+import itertools
+import json
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from loomframe.llm import chat, decontam, extraction, jaccard, langid, linedup, packing, quality, secretscan, textcore, urls
+from loomframe.llm.queries import URL_RULES, tokenizer
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+ODD = [None, "", " \t\n ", "One", "ONE two", "a b c d e", "A\x0bB\fc d e f", "é ñ x y z w", "x" * 3000, " ".join(WORDS * 400), "l1\n\nl1\n  L1  \nlong enough line\nlong enough line"]
+SCHEMA = "doc_id long, text string, source string, key string, token long, line string, node long, n long"
+
+
+def corpus(n=160, seed=4):
+    """Random texts, copies, near copies and odd rows, with clashing columns."""
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(rng.randrange(3, 120))) for _ in range(n)]
+    base = " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(150))
+    for _ in range(40):
+        words = base.split()
+        for _ in range(rng.randrange(0, 9)):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [base] * 12 + texts[:5] + ODD
+    rows = [(i, t, f"s{i % 3}" if i % 7 else None, "k", 1, "l", 2, 3) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    return rows
+
+
+def frame(spark, rows, parts=5):
+    return spark.createDataFrame(rows, SCHEMA).repartition(parts)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def fold(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+# textcore
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=60)), max_size=8))
+def test_spans_are_words(texts):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    got = []
+    for _, _, data, offsets in textcore.chunks(batch):
+        s = textcore.Spans(data, offsets, textcore.SPACE)
+        for d in range(len(offsets) - 1):
+            got.append([bytes(data[s.start[i] : s.end[i]]).decode() for i in range(s.at[d], s.at[d + 1])])
+    assert got == [words(t) for t in texts]
+
+
+# op 5
+
+
+def shingles(t):
+    w = words(fold(t))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_components(rows):
+    sets = [(r[0], shingles(r[1])) for r in rows]
+    root = {d: d for d, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return {d: (len(s), find(d)) for d, s in sets}
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_jaccard_components(spark, seed):
+    rows = corpus(seed=seed)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(frame(spark, rows)).documents.collect()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_odd_rows(spark):
+    assert jaccard.jaccard_join(empty(spark)).documents.count() == 0
+    text = " ".join(WORDS)
+    rows = [(None, text, *[None] * 6), (3, text, *[None] * 6), (3, text, *[None] * 6), (9, text.upper(), *[None] * 6), (4, None, *[None] * 6)]
+    got = sorted(jaccard.jaccard_join(frame(spark, rows)).documents.collect(), key=str)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter([(None, 20, None), (3, 20, 3), (3, 20, 3), (9, 20, 3), (4, 0, 4)])
+
+
+def test_runs_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    rows = sorted({(rng.randrange(20), rng.randrange(3), rng.randrange(30)) for _ in range(120)})
+    for size in (1, 2, 7, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in b]), pa.array([r[2] for r in b]), pa.array([r[1] for r in b], pa.int32()), pa.array([10] * len(b))], names=["token", "doc_id", "place", "n"]) for b in (rows[i : i + size] for i in range(0, len(rows), size))]
+        out = [x for b in jaccard._runs(80)(iter(batches)) for x in b.to_pylist()]
+        by = defaultdict(list)
+        for t, _, x in rows:
+            by[t].append(x)
+        want = Counter((t, x, xs[0]) for t, xs in by.items() if len(xs) > 1 for x in xs)
+        assert Counter((r["token"], r["node"], r["pivot"]) for r in out if not r["edge"]) == want
+
+
+# op 4
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    rows = corpus() + [(900, "A <|endoftext|> b", *[None] * 6), (901, "  漢字 \x1c ok", *[None] * 6), (None, "x y", *[None] * 6)]
+    t = Tokenizer.from_file(tokenizer()["tokenizer_path"])
+    got = packing.pack(frame(spark, rows), **tokenizer(), group_rows=50, with_ids=True)
+    out = got.collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.doc_id].append(r)
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and r.length == len(r.ids)
+    for r in rows:
+        ids = [*t.encode(r[1] or "", add_special_tokens=False).ids, 2]
+        parts = sorted(by[r[0]], key=lambda p: p.piece)
+        assert [x for p in parts for x in p.ids] == ids
+        assert [p.start for p in parts] == list(itertools.accumulate([0] + [p.length for p in parts]))[:-1]
+        assert all(p.length == 1024 for p in parts[1:])
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        assert [o for o, _ in sorted(b)] == list(itertools.accumulate([0] + [n for _, n in sorted(b)]))[:-1] and sum(n for _, n in b) <= 1024
+    total = sum(r.length for r in out)
+    assert len(bins) <= -(-total // 1024) + 2
+    assert {r.sequence_id: len(r.ids) for r in packing.sequences(got).collect()} == {k: sum(n for _, n in b) for k, b in bins.items()}
+    assert packing.pack(empty(spark), **tokenizer()).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=60))
+def test_best_fit_is_tightest(lengths):
+    left = []
+    want = []
+    for n in sorted(lengths, reverse=True):
+        fits = [x for x in left if x >= n]
+        if fits:
+            left.remove(min(fits))
+            left.append(min(fits) - n)
+        else:
+            left.append(50 - n)
+    want = sorted(left)
+    x = np.array(lengths, np.int64)
+    bins, offsets = packing.best_fit(x, 50)
+    fill = np.bincount(bins, weights=x).astype(int).tolist() if len(x) else []
+    assert sorted(50 - f for f in fill) == want
+
+
+# op 7
+
+
+def brute_lines(rows):
+    key = lambda s: fold(s.strip(" \t\n\x0b\x0c\r"))
+    first = {}
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        for x in (r[1] or "").split("\n"):
+            first.setdefault(key(x), r[0])
+    out = {}
+    for r in rows:
+        lines = (r[1] or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < 10 or first[key(x)] == r[0]]
+        out[r[0]] = (len(lines), len(lines) - len(kept), "\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("share", [4, 4096])
+def test_line_dedup(spark, share):
+    rng = random.Random(2)
+    pool = [f"line number {i} of the pool" for i in range(30)] + ["  Line Number 3 of THE pool\t", "short", "", "hot line hot line"]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.6 else rng.choice(["hot line hot line", f"own {i} {j} text"]) for j in range(rng.randrange(0, 40))), *[None] * 6) for i in range(80)]
+    rows += [(100 + i, t, *[None] * 6) for i, t in enumerate(ODD)]
+    got = linedup.dedup_lines(frame(spark, rows), share=share)
+    assert {r.doc_id: (r["__n_lines"], r["__n_dropped"], r.text or "") for r in got.collect()} == brute_lines(rows)
+    assert {"key", "line", "token", "node", "n"} <= set(got.columns)
+
+
+def test_line_dedup_odd_rows(spark):
+    assert linedup.dedup_lines(empty(spark)).count() == 0
+    rows = [(None, "same long line here", *[None] * 6), (1, "same long line here\nx", *[None] * 6), (1, "same long line here\nx", *[None] * 6)]
+    got = sorted((str(r.doc_id), r.text) for r in linedup.dedup_lines(frame(spark, rows)).collect())
+    assert got == [("1", "x"), ("1", "x"), ("None", "same long line here")]
+
+
+# op 8
+
+BASE = {"assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r"[0-9a-f]+", 0, 24)}
+
+
+def brute_spans(t):
+    out = []
+    for k, (kind, (p, g, least)) in enumerate(BASE.items()):
+        out += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(p, t or "", re.ASCII) if len(m[g]) >= least]
+    return [x[2] for x in sorted(out)]
+
+
+def test_secret_spans_and_ledger(spark):
+    rng = random.Random(3)
+    bits = ["password=", "Token : ", 'api_key="', "SECRET:", "token:token:abcdefg", "AKIA" + "Z9" * 9, "AKIAAKIA", "0123456789abcdef" * 2, "é漢 ", "\n", "'", "abc", "passwd = hunter22 ", "x" * 5, "deadbeef"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(200)] + ODD
+    texts += texts[:20]
+    rows = [(i, t, *[None] * 6) for i, t in enumerate(texts)]
+    df = frame(spark, rows)
+    found, ledger = secretscan.scan(df)
+    out = {r.path: r for r in secretscan.digests(df, ledger.findings).collect()}
+    for r in rows:
+        assert out[r[0]].base_spans == ",".join(brute_spans(r[1])), r
+    # a second version: only unseen blobs are scanned, and old findings still reach their paths
+    more = df.unionByName(frame(spark, [(500, "new token = abcdef123", *[None] * 6), (501, texts[0], *[None] * 6)]))
+    found2, later = secretscan.scan(more, ledger)
+    assert later.scanned.count() - ledger.scanned.count() == len(secretscan.RULES)
+    assert {r.path for r in found2.collect()} >= {500} | {r.path for r in found.collect()}
+    newer = (secretscan.Rule("assign", 2, BASE["assign"][0], 2, 30), *secretscan.RULES[1:])
+    _, third = secretscan.scan(more, later, newer)
+    blobs = {hashlib.sha256((r.text or "").encode()).hexdigest() for r in more.collect()}
+    assert third.scanned.count() - later.scanned.count() == len(blobs)
+    assert secretscan.scan(empty(spark))[0].count() == 0
+
+
+def test_secret_added_kinds(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIB+/=\n-----END RSA PRIVATE KEY-----"
+    rows = [(1, "x " + key, *[None] * 6), (2, "ghp_" + "a1B2" * 9, *[None] * 6)]
+    found, _ = secretscan.scan(frame(spark, rows))
+    assert {(r.path, r.kind, r.start, r.end) for r in found.collect()} >= {(1, "private_key", 2, 2 + len(key)), (2, "forge_token", 0, 40)}
+
+
+# op 9
+
+
+def test_quality_counts(spark):
+    rows = corpus() + [(700, "a b c d e f a b c d e\n#*$%&|<>\nsame line\nsame line\n \n \n", *[None] * 6), (None, "x", *[None] * 6)]
+    got = {r.doc_id: r for r in quality.quality_rules(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        t, w = r[1] or "", words(r[1])
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        often = Counter(windows)
+        repeated = len({i + j for i, x in enumerate(windows) if often[x] > 1 for j in range(5)})
+        lines = [x for x in t.split("\n") if words(x)]
+        g = got[r[0]]
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), repeated)
+        assert g.base_failed == (len(w) < 10 or 100 * repeated > 20 * len(w))
+    assert quality.quality_rules(empty(spark)).count() == 0
+
+
+def test_quality_line_frequency(spark):
+    boiler = "all rights reserved by the owner of this very site and all of its parts forever"
+    rows = [(i, f"{boiler}\n" + " ".join(f"w{i}x{j}" for j in range(60)), "h", *[None] * 5) for i in range(60)]
+    rows += [(100 + i, f"{boiler.upper()}\nid{i}", "h", *[None] * 5) for i in range(10)] + [(200 + i, rows[0][1], "h", *[None] * 5) for i in range(50)]
+    rows += [(300, boiler, "other", *[None] * 5)]
+    got = {r.doc_id: r for r in quality.quality_rules(frame(spark, rows)).collect()}
+    assert all(got[i].kept and got[i].n_removed_words == 16 for i in range(60))
+    assert not any(got[100 + i].kept for i in range(10))
+    assert all(got[200 + i].kept for i in range(50)) and got[300].kept
+
+
+# op 10
+
+
+def test_myers_is_edit_distance():
+    rng = random.Random(8)
+
+    def brute(p, t, anchored):
+        row = list(range(len(p) + 1))
+        best = row[-1]
+        for j, c in enumerate(t, 1):
+            new = [j if anchored else 0]
+            for i, x in enumerate(p, 1):
+                new.append(min(new[-1] + 1, row[i] + 1, row[i - 1] + (x != c)))
+            row = new
+            best = min(best, row[-1])
+        return best
+
+    for _ in range(300):
+        p = [rng.randrange(4) for _ in range(rng.randrange(1, 90))]
+        t = [rng.randrange(4) for _ in range(rng.randrange(0, 60))]
+        for anchored in (False, True):
+            assert decontam.myers(p, t, anchored)[0] == brute(p, t, anchored)
+
+
+def test_decontamination(spark):
+    rng = random.Random(9)
+    items = [[rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(n)] for n in (12, 25, 40, 70, 3)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(50, None), (51, "...")], "item_id long, text string")
+    pad = lambda n: [f"pad{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for d in range(120):
+        i = rng.randrange(len(items))
+        w = list(items[i])
+        edits = rng.randrange(0, decontam.budget(len(w), 0.2, 4) + 1)
+        for _ in range(edits):
+            at = rng.randrange(len(w))
+            kind = rng.randrange(3)
+            if kind == 0 and len(w) > 1:
+                del w[at]
+            elif kind == 1:
+                w.insert(at, "zz")
+            else:
+                w[at] = "yy"
+        rows.append((d, " ".join([*pad(rng.randrange(20)), *w, *pad(5)]).title() if d % 3 else ",  ".join(pad(3) + w), *[None] * 6))
+        want.add((d, i))
+    rows += [(500 + j, " ".join(pad(50)), *[None] * 6) for j in range(20)] + [(600, " ".join(pad(9) + items[3][:20]), *[None] * 6)] + [(700 + j, t, *[None] * 6) for j, t in enumerate(ODD)]
+    df = frame(spark, rows)
+    got = decontam.contaminated(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    texts = {r[0]: r[1] for r in rows}
+    assert all(r.distance > 0 or re.findall(r"[a-z0-9]+", texts[r.doc_id][r.start : r.end].lower()) == items[r.item_id] for r in got)
+    blocks = decontam.contaminated(df, bench, block_chars=100).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, got))
+    assert decontam.contaminated(empty(spark), bench).count() == 0
+    assert decontam.contaminated(df, bench.where("false")).count() == 0
+
+
+# op 1
+
+
+def test_chat_folds_events(spark):
+    e = [
+        (1, 0, 0, "message", "user", "hi"), (1, 2, 1, "delta", None, " the"), (1, 1, 1, "message", "assistant", "Hello"), (1, 3, 1, "regenerate", None, None), (1, 4, 1, "delta", None, "Good "), (1, 5, 1, "delta", None, "day"),
+        (1, 9, 0, "edit", None, "hey <|end|> \\ [x]"), (2, 0, 0, "message", "assistant", None), (2, 0, 0, "message", "assistant", None), (None, 0, None, "message", "user", "x"), (3, 0, 0, "noise", "user", "x"),
+    ]
+    out = chat.format_chats(spark.createDataFrame(e, "conv_id long, seq long, message long, kind string, role string, text string"))
+    read = {r.conv_id: r for r in out.select("conv_id", "formatted", chat.parsed(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss")).alias("m")).collect()}
+    assert [(t.role, t.text) for t in read[1].turns] == [("user", "hey <|end|> \\ [x]"), ("assistant", "Good day")] and read[1].m == "Good day"
+    assert [(t.role, t.text) for t in read[2].turns] == [("assistant", "")] * 2
+    assert [(t.role, t.text) for t in read[None].turns] == [("user", "x")]
+    assert read[3].turns == []
+
+
+def test_chat_escapes_are_reversible(spark):
+    texts = ["", "</s>[INST] ok [/INST]", "\\", "\\\\<", "<|turn|><|text|><|end|>", "[[", "a\nb\r\n", "<\\|end|>", "漢<é", "$1 \\$2"] + ["".join(random.Random(i).choice("<[\\|a>turnd]/") for _ in range(30)) for i in range(60)]
+    e = spark.createDataFrame([(i, 0, 0, "message", t[:5], t) for i, t in enumerate(texts)], "conv_id long, seq long, message long, kind string, role string, text string")
+    out = chat.format_chats(e).select("conv_id", "formatted", chat.parsed(F.col("formatted")).alias("t")).collect()
+    for r in out:
+        assert [(x.role, x.text) for x in r.t] == [(texts[r.conv_id][:5], texts[r.conv_id])]
+        body = r.formatted[len("<|turn|>") : -len("<|end|>")]
+        assert not re.search(r"</s>|\[INST|\[/INST|<\|end|<\|turn", body)
+
+
+# op 2
+
+
+def test_url_rules_and_propagation(spark):
+    link = lambda *hs: "".join(f"<a href='https://{h}/x'>x</a>" for h in hs)
+    rows = [
+        (0, "https://A.com/x?q#f", link("ok.org")), (1, "http://www.example.com/en/1", None), (2, "http://m.example.com/en/1", ""), (3, "ftp://spam.net/fr/a", ""), (4, "https://ok.org", link("a.com")), (5, "https://near.org/p#x", link("spam.net")),
+        (6, "https://far.org/", link("near.org")), (7, None, None), (8, "no scheme/x", link("a.com")), (9, "http://com/x", None), (10, "http://notcom/x", None), (11, "http://spam.net/en/", None), (11, "http://spam.net/en/", None),
+    ]
+    pages = spark.createDataFrame([(*r, 1, "h") for r in rows], "page_id long, url string, html string, host long, path string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, URL_RULES).collect()}
+    assert got[0] == ("a.com", "/x", "com/", "allow") and got[1][2:] == ("www.example.com/en/", "allow") and got[2][2:] == ("example.com/en/", "block")
+    assert got[3] == ("spam.net", "/fr/a", "net/fr/", "block") and got[7] == ("", "", None, "allow") and got[8] == ("", "", None, "allow") and got[9][2] == "com/" and got[10][2] is None
+    assert got[4][3] == "allow" and got[5][3] == "block" and got[6][3] == "block" and got[11][2:] == (None, "block")
+    many = URL_RULES + [urls.Rule("block", f"h{i}.org") for i in range(100)]
+    joined = urls.judge(pages, many).select("page_id", "rule", "verdict").collect()
+    assert Counter(map(tuple, joined)) == Counter((p, got[p][2], got[p][3]) for p, *_ in rows)
+    assert urls.judge(pages.where("false"), URL_RULES).count() == 0
+
+
+# op 3
+
+
+def test_language_id(spark):
+    rng = random.Random(6)
+    syllables = {"xx": "ka mo ti zu re".split(), "yy": "sch ein ung lich ge".split(), "zz": "ción ado los que ía".split()}
+    make = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, make(lang, 40), lang) for i, lang in enumerate(list(syllables) * 60)]
+    test = [(1000 + i, make(lang, 12), lang) for i, lang in enumerate(list(syllables) * 30)]
+    odd = [(2000 + i, t, None) for i, t in enumerate([None, "", "123 !?", "漢", "é", "\n"])]
+    df = spark.createDataFrame(rows + test + odd, "doc_id long, text string, lang string")
+    known = langid.learn(df, F.col("doc_id") < 1000)
+    got = {r.doc_id: r for r in langid.identify(df.drop("lang"), known).collect()}
+    assert sum(got[i].lang_pred == lang for i, _, lang in test) >= 88
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert [got[2000 + i].lang_pred == "und" for i in range(6)] == [True, True, True, False, False, True]
+    nothing = langid.learn(df, F.lit(False))
+    assert {r.lang_pred for r in langid.identify(df, nothing).collect()} == {"und"}
+
+
+# op 6
+
+
+def page(article, extra=""):
+    return f'<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">menu</a></li><li><a>b</a></li></ul></nav><!-- c --><div class="ad">buy</div>{article}{extra}<footer>&copy; x</footer>'
+
+
+def test_extraction(spark):
+    rows = [
+        (0, "http://a.org/1", page("<article><h1>Head &amp; co</h1><p><b>One<br>two &lt;b&gt;.<p>Three  \n four</p></article>") + "</body></html>"),
+        (1, "http://a.org/2", page("<article><h1>Other</h1><p>x</article>", '<div class="comments"><p>nice!</p></div>')),
+        (2, "http://b.org/1", page("<main><h1>M</h1><aside><p>side</p></aside><form><p>form</p></form><p>body &am text</p></main>")),
+        (3, "http://c.org/1", page("<div><p>" + "plain words here " * 9 + "</p></div>") + '<div class="cookie-notice">cookies</div>'),
+        (4, None, None), (5, "http://a.org/3", ""), (6, "http://a.org/4", "<p>unclosed <i>text"), (7, "http://a.org/5", "a < b & c > d"),
+    ]
+    df = spark.createDataFrame([(*r, "h", "t") for r in rows], "page_id long, url string, html string, host string, text string")
+    want = {0: "Head & co\nOne two <b>.\nThree four", 1: "Other\nx", 2: "M\nbody &am text", 3: ("plain words here " * 9).strip(), 4: "", 5: ""}
+    for bound in (16_000_000, 0):
+        got = {r.page_id: r.text for r in extraction.main_text(df, broadcast_bytes=bound).collect()}
+        assert len(got) == len(rows) and {k: got[k] for k in want} == want
+    assert extraction.main_text(df.where("false")).count() == 0
+
+
+def test_wrappers_align():
+    e = lambda s: extraction.Page(s).expression
+    a, b = e("<div><h1>x</h1><p>a</p><p>b</p></div>"), e("<div><p>a</p></div><ul><li>x</li></ul>")
+    w = extraction.align(a, b)
+    assert extraction.written(w) == "div(h1(#,)?,p(#,)+,),ul(li(#,),)?,"
+    assert extraction.read(extraction.written(w)) == w
+    assert extraction.align(w, a) == w or extraction.written(extraction.align(w, a)).count("div") == 1
+    assert extraction.written(e("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>")).startswith("dl(dt(#,)+,dd(#,)+,")
+
+
+def test_extraction_of_generated_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    source = {r.page_id: r.html for r in pages.collect()}
+    for r in extraction.main_text(pages).collect():
+        article = re.search(r"<article>(.*?)(?:</article>|\Z)", source[r.page_id], re.S)[1]
+        blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", b))).strip() for b in re.split(r"</?h1>|</?p>", article)]
+        assert r.text == "\n".join(b for b in blocks if b)

@@ -1,0 +1,64 @@
+"""The registered queries against their SQL, and the pipeline against plain stages."""
+
+import collections
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from loomframe.llm import decontam, jaccard, linedup, quality
+from loomframe.llm.queries import queries
+from loomframe.llm.sql import oracle_sql
+from loomframe.tables import TABLES
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    df = queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    found = con.execute(oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == columns
+    assert collections.Counter(tuple(r[c] for c in columns) for r in df.collect()) == collections.Counter(tuple(r[names.index(c)] for c in columns) for r in found.fetchall())
+
+
+def test_held_out_languages(spark):
+    langs = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = [r for r in queries()["op3_language_id"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.lang_pred == langs[r.doc_id] for r in rows) >= 0.98 * len(rows)
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    kept = {r.doc_id for r in quality.quality_rules(docs).collect() if r.kept}
+    one = corpus_pipeline.quality_stage(spark, docs, SF).cache()
+    assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == kept
+    two = corpus_pipeline.line_stage(spark, one, SF).cache()
+    assert two.columns == docs.columns and {r.doc_id: r.text for r in two.collect()} == {r.doc_id: r.text for r in linedup.dedup_lines(one).collect()}
+    assert all(r.n_chars == len(r.text) for r in two.collect())
+    three = corpus_pipeline.near_duplicate_stage(spark, two, SF).cache()
+    assert {r.doc_id for r in three.collect()} == {r.component_id for r in jaccard.jaccard_join(two).documents.collect()}
+    four = corpus_pipeline.decontamination_stage(spark, three, SF).cache()
+    bad = {r.doc_id for r in decontam.contaminated(three, bench).collect()}
+    assert {r.doc_id for r in four.collect()} == {r.doc_id for r in three.collect()} - bad
+    five = corpus_pipeline.packing_stage(spark, four, SF)
+    got, want = five.collect(), corpus_pipeline.run(spark, SF).collect()
+    key = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert key(got) == key(want) and {r.doc_id for r in got} == {r.doc_id for r in four.collect()}
+
+
+def test_pipeline_odd_rows(spark):
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    for rows in (docs, docs.where("false")):
+        out = rows
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, out, SF)
+        out.collect()
