@@ -300,10 +300,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not twice.isEmpty():
         same = members.join(twice.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
         comp = components(links.select("a", "b").unionByName(same))
-    label = sets.join(comp, "node", "left").select("f1", "f2", "n", F.coalesce("component", "node").alias("label"))
-    label = materialise(rows.join(label, ["f1", "f2", "n"], "left"), "labels")
-    least = label.where("label is not null and doc_id is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    documents = label.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    # smallest ids are found by set, then by component, so that a set with a third of all rows is one row in both; the
+    # rows then meet a written table, whose join the adaptive planner can split where a set is hot
+    least = rows.where("doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("least"))
+    label = sets.join(comp, "node", "left").join(least, ["f1", "f2", "n"]).select("f1", "f2", "n", F.coalesce("component", "node").alias("label"), "least")
+    lowest = label.groupBy("label").agg(F.min("least").alias("component_id"))
+    label = materialise(label.join(lowest, "label").select("f1", "f2", "n", "component_id"), "labels")
+    documents = rows.join(label, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return Join(documents, links, members)
 
 
