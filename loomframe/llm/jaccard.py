@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialise, text_of
-from .textcore import SPACE, Spans, chunks, mix, signed, whole, windows
+from .textcore import SPACE, Spans, chunks, mix, signed, slices, whole, windows
 
 _ORDERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: log2 of the buckets of the frequency table, of the blocks it is added up in, and of the id slots of a pass.
@@ -77,8 +77,10 @@ def _count(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << FREQ_BITS, np.uint32)
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
-        for batch in batches:
-            rows, slots, held = [], [], 0
+        slots: list[np.ndarray] = []
+        held = 0
+        for batch in slices(batches):
+            rows = []
             for row, s in shingle_sets(batch, k):
                 rows.append((batch.column(0)[row].as_py(), len(s), *(fingerprint(s) if len(s) else (0, 0))))
                 slots.append(s >> np.uint64(64 - FREQ_BITS))
@@ -86,10 +88,10 @@ def _count(k: int):
                 if held > 1 << 20:
                     table += np.bincount(np.concatenate(slots).view(np.int64), minlength=len(table)).astype(np.uint32)
                     slots, held = [], 0
-            if slots:
-                table += np.bincount(np.concatenate(slots).view(np.int64), minlength=len(table)).astype(np.uint32)
             if rows:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], schema=schema)
+        if slots:
+            table += np.bincount(np.concatenate(slots).view(np.int64), minlength=len(table)).astype(np.uint32)
         for b in range(0, len(table), 1 << BLOCK_BITS):
             own = table[b : b + (1 << BLOCK_BITS)]
             if own.any():
@@ -125,7 +127,7 @@ _SKETCH = "doc_id long, n long, f1 long, f2 long, slack int, p1 array<long>, p2
 def _sketch(k: int, percent: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = shared.value, set()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for row, s in shingle_sets(batch, k):
                 doc_id = batch.column(0)[row].as_py()
@@ -213,7 +215,7 @@ def _runs(percent: int):
 def _sets(k: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             ids = np.asarray(batch.column(0))
             slot = ids & ((1 << SLOT_BITS) - 1)
             batch = batch.filter(pa.array((slots[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))

@@ -80,6 +80,13 @@ def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, int
         at = to
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Spans:
     """Maximal runs of bytes that do not separate, text by text."""
 
