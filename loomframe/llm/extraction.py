@@ -6,7 +6,9 @@ expression of the page. The expressions of one host are aligned one after the
 other: equal parts stay, what only one side has becomes optional, what comes
 several times becomes a repeated group. The result is the host's wrapper. Its
 text slots, with what all pages of the host have in them, tell article from
-surroundings, and every page's texts in article slots are its main text.
+surroundings, and every page's texts in article slots are its main text. A host
+may mix layouts: slots in an article element come first, and a page without
+text in any of these takes its other slots that vary.
 
 Pages are reduced to (host, expression) and (host, slot) counts where they are
 read, and alignment first folds salted parts of a host, so a host with a third
@@ -53,8 +55,10 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 OUTSIDE = frozenset("head nav footer aside form button dialog menu title fieldset".split())
 OUTSIDE_NAMES = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus dialog feedback footer header login masthead menu modal nav navbar navigation newsletter "
-    "notice notices pager pagination popup promo promoted recommended related replies reply search share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
+    "notice notices pager pagination popup promo promoted recommended related replies reply respond search share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Beginnings of names that tell of a page's layout, such as has-sidebar, and not of what the element holds.
+_LAYOUT = re.compile(r"(?:has|no|with|without)[-_]", re.IGNORECASE)
 ARTICLE = frozenset("article main".split())
 
 
@@ -115,7 +119,8 @@ class Page:
             if name in CLOSES:
                 while len(stack) > 1 and stack[-1][2] in CLOSES[name]:
                     close(len(stack) - 1)
-            marks = sorted({w.lower() for g in _NAMES.findall(m[4] or "") for w in re.split(r"[^A-Za-z]+", "".join(g)) if w})
+            names = [x for g in _NAMES.findall(m[4] or "") for x in "".join(g).split() if not _LAYOUT.match(x)]
+            marks = sorted({w.lower() for x in names for w in re.split(r"[^A-Za-z]+", x) if w})
             name = _SIGNS.sub("", name)
             label = ".".join([name, *marks])
             node: list = [label, [], name]
@@ -236,32 +241,32 @@ def slots(e: tuple, path: str = "") -> Iterator[str]:
 
 
 def outside(path: str, articles: bool) -> bool:
-    """Whether an element on the path holds no article text."""
+    """Whether an element on the path holds no article text. An article within an article is judged by its names, as comments are."""
     inside = False
     for label in path.split("/")[1:]:
         name, *marks = label.split(".")
-        if name in OUTSIDE or name == "header" and not inside or any(w in OUTSIDE_NAMES for w in marks) and name not in ("html", "body", "article", "main"):
+        whole = name in ("html", "body", "main") or name == "article" and not inside
+        if name in OUTSIDE or name == "header" and not inside or any(w in OUTSIDE_NAMES for w in marks) and not whole:
             return True
         inside = inside or name in ARTICLE or "article" in marks or "main" in marks
     return articles and not inside
 
 
-def article_slots(wrapper: tuple, seen: dict[str, tuple[int, int, int, bool]]) -> list[str]:
+def article_slots(wrapper: tuple, seen: dict[str, tuple[int, int, int, bool]]) -> tuple[list[str], list[str]]:
     """The wrapper's slots with article text; seen has (pages, words, words in links, whether always the same text) by slot.
 
-    If the wrapper has an article element, its slots outside menus, notices and
-    the like; otherwise all such slots that vary and are not mostly links.
+    First the slots inside article elements but outside menus, notices and the
+    like; then, for pages without text there, the other such slots that vary
+    and are not mostly links.
     """
     paths = sorted(set(slots(wrapper)))
     marked = [p for p in paths if not outside(p, True)]
-    if marked:
-        return marked
-    out = []
+    others = []
     for p in paths:
         pages, words, linked, same = seen.get(p, (0, 0, 0, False))
-        if not outside(p, False) and 2 * linked <= words and not (same and pages >= 3):
-            out.append(p)
-    return out
+        if outside(p, True) and not outside(p, False) and 2 * linked <= words and not (same and pages >= 3):
+            others.append(p)
+    return marked, others
 
 
 def host_of(url: str | None) -> str:
@@ -313,28 +318,30 @@ def _fold_host(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 
 def _choose(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     seen = {r.path: (int(r.pages), int(r.words), int(r.linked), r.low == r.high) for r in group.itertuples() if r.path is not None}
-    return pd.DataFrame({"host": [key[0]], "wrapper": [group["expression"].iloc[0]], "paths": [article_slots(read(group["expression"].iloc[0]), seen)]})
+    marked, others = article_slots(read(group["expression"].iloc[0]), seen)
+    return pd.DataFrame({"host": [key[0]], "wrapper": [group["expression"].iloc[0]], "paths": [marked], "others": [others]})
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 64) -> DataFrame:
-    """(host, wrapper, paths): each host's union-free expression and its article slots."""
+    """(host, wrapper, paths, others): each host's union-free expression, its article slots, and those for pages without text in these."""
     reduced = materialise(pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(_reduce, _REDUCED), "reduced")
     forms = reduced.where("expression is not null").select("host", "expression").distinct().withColumn("salt", F.pmod(F.xxhash64("expression"), F.lit(salts)))
     parts = forms.groupBy("host", "salt").applyInPandas(_fold_host, "host string, expression string")
     hosts = parts.groupBy("host").applyInPandas(_fold_host, "host string, expression string")  # at most `salts` expressions a host
     seen = reduced.where("path is not null").groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return materialise(hosts.join(seen, "host", "left").groupBy("host").applyInPandas(_choose, "host string, wrapper string, paths array<string>"), "wrappers")
+    return materialise(hosts.join(seen, "host", "left").groupBy("host").applyInPandas(_choose, "host string, wrapper string, paths array<string>, others array<string>"), "wrappers")
 
 
-def _main_text(page: Page, paths) -> str:
-    return "\n".join(text for path, text, _, _ in page.blocks if path in paths)
+def _main_text(page: Page, paths, others) -> str:
+    chosen = [text for path, text, _, _ in page.blocks if path in paths]
+    return "\n".join(chosen or [text for path, text, _, _ in page.blocks if path in others])
 
 
 def _apply_shared(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_host = shared.value
         for batch in batches:
-            texts = [_main_text(Page(s.as_py() or ""), by_host.get(host_of(u.as_py()), frozenset())) for u, s in zip(batch.column(1), batch.column(2), strict=True)]
+            texts = [_main_text(Page(s.as_py() or ""), *by_host.get(host_of(u.as_py()), (frozenset(), frozenset()))) for u, s in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return run
@@ -342,7 +349,7 @@ def _apply_shared(shared):
 
 def _apply_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [_main_text(Page(s.as_py() or ""), frozenset(p.as_py() or ())) for s, p in zip(batch.column(2), batch.column(3), strict=True)]
+        texts = [_main_text(Page(s.as_py() or ""), frozenset(p.as_py() or ()), frozenset(o.as_py() or ())) for s, p, o in zip(*batch.columns[2:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -350,13 +357,13 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(page_id, url, text) of every row."""
     spark, known = pages.sparkSession, wrappers(pages, url_col, html_col, salts)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    chosen = known.select("host", "paths")
-    size = chosen.agg(F.sum(F.length("host") + 64 + F.aggregate("paths", F.lit(0), lambda n, p: n + F.length(p) + 64))).first()[0] or 0
+    chosen = known.select("host", "paths", "others")
+    size = chosen.agg(F.sum(F.length("host") + 64 + F.aggregate(F.concat("paths", "others"), F.lit(0), lambda n, p: n + F.length(p) + 64))).first()[0] or 0
     if size <= broadcast_bytes:
-        by_host = {r.host: frozenset(r.paths) for r in chosen.toLocalIterator()}
+        by_host = {r.host: (frozenset(r.paths), frozenset(r.others)) for r in chosen.toLocalIterator()}
         return rows.mapInArrow(_apply_shared(spark.sparkContext.broadcast(by_host)), "page_id long, url string, text string")
     at = F.instr("url", "://")
     host = F.when(at > 0, F.lower(F.regexp_extract(F.expr("substring(url, instr(url, '://') + 3)"), r"^[^/?#]*", 0))).otherwise("")
     salted = rows.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(salts)))
     spread = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "paths").mapInArrow(_apply_joined, "page_id long, url string, text string")
+    return salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "paths", "others").mapInArrow(_apply_joined, "page_id long, url string, text string")

@@ -429,6 +429,16 @@ def test_extraction(spark):
     assert extraction.main_text(df.where("false")).count() == 0
 
 
+def test_extraction_of_mixed_layouts(spark):
+    rows = [(i, f"http://a.org/{i}", page(f"<article><p>story {i}</p></article>")) for i in range(4)]
+    rows += [(i, f"http://a.org/{i}", page(f'<div class="post no-sidebar"><p>plain {i}</p></div>')) for i in range(4, 8)]
+    rows += [(8, "http://a.org/8", page('<article><p>told</p><article class="comment"><p>said a reader</p></article></article>')), (9, "http://a.org/9", page(""))]
+    want = {i: f"story {i}" for i in range(4)} | {i: f"plain {i}" for i in range(4, 8)} | {8: "told", 9: ""}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for bound in (16_000_000, 0):
+        assert {r.page_id: r.text for r in extraction.main_text(df, broadcast_bytes=bound).collect()} == want
+
+
 def test_wrappers_align():
     e = lambda s: extraction.Page(s).expression
     a, b = e("<div><h1>x</h1><p>a</p><p>b</p></div>"), e("<div><p>a</p></div><ul><li>x</li></ul>")
