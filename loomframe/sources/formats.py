@@ -294,7 +294,7 @@ def write_gr(e: DataFrame, path: str, n: int, version: int = 1) -> None:
         f.write(encode_gr(e.select("src", "dst", "w").toPandas(), n, version))
 
 
-def _trip(name: str, write: Callable, read: Callable, weighted: bool = True):
+def trip(name: str, write: Callable, read: Callable, weighted: bool = True):
     """Registers the round trip of the order graph, repeats dropped, through a format."""
     from ..operators.graph import G
 
@@ -311,10 +311,10 @@ def _trip(name: str, write: Callable, read: Callable, weighted: bool = True):
     register(f"round_trip_{name}", f"select src, dst, min(w) as w from {G} where src <> dst group by 1, 2" if weighted else f"select distinct src, dst from {G} where src <> dst")(run)
 
 
-_trip("edge_list", lambda e, v, p: write_edge_list(e, p), read_edge_list)
-_trip("edge_list_from_1", lambda e, v, p: write_edge_list(e, p, 1), lambda s, p: read_edge_list(s, p, base=1))
-_trip("edge_array", lambda e, v, p: write_edge_array(e, p), read_edge_array)
-_trip("csv", lambda e, v, p: e.write.csv(p), read_csv_edges)
-_trip("dimacs", lambda e, v, p: write_dimacs(e, p, v.count()), read_dimacs)
-_trip("adjacency_list", lambda e, v, p: write_adjacency_lists(e, p), read_adjacency_list, False)
-_trip("node_list", lambda e, v, p: write_node_lists(e, p), read_node_list, False)
+trip("edge_list", lambda e, v, p: write_edge_list(e, p), read_edge_list)
+trip("edge_list_from_1", lambda e, v, p: write_edge_list(e, p, 1), lambda s, p: read_edge_list(s, p, base=1))
+trip("edge_array", lambda e, v, p: write_edge_array(e, p), read_edge_array)
+trip("csv", lambda e, v, p: e.write.csv(p), read_csv_edges)
+trip("dimacs", lambda e, v, p: write_dimacs(e, p, v.count()), read_dimacs)
+trip("adjacency_list", lambda e, v, p: write_adjacency_lists(e, p), read_adjacency_list, False)
+trip("node_list", lambda e, v, p: write_node_lists(e, p), read_node_list, False)
