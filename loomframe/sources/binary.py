@@ -25,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from ..registry import register
 from ..tables import scratch
-from .formats import trip
+from .formats import adjacent, ranges, trip
 
 
 @dataclass
@@ -163,26 +163,11 @@ def _ends(e: DataFrame, vertices: DataFrame, n: int, m: int) -> DataFrame:
     return _begins(e, vertices).where("a > 0").withColumn("a", F.col("a") - 1).unionByName(_values(e.sparkSession, [m]).withColumn("a", F.lit(n - 1).cast("long"))) if n else _values(e.sparkSession, [])
 
 
-def _ranges(begins: DataFrame, m: int) -> DataFrame:
-    """(idx, begin, end) of begins (idx, x)."""
-    after = begins.select((F.col("idx") - 1).alias("idx"), F.col("x").alias("end"))
-    return begins.withColumnRenamed("x", "begin").join(after, "idx", "left").withColumn("end", F.coalesce("end", F.lit(m)))
-
-
 def _begins_of_ends(ends: DataFrame, m: int) -> DataFrame:
     before = ends.select((F.col("idx") + 1).alias("idx"), F.col("x").alias("begin"))
     return ends.withColumnRenamed("x", "end").join(before, "idx", "left").withColumn("begin", F.coalesce("begin", F.lit(0)))
 
 
-def _adjacent(ranges: DataFrame, targets: DataFrame, weights: DataFrame | None = None, bin_size: int = 256) -> DataFrame:
-    """(src, dst, w): the vertex whose range holds a target's place, found by an equi-join on bins of places."""
-    bins = ranges.where("end > begin").select(F.col("idx").alias("src"), "begin", "end", F.explode(F.sequence(F.expr(f"begin div {bin_size}"), F.expr(f"(end - 1) div {bin_size}"))).alias("bin"))
-    e = targets.select(F.col("idx").alias("at"), F.col("x").alias("dst"))
-    e = e.withColumn("w", F.lit(None).cast("double")) if weights is None else e.join(weights.select(F.col("idx").alias("at"), F.col("x").cast("double").alias("w")), "at")
-    e = e.withColumn("bin", F.expr(f"at div {bin_size}")).join(bins, "bin").where("at >= begin and at < end")
-    return e.select("src", "dst", "w")
-
-
 # Pairs of unsigned 32-bit ends.
 
 
@@ -219,7 +204,7 @@ def read_gr_parts(spark: SparkSession, path: str, big: bool = False) -> DataFram
     targets = read_section(spark, path, at, m, kind)
     used = m * np.dtype(kind).itemsize
     weights = read_section(spark, path, at + used + -used % 8, m, f"{'>' if big else '<'}u{size}") if size else None
-    return _adjacent(_begins_of_ends(read_section(spark, path, 32, n, "<u8"), m), targets, weights)
+    return adjacent(_begins_of_ends(read_section(spark, path, 32, n, "<u8"), m), targets, weights)
 
 
 # Adjacency in three files: base.config (the number of vertices as text), base.idx (begins), base.adj (targets, then weights).
@@ -241,7 +226,7 @@ def read_binary_adjacency(spark: SparkSession, path: str, weighted: bool = False
     width = sum(k for _, _, k in _files(spark, path + ".idx")) // max(n, 1)
     begins = read_section(spark, path + ".idx", 0, n, f"<u{width or 8}")
     weights = read_section(spark, path + ".adj", m * size, m, node) if weighted else None
-    return _adjacent(_ranges(begins, m), read_section(spark, path + ".adj", 0, m, node), weights)
+    return adjacent(ranges(begins, m), read_section(spark, path + ".adj", 0, m, node), weights)
 
 
 def write_binary_hypergraph(members: DataFrame, nv: int, nh: int, path: str) -> None:
@@ -257,7 +242,7 @@ def write_binary_hypergraph(members: DataFrame, nv: int, nh: int, path: str) ->
 def read_binary_hypergraph(spark: SparkSession, path: str) -> DataFrame:
     """(v, h), from the vertices' side."""
     nv, mv, _, _ = map(int, spark.read.text(path + ".config").first()[0].split())
-    e = _adjacent(_ranges(read_section(spark, path + ".vidx", 0, nv, "<u4"), mv), read_section(spark, path + ".vadj", 0, mv, "<u4"))
+    e = adjacent(ranges(read_section(spark, path + ".vidx", 0, nv, "<u4"), mv), read_section(spark, path + ".vadj", 0, mv, "<u4"))
     return e.select(F.col("src").alias("v"), F.col("dst").alias("h"))
 
 
@@ -289,7 +274,7 @@ def read_petsc(spark: SparkSession, path: str, order: str = "<", value: str = "f
         raise ValueError(f"{path} is no matrix file in this byte order")
     begins = scan(read_section(spark, path, 16, rows, order + "i4")).select("idx", F.col("prefix").alias("x"))
     at = 16 + 4 * rows
-    return _adjacent(_ranges(begins, m), read_section(spark, path, at, m, order + "i4"), read_section(spark, path, at + 4 * m, m, order + value))
+    return adjacent(ranges(begins, m), read_section(spark, path, at, m, order + "i4"), read_section(spark, path, at + 4 * m, m, order + value))
 
 
 def write_sparse_matrix(e: DataFrame, n: int, path: str) -> None:
@@ -332,7 +317,7 @@ def read_incoming(spark: SparkSession, path: str) -> DataFrame:
     at = 12 + 8 * n
     weighted = sum(k for _, _, k in _files(spark, path)) >= at + 8 * m > at
     weights = read_section(spark, path, at + 4 * m, m, "<u4") if weighted else None
-    return transpose(_adjacent(_begins_of_ends(read_section(spark, path, 12, n, "<u8"), m), read_section(spark, path, at, m, "<u4"), weights))
+    return transpose(adjacent(_begins_of_ends(read_section(spark, path, 12, n, "<u8"), m), read_section(spark, path, at, m, "<u4"), weights))
 
 
 def write_compressed(e: DataFrame, path: str) -> None:

@@ -1,10 +1,11 @@
 """Sources and sinks for graph, sequence and geometry files.
 
-Line formats are read as distributed text. Formats whose meaning hangs on
-positions in the file (adjacency text, binary graphs, sequences) are read file
-by file and decoded with NumPy, a file being one task's work; store large
-graphs as Parquet edges. Sinks of line formats write sorted part files whose
-concatenation is the file.
+Line formats are read as distributed text. Where meaning hangs on a line's
+place, lines are numbered over all parts by split: each split counts its own,
+and the splits' totals are summed up. Sinks write sorted part files whose
+concatenation is the file. Binary graphs in one piece and road files are
+decoded with NumPy, a file being one task's work; ``binary`` has formats in
+parts.
 """
 
 from __future__ import annotations
@@ -29,6 +30,30 @@ def _fields(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
     return lines.where((F.col("line") != "") & ~F.startswith("line", F.lit(comment))).select(F.split("line", " ").alias("f"))
 
 
+def numbered(spark: SparkSession, path: str, keep: Callable[[Column], Column] | None = None, words: bool = False, hint_rows: int = 100_000) -> DataFrame:
+    """(idx, line) of all lines of a text in parts, or of those that ``keep`` accepts, or of these lines' words, counted from 0 in the order of the parts' names.
+
+    Ids grow by one inside a split, so a line's place is its id, less the
+    split's first, plus the lines of the splits before. The table of splits is
+    a row each and is broadcast up to ``hint_rows`` of them.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.where(keep(F.col("line"))) if keep else lines
+    lines = lines.withColumn("line", F.explode(F.split(F.trim("line"), r"\s+"))) if words else lines
+    lines = lines.withColumn("id", F.monotonically_increasing_id())
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n")).orderBy("file", "block").collect()
+    before, rows = 0, []
+    for r in splits:
+        rows.append((r.file, r.block, before - r.first))
+        before += r.n
+    shift = spark.createDataFrame(rows, "file string, block long, shift long")
+    return lines.join(F.broadcast(shift) if len(rows) <= hint_rows else shift, ["file", "block"]).select((F.col("id") + F.col("shift")).alias("idx"), "line")
+
+
+def _written(line: Column) -> Column:
+    return F.trim(line) != ""
+
+
 def _n(i: int) -> Column:
     return F.get("f", F.lit(i)).cast("long")
 
@@ -53,9 +78,9 @@ def read_dimacs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """Coordinates from 1 with values; the size line is the first that is no comment, known by the shared file offset order of one file."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.filter(F.split("value", "\n"), lambda x: (x != "") & ~F.startswith(x, F.lit("%"))), 2, 1 << 30)).alias("line"))
-    f = rows.select(F.split(F.trim("line"), r"\s+").alias("f"))
+    """Coordinates from 1 with values; the size line is the first that is no comment."""
+    rows = numbered(spark, path, lambda x: _written(x) & ~F.startswith(x, F.lit("%")))
+    f = rows.where("idx > 0").select(F.split(F.trim("line"), r"\s+").alias("f"))
     return f.select((_n(0) - 1).alias("src"), (_n(1) - 1).alias("dst"), F.get("f", F.lit(2)).cast("double").alias("w"))
 
 
@@ -73,14 +98,14 @@ def read_adjacency_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_metis(spark: SparkSession, path: str) -> DataFrame:
     """Line i + 1 holds the neighbours of node i, ids from 1."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line")).where("i > 0 and trim(line) <> ''")
-    return lines.select((F.col("i") - 1).cast("long").alias("src"), F.explode(F.split(F.trim("line"), r"\s+").cast("array<long>")).alias("d")).select("src", (F.col("d") - 1).alias("dst"), F.lit(None).cast("double").alias("w"))
+    lines = numbered(spark, path).where("idx > 0 and trim(line) <> ''")
+    return lines.select((F.col("idx") - 1).alias("src"), F.explode(F.split(F.trim("line"), r"\s+").cast("array<long>")).alias("d")).select("src", (F.col("d") - 1).alias("dst"), F.lit(None).cast("double").alias("w"))
 
 
 def read_svmlight(spark: SparkSession, path: str) -> DataFrame:
     """(row, label, feature, value): one bipartite edge for each pair."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("row", "line")).select("row", F.split(F.trim("line"), r"\s+").alias("f"))
-    pairs = rows.select(F.col("row").cast("long").alias("row"), F.get("f", F.lit(0)).cast("double").alias("label"), F.explode(F.slice("f", 2, F.greatest(F.size("f"), F.lit(1)))).alias("p"))
+    rows = numbered(spark, path, _written).select(F.col("idx").alias("row"), F.split(F.trim("line"), r"\s+").alias("f"))
+    pairs = rows.select("row", F.get("f", F.lit(0)).cast("double").alias("label"), F.explode(F.slice("f", 2, F.greatest(F.size("f"), F.lit(1)))).alias("p"))
     return pairs.select("row", "label", F.substring_index("p", ":", 1).cast("long").alias("feature"), F.substring_index("p", ":", -1).cast("double").alias("value"))
 
 
@@ -91,8 +116,8 @@ def read_konect(spark: SparkSession, path: str) -> DataFrame:
 
 def read_communities(spark: SparkSession, path: str) -> DataFrame:
     """(v, h): every line is one group of members."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("h", "line"))
-    return rows.select(F.explode(F.split(F.trim("line"), r"\s+").cast("array<long>")).alias("v"), F.col("h").cast("long").alias("h"))
+    rows = numbered(spark, path, _written)
+    return rows.select(F.explode(F.split(F.trim("line"), r"\s+").cast("array<long>")).alias("v"), F.col("idx").alias("h"))
 
 
 def clique_expansion(members: DataFrame) -> DataFrame:
@@ -103,8 +128,7 @@ def clique_expansion(members: DataFrame) -> DataFrame:
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
     """(id, new): line n holds the old id of new node n."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("new", "id"))
-    return rows.select(F.trim("id").cast("long").alias("id"), F.col("new").cast("long").alias("new"))
+    return numbered(spark, path, _written).select(F.trim("line").cast("long").alias("id"), F.col("idx").alias("new"))
 
 
 def _decoded(spark: SparkSession, path: str, decode: Callable[[bytes], pd.DataFrame], schema: str) -> DataFrame:
@@ -121,28 +145,44 @@ def _frame(offsets: np.ndarray, dst: np.ndarray, w: np.ndarray | None) -> pd.Dat
     return pd.DataFrame({"src": src, "dst": dst.astype(np.int64), "w": w.astype(float) if w is not None else np.full(len(dst), np.nan)})
 
 
-def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
-    """AdjacencyGraph and WeightedAdjacencyGraph: header, n, m, n offsets, m targets and, if weighted, m weights."""
+def ranges(begins: DataFrame, m: int) -> DataFrame:
+    """(idx, begin, end) of begins (idx, x); the last range ends at ``m``."""
+    after = begins.select((F.col("idx") - 1).alias("idx"), F.col("x").alias("end"))
+    return begins.withColumnRenamed("x", "begin").join(after, "idx", "left").withColumn("end", F.coalesce("end", F.lit(m)))
 
-    def decode(raw: bytes) -> pd.DataFrame:
-        head, _, rest = raw.partition(b"\n")
-        x = np.array(rest.split(), dtype=np.float64)
-        n, m = int(x[0]), int(x[1])
-        return _frame(x[2 : 2 + n].astype(np.int64), x[2 + n : 2 + n + m], x[2 + n + m : 2 + n + 2 * m] if head.startswith(b"Weighted") else None)
 
-    return _decoded(spark, path, decode, EDGES)
+def adjacent(ranges: DataFrame, targets: DataFrame, weights: DataFrame | None = None, bin_size: int = 256) -> DataFrame:
+    """(src, dst, w): the vertex whose range holds a target's place, found by an equi-join on bins of places."""
+    bins = ranges.where("end > begin").select(F.col("idx").alias("src"), "begin", "end", F.explode(F.sequence(F.expr(f"begin div {bin_size}"), F.expr(f"(end - 1) div {bin_size}"))).alias("bin"))
+    e = targets.select(F.col("idx").alias("at"), F.col("x").alias("dst"))
+    e = e.withColumn("w", F.lit(None).cast("double")) if weights is None else e.join(weights.select(F.col("idx").alias("at"), F.col("x").cast("double").alias("w")), "at")
+    e = e.withColumn("bin", F.expr(f"at div {bin_size}")).join(bins, "bin").where("at >= begin and at < end")
+    return e.select("src", "dst", "w")
 
 
-def read_hyper_adjacency(spark: SparkSession, path: str) -> DataFrame:
-    """(v, h) of AdjacencyHypergraph: nv, mv, nh, mh, nv offsets, mv hyperedges; the second half repeats it by hyperedge."""
+def _stretch(x: DataFrame, at: int, count: int, kind: str = "long") -> DataFrame:
+    own = (F.col("idx") >= at) & (F.col("idx") < at + count)
+    return x.where(own).select((F.col("idx") - at).alias("idx"), F.when(own, F.col("line").cast(kind)).alias("x"))  # a cast may be moved before a filter
 
-    def decode(raw: bytes) -> pd.DataFrame:
-        x = np.array(raw.partition(b"\n")[2].split(), dtype=np.int64)
-        nv, mv = int(x[0]), int(x[1])
-        e = _frame(x[4 : 4 + nv], x[4 + nv : 4 + nv + mv], None)
-        return pd.DataFrame({"v": e["src"], "h": e["dst"]})
 
-    return _decoded(spark, path, decode, "v long, h long")
+def _tokens(spark: SparkSession, path: str, count: int) -> tuple[DataFrame, str, list[int]]:
+    """The words of a file, numbered; its first word, and the ``count`` numbers after it."""
+    x = numbered(spark, path, _written, words=True)
+    head = [r.line for r in x.where(F.col("idx") <= count).orderBy("idx").collect()]
+    return x, head[0], [int(v) for v in head[1:]]
+
+
+def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
+    """AdjacencyGraph and WeightedAdjacencyGraph: header, n, m, n offsets, m targets and, if weighted, m weights."""
+    x, name, (n, m) = _tokens(spark, path, 2)
+    weights = _stretch(x, 3 + n + m, m, "double") if name.startswith("Weighted") else None
+    return adjacent(ranges(_stretch(x, 3, n), m), _stretch(x, 3 + n, m), weights)
+
+
+def read_hyper_adjacency(spark: SparkSession, path: str) -> DataFrame:
+    """(v, h) of AdjacencyHypergraph: nv, mv, nh, mh, nv offsets, mv hyperedges; the second half repeats it by hyperedge."""
+    x, _, (nv, mv, _, _) = _tokens(spark, path, 4)
+    return adjacent(ranges(_stretch(x, 5, nv), mv), _stretch(x, 5 + nv, mv)).select(F.col("src").alias("v"), F.col("dst").alias("h"))
 
 
 def decode_gr(raw: bytes) -> pd.DataFrame:
@@ -186,8 +226,7 @@ def read_road(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_sequence(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
     """(idx, x) of a sequence file: a header line, then one value a line."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.slice(F.filter(F.split("value", "\n"), lambda x: x != ""), 2, 1 << 30)).alias("idx", "x"))
-    return rows.select(F.col("idx").cast("long").alias("idx"), F.col("x").cast(kind).alias("x"))
+    return numbered(spark, path, _written).where("idx > 0").select((F.col("idx") - 1).alias("idx"), F.trim("line").cast(kind).alias("x"))
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
@@ -317,4 +356,6 @@ trip("edge_array", lambda e, v, p: write_edge_array(e, p), read_edge_array)
 trip("csv", lambda e, v, p: e.write.csv(p), read_csv_edges)
 trip("dimacs", lambda e, v, p: write_dimacs(e, p, v.count()), read_dimacs)
 trip("adjacency_list", lambda e, v, p: write_adjacency_lists(e, p), read_adjacency_list, False)
+trip("matrix_market", lambda e, v, p: write_matrix_market(e, p, v.count()), read_matrix_market)
+trip("adjacency_graph", write_adjacency, read_adjacency)
 trip("node_list", lambda e, v, p: write_node_lists(e, p), read_node_list, False)

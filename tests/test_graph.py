@@ -142,6 +142,35 @@ def test_file_formats(spark, tmp_path):
     assert rows(formats.read_metis(spark, str(tmp_path / "one.metis"))) == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)]
 
 
+def test_files_in_many_splits(spark, tmp_path):
+    rng = random.Random(9)
+    edges = sorted({(rng.randrange(300), rng.randrange(300)) for _ in range(2000)})
+    begins = [sum(a < v for a, _ in edges) for v in range(300)]
+    words = ["AdjacencyGraph", 300, len(edges), *begins, *[b for _, b in edges]]
+    (tmp_path / "g").mkdir()
+    for i in range(3):  # parts of several splits each, the first with several words a line
+        part = [str(w) for w in words[i * 900 : (i + 1) * 900 if i < 2 else None]]
+        (tmp_path / "g" / f"part-{i}").write_text((" " if i == 0 else "\n").join(part[:5]) + "\n\n" + "\n".join(part[5:]) + "\n")
+    hyper = ["AdjacencyHypergraph", 3, 4, 2, 4, 0, 2, 3, 0, 1, 1, 0, 0, 2, 0, 2, 0, 1]
+    (tmp_path / "h").write_text("\n".join(map(str, hyper)))
+    (tmp_path / "s").write_text("sequenceInt\n" + "".join(f"{i * i}\n" for i in range(500)))
+    (tmp_path / "t").write_text("pbbs_triangles\n3\n1\n0 0\n1 0\n0 1\n1 2 3\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(tmp_path / "g")).rdd.getNumPartitions() > 6
+        assert sorted((r.src, r.dst) for r in formats.read_adjacency(spark, str(tmp_path / "g")).collect()) == edges
+        assert sorted((r.v, r.h) for r in formats.read_hyper_adjacency(spark, str(tmp_path / "h")).collect()) == [(0, 0), (0, 1), (1, 1), (2, 0)]
+        assert sorted((r.idx, r.x) for r in formats.read_sequence(spark, str(tmp_path / "s"), "long").collect()) == [(i, i * i) for i in range(500)]
+        points, triangles = formats.read_triangles(spark, str(tmp_path / "t"))
+        assert [(r.x, r.y) for r in points.orderBy("idx").collect()] == [(0, 0), (1, 0), (0, 1)]
+        assert [(r.a, r.b, r.c) for r in triangles.collect()] == [(0, 1, 2)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_suffix_array_and_repeat(spark):
     from loomframe.operators import text
 
