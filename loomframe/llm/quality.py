@@ -46,7 +46,7 @@ def _lines(words: Spans, lines: Spans) -> tuple[np.ndarray, np.ndarray]:
     return last - first, mix((total[last] - total[first]) * np.cumprod(inverse, dtype=np.uint64)[first] + (last - first).astype(np.uint64))
 
 
-def _count(max_line_words: int):
+def _count(max_line_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in chunks(batch):
@@ -73,10 +73,10 @@ def _count(max_line_words: int):
                 _, index = np.unique(own[real], return_index=True)
                 np.add.at(dup, text_of_line[real], 1)
                 np.subtract.at(dup, text_of_line[real][index], 1)
-                short = real & (line_words <= max_line_words)
+                counted = real if max_line_words is None else real & (line_words <= max_line_words)
                 content = mix(polynomial(data, offsets[:-1], offsets[1:]))
-                out_line = pa.StructArray.from_arrays([pa.array(signed(line_value[short])), pa.array(line_words[short].astype(np.int32))], names=["line", "words"])
-                out_at = np.concatenate([[0], np.cumsum(np.bincount(text_of_line[short], minlength=n))]).astype(np.int32)
+                out_line = pa.StructArray.from_arrays([pa.array(signed(line_value[counted])), pa.array(line_words[counted].astype(np.int32))], names=["line", "words"])
+                out_at = np.concatenate([[0], np.cumsum(np.bincount(text_of_line[counted], minlength=n))]).astype(np.int32)
                 part = batch.slice(at, n)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(words.counts.astype(np.int64)), pa.array(_per_text(starts, offsets)), pa.array(_per_text(SYMBOLS[data], offsets)), pa.array(dup), pa.array(_per_text(covered, words.at)), pa.array(signed(content)), pa.ListArray.from_arrays(pa.array(out_at), out_line)],
@@ -87,13 +87,13 @@ def _count(max_line_words: int):
 
 
 def quality_rules(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, share: float = 0.01, max_line_words: int = 50, min_left: float = 0.1, min_words: int = 10, max_repeat_percent: int = 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, share: float = 0.01, max_line_words: int | None = None, min_left: float = 0.1, min_words: int = 10, max_repeat_percent: int = 20
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, the five counts, base_failed, n_removed_words, removed_lines, kept.
 
-    A line of at most ``max_line_words`` words is frequent on its host when more
-    than ``max(min_docs, share * distinct documents of the host)`` distinct
-    documents have it. removed_lines holds the values of the frequent lines of
+    A line, of any length unless ``max_line_words`` bounds it, is frequent on its
+    host when more than ``max(min_docs, share * distinct documents of the host)``
+    distinct documents have it. removed_lines holds the values of the frequent lines of
     the text. A document is rejected when the base rules fail or when its other
     lines hold less than ``min_left`` of its words.
     """

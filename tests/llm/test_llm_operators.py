@@ -283,6 +283,14 @@ def test_quality_line_frequency(spark):
     assert all(got[200 + i].kept for i in range(50)) and got[300].kept
 
 
+def test_quality_long_lines(spark):
+    passage = " ".join(f"notice{j}" for j in range(80))
+    rows = [(i, f"{passage}\nid{i}", "h", *[None] * 5) for i in range(30)] + [(100, passage, "other", *[None] * 5)]
+    got = {r.doc_id: r for r in quality.quality_rules(frame(spark, rows)).collect()}
+    assert all(got[i].n_removed_words == 80 and not got[i].kept for i in range(30))
+    assert got[100].kept and got[100].n_removed_words == 0
+
+
 # op 10
 
 
