@@ -4,16 +4,20 @@ A page is a stream of tags and texts. Repeats in a page are folded into
 repeated groups and texts into slots, which gives a union-free regular
 expression of the page. The expressions of one host are aligned one after the
 other: equal parts stay, what only one side has becomes optional, what comes
-several times becomes a repeated group. The result is the host's wrapper. Its
-text slots, with what all pages of the host have in them, tell article from
-surroundings, and every page's texts in article slots are its main text. A host
-may mix layouts: slots in an article element come first, and a page without
-text in any of these takes its other slots that vary.
-
-Pages are reduced to (host, expression) and (host, slot) counts where they are
-read, and alignment first folds salted parts of a host, so a host with a third
-of all pages stays small everywhere. The html itself is never shuffled while
-the wrappers are within a checked size, and salted beyond it.
+several times becomes a repeated group. The result is the host's wrapper. Every
+page is matched against it, which gives the wrapper's slot of each of its texts;
+a slot is a place in the wrapper, so two under one path stay apart. What the
+slots hold over the host's different pages (always the same, or varying; links)
+and where they are (in the element with most of the running text; in a repeated
+group of records) tells article from surroundings, see ``article_slots``. HTML's
+own elements (article, nav and the like) count as well; English class names only
+leave texts out, and neither on the way to the host's running text nor where a
+page would have no text without them. Copies of a page are one page here.
+
+Pages are reduced to counts by (host, expression) where they are read, and
+alignment first folds salted parts of a host, so a host with a third of all
+pages stays small everywhere. The html itself is never shuffled while the
+wrappers are within a checked size, and salted beyond it.
 
 Definitions for odd rows. Null or empty html, and a page without an article
 slot's text, gives an empty text. A null url belongs to the host ''. Every row
@@ -24,8 +28,9 @@ from __future__ import annotations
 
 import html as htmllib
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 from zlib import crc32
 
 import pandas as pd
@@ -63,12 +68,12 @@ ARTICLE = frozenset("article main".split())
 
 
 class Page:
-    """Blocks of a page: (path, text, words, words in links), in order, and its expression."""
+    """Blocks of a page: (text, words, words in links), in order, its expression, and the expression's slot of each block."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, int, int]] = []
+        self.blocks: list[tuple[str, int, int]] = []
         root: list = ["", []]
-        stack, paths = [root], [""]
+        stack = [root]
         held: list[str] = []
         links = [0, 0]  # open links, words in links so far
 
@@ -78,14 +83,16 @@ class Page:
                 held.clear()
                 if text:
                     n = text.count(" ") + 1
-                    self.blocks.append((paths[-1], text, n, min(n, links[1])))
-                    if stack[-1][1][-1:] != ["#"]:
-                        stack[-1][1].append("#")
+                    siblings = stack[-1][1]
+                    if not siblings or siblings[-1][0] != "#":
+                        siblings.append(["#", []])
+                    siblings[-1][1].append(len(self.blocks))
+                    self.blocks.append((text, n, min(n, links[1])))
             links[1] = 0
 
         def close(to: int) -> None:
             flush()
-            del stack[to:], paths[to:]
+            del stack[to:]
 
         at = 0
         for m in _TOKEN.finditer(source):
@@ -126,11 +133,14 @@ class Page:
             node: list = [label, [], name]
             stack[-1][1].append(node)
             stack.append(node)
-            paths.append(f"{paths[-1]}/{label}")
         if at < len(source):
             self._text(source[at:], held, links)
         flush()
-        self.expression = fold(root[1])
+        self.expression, leaves = fold(root[1])
+        self.slot = [0] * len(self.blocks)
+        for i, blocks in leaves:
+            for b in blocks:
+                self.slot[b] = i
 
     @staticmethod
     def _text(raw: str, held: list[str], links: list[int]) -> None:
@@ -143,24 +153,41 @@ class Page:
 # An expression is a tuple of parts; a part is (label or '#', mark, inner expression), its mark '', '?', '+' or '*'.
 
 
-def fold(children: list) -> tuple:
-    """The expression of a node's children: adjacent parts of one label become one repeated group."""
+Leaves = list[tuple[int, list[int]]]
+
+
+def fold(children: list) -> tuple[tuple, Leaves]:
+    """The expression of a node's children, adjacent parts of one label being one repeated group, and (slot, blocks) of its texts."""
     out: list[tuple] = []
+    held: list[list[tuple[tuple, Leaves]]] = []  # of each part, the expressions and texts it was made of
     for c in children:
-        part = ("#", "", ()) if c == "#" else (c[0], "", fold(c[1]))
-        if out and out[-1][0] == part[0]:
-            out[-1] = (part[0], "+", align(out[-1][2], part[2]))
+        inner, leaves = ((), [(0, c[1])]) if c[0] == "#" else fold(c[1])
+        if out and out[-1][0] == c[0]:
+            out[-1] = (c[0], "+", align(out[-1][2], inner))
+            held[-1].append((inner, leaves))
         else:
-            out.append(part)
+            out.append((c[0], "", inner))
+            held.append([(inner, leaves)])
     # a group of two labels that alternates
     i = 0
     while i + 3 < len(out):
         a, b = out[i], out[i + 1]
         if (a[0], b[0]) == (out[i + 2][0], out[i + 3][0]):
             out[i : i + 4] = [(a[0], "+", align(a[2], out[i + 2][2])), (b[0], "+", align(b[2], out[i + 3][2]))]
+            held[i : i + 4] = [held[i] + held[i + 2], held[i + 1] + held[i + 3]]
         else:
             i += 1
-    return tuple(out)
+    texts: Leaves = []
+    at = 0
+    for (label, _, whole), parts in zip(out, held, strict=True):
+        for inner, leaves in parts:
+            if label == "#" or inner == whole:
+                texts += [(at + k, blocks) for k, blocks in leaves]
+            else:
+                to = placed(inner, whole)
+                texts += [(at + to[k], blocks) for k, blocks in leaves]
+        at += 1 if label == "#" else count(whole)
+    return tuple(out), texts
 
 
 _MARKS = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}
@@ -231,42 +258,150 @@ def read(s: str) -> tuple:
     return parts(0)[0]
 
 
-def slots(e: tuple, path: str = "") -> Iterator[str]:
-    """Paths of an expression's text slots."""
-    for label, _, inner in e:
+def count(e: tuple) -> int:
+    """Number of an expression's slots; they are numbered in the order they are written."""
+    return sum(1 if label == "#" else count(inner) for label, _, inner in e)
+
+
+def slots(e: tuple, path: str = "", listed: bool = False) -> Iterator[tuple[str, bool]]:
+    """(path, listed) of an expression's slots; listed ones lie in a repeated group of records, which have elements of their own."""
+    for label, mark, inner in e:
         if label == "#":
-            yield path
+            yield path, listed
         else:
-            yield from slots(inner, f"{path}/{label}")
+            records = mark in ("+", "*") and any(x[0] != "#" for x in inner)
+            yield from slots(inner, f"{path}/{label}", listed or records)
 
 
-def outside(path: str, articles: bool) -> bool:
-    """Whether an element on the path holds no article text. An article within an article is judged by its names, as comments are."""
+def matched(e: tuple, w: tuple) -> list[int]:
+    """The slot of the wrapper w that each slot of e, an expression of fewer pages, falls in; -1 for none.
+
+    As many parts of e as can be are matched in order, a repeated part of w with
+    several, with as few parts left out that w always has. A part that comes
+    out of order falls in the last part of its label.
+    """
+    if e == w:
+        return list(range(count(e)))
+    n, m = len(e), len(w)
+    if [x[0] for x in e] == [x[0] for x in w]:
+        to = list(range(n))
+    else:
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for j in range(m - 1, -1, -1):
+            best[n][j] = best[n][j + 1] - (w[j][1] in ("", "+"))
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                found = max(best[i + 1][j], best[i][j + 1] - (w[j][1] in ("", "+")))
+                if e[i][0] == w[j][0]:
+                    found = max(found, 1000 + best[i + 1][j + 1])
+                    if w[j][1] in ("+", "*"):
+                        found = max(found, 1000 + best[i + 1][j])
+                best[i][j] = found
+        to = [-1] * n
+        i = j = 0
+        while i < n and j < m:
+            if e[i][0] == w[j][0] and best[i][j] == 1000 + best[i + 1][j + 1]:
+                to[i] = j
+                i, j = i + 1, j + 1
+            elif e[i][0] == w[j][0] and w[j][1] in ("+", "*") and best[i][j] == 1000 + best[i + 1][j]:
+                to[i] = j
+                i += 1
+            elif best[i][j] == best[i][j + 1] - (w[j][1] in ("", "+")):
+                j += 1
+            else:
+                i += 1
+        last = {x[0]: j for j, x in enumerate(w)}
+        to = [last.get(x[0], -1) if j < 0 else j for x, j in zip(e, to, strict=True)]
+    at = [0]
+    for label, _, inner in w:
+        at.append(at[-1] + (1 if label == "#" else count(inner)))
+    out: list[int] = []
+    for (label, _, inner), j in zip(e, to, strict=True):
+        if label == "#":
+            out.append(at[j] if j >= 0 else -1)
+        else:
+            out += [at[j] + x if x >= 0 else -1 for x in matched(inner, w[j][2])] if j >= 0 else [-1] * count(inner)
+    return out
+
+
+def placed(e: tuple, w: tuple) -> list[int]:
+    """As ``matched``; a slot without a match falls in the first one of its path, which every wrapper of the page has."""
+    to = matched(e, w)
+    if -1 in to:
+        first: dict[str, int] = {}
+        for i, (path, _) in enumerate(slots(w)):
+            first.setdefault(path, i)
+        to = [first[path] if i < 0 else i for i, (path, _) in zip(to, slots(e), strict=True)]
+    return to
+
+
+def outside(path: str, articles: bool, known: int = 0) -> bool:
+    """Whether an element on the path holds no article text. An article within an article is judged by its names, as comments are.
+
+    The names of the first ``known`` elements, which lead to the host's text, don't count.
+    """
     inside = False
-    for label in path.split("/")[1:]:
+    for depth, label in enumerate(path.split("/")[1:]):
         name, *marks = label.split(".")
-        whole = name in ("html", "body", "main") or name == "article" and not inside
+        whole = name in ("html", "body", "main") or name == "article" and not inside or depth < known
         if name in OUTSIDE or name == "header" and not inside or any(w in OUTSIDE_NAMES for w in marks) and not whole:
             return True
         inside = inside or name in ARTICLE or "article" in marks or "main" in marks
     return articles and not inside
 
 
-def article_slots(wrapper: tuple, seen: dict[str, tuple[int, int, int, bool]]) -> tuple[list[str], list[str]]:
-    """The wrapper's slots with article text; seen has (pages, words, words in links, whether always the same text) by slot.
+def article_slots(wrapper: tuple, seen: dict[int, tuple[int, int, int, bool]]) -> tuple[list[int], list[int], list[int]]:
+    """The wrapper's slots with article text; seen has (different pages, up to 3; words; words in links; whether always the same text) by slot.
 
-    First the slots inside article elements but outside menus, notices and the
-    like; then, for pages without text there, the other such slots that vary
-    and are not mostly links.
+    The wrapper tells where the host's running text is: in varying slots that
+    are not mostly links and not in lists of records, and from the root down in
+    the element with most of their words, whatever its names. Names and lists
+    tell what is left out below. First the slots inside article elements; then,
+    for pages without text there, other varying ones; then, for pages without
+    either, those that only names leave out.
     """
-    paths = sorted(set(slots(wrapper)))
-    marked = [p for p in paths if not outside(p, True)]
-    others = []
-    for p in paths:
-        pages, words, linked, same = seen.get(p, (0, 0, 0, False))
-        if outside(p, True) and not outside(p, False) and 2 * linked <= words and not (same and pages >= 3):
-            others.append(p)
-    return marked, others
+    every = list(slots(wrapper))
+    none = (0, 0, 0, False)
+
+    def varies(i: int) -> bool:
+        pages, words, linked, same = seen.get(i, none)
+        return 2 * linked <= words and not (same and pages >= 3)
+
+    def shown(i: int) -> bool:
+        """Whether enough different pages show that the slot varies, so that names need not be asked."""
+        pages, words, _, same = seen.get(i, none)
+        return words > 0 and varies(i) and pages >= 3 and not same
+
+    elements = [outside(path, False, path.count("/")) for path, _ in every]
+    weight = [seen.get(i, none)[1] if varies(i) and not elements[i] and not listed and (shown(i) or not outside(path, False)) else 0 for i, (path, listed) in enumerate(every)]
+    records = [seen.get(i, none)[1] if varies(i) and not elements[i] and listed else 0 for i, (_, listed) in enumerate(every)]
+    minor = sum(records) < sum(weight)
+    known = [0] * len(every)  # elements above the slot that lead to the running text
+    node, at, to = wrapper, 0, len(every)
+    while True:
+        most, first = None, at
+        for label, _, inner in node:
+            n = 1 if label == "#" else count(inner)
+            own, total = sum(weight[first : first + n]), sum(weight[at:to])
+            named = outside(f"/{label}", False) and not outside(f"/{label}", False, 1)
+            if any(x[0] != "#" for x in inner) and (10 * own > 9 * total if named else 2 * own > total):
+                most = (inner, first, first + n)
+            first += n
+        if most is None:
+            break
+        node, at, to = most
+        known[at:to] = [k + 1 for k in known[at:to]]
+    marked, others, rest = [], [], []
+    for i, (path, listed) in enumerate(every):
+        if not outside(path, True, known[i]):
+            marked.append(i)
+        elif not varies(i) or elements[i] or (listed and minor and not at <= i < to):
+            continue
+        elif not outside(path, False, known[i]):
+            others.append(i)
+        elif shown(i) and not listed:
+            rest.append(i)
+    return marked, others, rest
 
 
 def host_of(url: str | None) -> str:
@@ -275,40 +410,100 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0].lower()
 
 
-_REDUCED = "host string, expression string, path string, pages long, words long, linked long, low long, high long"
+_REDUCED = "host string, expression string, prints array<long>, counts array<long>"
+_SEEN = "host string, slot int, prints array<long>, words long, linked long, low long, high long"
+_CHOSEN = "host string, wrapper string, paths array<int>, others array<int>, rest array<int>"
+#: Different pages of a slot that are told apart: what is the same on this many is not text of a page.
+_DIFFERENT = 3
+
+
+def _print(page: Page) -> int:
+    """64 bits of a page's content."""
+    h = blake2b(written(page.expression).encode(), digest_size=8)
+    for text, _, _ in page.blocks:
+        h.update(b"\0" + text.encode("utf-8", "surrogatepass"))
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
+def _least(a: list[int], b) -> list[int]:
+    return sorted({*a, *b})[:_DIFFERENT]
 
 
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (host, expression) and of (host, slot), added up in the task."""
-    held: dict[tuple[str, str | None, str | None], list[int]] = {}
+    """Of (host, expression): the least values of its different pages, and (words, words in links, least and greatest value of the text) of each slot."""
+    held: dict[tuple[str, str], tuple[list[int], list[int]]] = {}
+    size = 0
 
     def out() -> pa.RecordBatch:
-        rows = [(*k, *v) for k, v in held.items()]
+        hosts, forms = zip(*held, strict=True)
+        prints, counts = zip(*held.values(), strict=True)
         held.clear()
-        kinds = [pa.string()] * 3 + [pa.int64()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_REDUCED.replace(",", "").split()[::2])
+        kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((hosts, forms, prints, counts), kinds, strict=True)], names=["host", "expression", "prints", "counts"])
 
     for batch in batches:
         for url, source in zip(batch.column(0), batch.column(1), strict=True):
-            page, host = Page(source.as_py() or ""), host_of(url.as_py())
-            k = (host, written(page.expression), None)
-            held.setdefault(k, [0, 0, 0, 0, 0])[0] += 1
-            own: dict[str, list] = defaultdict(lambda: [0, 0, 0])
-            for path, text, n, linked in page.blocks:
-                x = own[path]
-                x[0], x[1], x[2] = x[0] + n, x[1] + linked, crc32(text.encode(), x[2])
-            for path, (n, linked, same) in own.items():
-                x = held.get(k := (host, None, path))
-                if x is None:
-                    held[k] = [1, n, linked, same, same]
-                else:
-                    held[k] = [x[0] + 1, x[1] + n, x[2] + linked, min(x[3], same), max(x[4], same)]
-        if len(held) > 20_000:
+            page = Page(source.as_py() or "")
+            own = [[0, 0, 0] for _ in range(count(page.expression))]
+            for i, (text, n, linked) in zip(page.slot, page.blocks, strict=True):
+                x = own[i]
+                x[0], x[1], x[2] = x[0] + n, x[1] + linked, crc32(text.encode("utf-8", "surrogatepass"), x[2])
+            k = (host_of(url.as_py()), written(page.expression))
+            x = held.get(k)
+            if x is None:
+                held[k] = [_print(page)], [v for n, linked, same in own for v in (n, linked, same, same)]
+                size += len(own) + 1
+            else:
+                x[0][:] = _least(x[0], [_print(page)])
+                for i, (n, linked, same) in enumerate(own):
+                    c = x[1]
+                    c[4 * i : 4 * i + 4] = [c[4 * i] + n, c[4 * i + 1] + linked, min(c[4 * i + 2], same), max(c[4 * i + 3], same)]
+        if size > 20_000:
             yield out()
+            size = 0
     if held:
         yield out()
 
 
+def _gather(wrapper_of):
+    """Rows of _REDUCED, with the wrapper as a further column where there is no shared one, to counts of the wrappers' slots, added up in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(*k, *v) for k, v in held.items()]
+            held.clear()
+            kinds = [pa.string(), pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "slot", "prints", "words", "linked", "low", "high"])
+
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for host, expression, prints, counts, *wrapper in rows:
+                to = _slots_of(expression, wrapper[0] if wrapper else wrapper_of.value[host])
+                for i, slot in enumerate(to):
+                    n, linked, low, high = counts[4 * i : 4 * i + 4]
+                    x = held.get((host, slot))
+                    # several slots of a page may fall in one; it is the same on all pages only if all of them are
+                    held[host, slot] = [prints, n, linked, low, high] if x is None else [_least(x[0], prints), x[1] + n, x[2] + linked, min(x[3], low), max(x[4], high)]
+            if len(held) > 20_000:
+                yield out()
+        if held:
+            yield out()
+
+    return run
+
+
+@lru_cache(2048)
+def _slots_of(expression: str, wrapper: str) -> list[int]:
+    return placed(read(expression), _read(wrapper))
+
+
+@lru_cache(64)
+def _read(wrapper: str) -> tuple:
+    return read(wrapper)
+
+
 def _fold_host(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     wrapper: tuple | None = None
     for e in sorted(group["expression"]):
@@ -317,31 +512,49 @@ def _fold_host(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _choose(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    seen = {r.path: (int(r.pages), int(r.words), int(r.linked), r.low == r.high) for r in group.itertuples() if r.path is not None}
-    marked, others = article_slots(read(group["expression"].iloc[0]), seen)
-    return pd.DataFrame({"host": [key[0]], "wrapper": [group["expression"].iloc[0]], "paths": [marked], "others": [others]})
+    seen = {int(r.slot): (int(r.pages), int(r.words), int(r.linked), r.low == r.high) for r in group.itertuples() if not pd.isna(r.slot)}
+    wrapper = group["wrapper"].iloc[0]
+    marked, others, rest = article_slots(read(wrapper), seen)
+    return pd.DataFrame({"host": [key[0]], "wrapper": [wrapper], "paths": [marked], "others": [others], "rest": [rest]})
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 64) -> DataFrame:
-    """(host, wrapper, paths, others): each host's union-free expression, its article slots, and those for pages without text in these."""
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 64, broadcast_bytes: int = 16_000_000) -> DataFrame:
+    """(host, wrapper, paths, others, rest): each host's union-free expression, its article slots, and those for pages without text in these."""
+    spark = pages.sparkSession
     reduced = materialise(pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(_reduce, _REDUCED), "reduced")
-    forms = reduced.where("expression is not null").select("host", "expression").distinct().withColumn("salt", F.pmod(F.xxhash64("expression"), F.lit(salts)))
+    forms = reduced.select("host", "expression").distinct().withColumn("salt", F.pmod(F.xxhash64("expression"), F.lit(salts)))
     parts = forms.groupBy("host", "salt").applyInPandas(_fold_host, "host string, expression string")
-    hosts = parts.groupBy("host").applyInPandas(_fold_host, "host string, expression string")  # at most `salts` expressions a host
-    seen = reduced.where("path is not null").groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return materialise(hosts.join(seen, "host", "left").groupBy("host").applyInPandas(_choose, "host string, wrapper string, paths array<string>, others array<string>"), "wrappers")
-
-
-def _main_text(page: Page, paths, others) -> str:
-    chosen = [text for path, text, _, _ in page.blocks if path in paths]
-    return "\n".join(chosen or [text for path, text, _, _ in page.blocks if path in others])
+    hosts = materialise(parts.groupBy("host").applyInPandas(_fold_host, "host string, expression string").withColumnRenamed("expression", "wrapper"), "hosts")  # at most `salts` expressions a host
+    size = hosts.agg(F.sum(F.length("host") + F.length("wrapper") + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
+        seen = reduced.mapInArrow(_gather(spark.sparkContext.broadcast({r.host: r.wrapper for r in hosts.toLocalIterator()})), _SEEN)
+    else:
+        salted = reduced.withColumn("salt", F.pmod(F.xxhash64("expression"), F.lit(salts)))
+        spread = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        seen = salted.join(spread, ["host", "salt"]).select("host", "expression", "prints", "counts", "wrapper").mapInArrow(_gather(None), _SEEN)
+    # each task gives a few rows a slot, so the lists are short
+    different = F.size(F.array_distinct(F.flatten(F.collect_list("prints"))))
+    seen = seen.groupBy("host", "slot").agg(F.least(different, F.lit(_DIFFERENT)).alias("pages"), F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return materialise(hosts.join(seen, "host", "left").groupBy("host").applyInPandas(_choose, _CHOSEN), "wrappers")
+
+
+def _main_text(source: str | None, wrapper: str | None, *choices) -> str:
+    page = Page(source or "")
+    if not page.blocks or wrapper is None:
+        return ""
+    to = _slots_of(written(page.expression), wrapper)
+    for chosen in choices:
+        texts = [text for i, (text, _, _) in zip(page.slot, page.blocks, strict=True) if to[i] in chosen]
+        if texts:
+            return "\n".join(texts)
+    return ""
 
 
 def _apply_shared(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_host = shared.value
         for batch in batches:
-            texts = [_main_text(Page(s.as_py() or ""), *by_host.get(host_of(u.as_py()), (frozenset(), frozenset()))) for u, s in zip(batch.column(1), batch.column(2), strict=True)]
+            texts = [_main_text(s.as_py(), *by_host.get(host_of(u.as_py()), (None,))) for u, s in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return run
@@ -349,21 +562,20 @@ def _apply_shared(shared):
 
 def _apply_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [_main_text(Page(s.as_py() or ""), frozenset(p.as_py() or ()), frozenset(o.as_py() or ())) for s, p, o in zip(*batch.columns[2:], strict=True)]
+        texts = [_main_text(s.as_py(), w.as_py(), *(frozenset(c.as_py() or ()) for c in chosen)) for s, w, *chosen in zip(*batch.columns[2:], strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 16_000_000, salts: int = 64) -> DataFrame:
     """(page_id, url, text) of every row."""
-    spark, known = pages.sparkSession, wrappers(pages, url_col, html_col, salts)
+    spark, chosen = pages.sparkSession, wrappers(pages, url_col, html_col, salts, broadcast_bytes)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    chosen = known.select("host", "paths", "others")
-    size = chosen.agg(F.sum(F.length("host") + 64 + F.aggregate(F.concat("paths", "others"), F.lit(0), lambda n, p: n + F.length(p) + 64))).first()[0] or 0
+    size = chosen.agg(F.sum(F.length("host") + F.length("wrapper") + 32 * (F.size("paths") + F.size("others") + F.size("rest")) + 64)).first()[0] or 0
     if size <= broadcast_bytes:
-        by_host = {r.host: (frozenset(r.paths), frozenset(r.others)) for r in chosen.toLocalIterator()}
+        by_host = {r.host: (r.wrapper, frozenset(r.paths), frozenset(r.others), frozenset(r.rest)) for r in chosen.toLocalIterator()}
         return rows.mapInArrow(_apply_shared(spark.sparkContext.broadcast(by_host)), "page_id long, url string, text string")
     at = F.instr("url", "://")
     host = F.when(at > 0, F.lower(F.regexp_extract(F.expr("substring(url, instr(url, '://') + 3)"), r"^[^/?#]*", 0))).otherwise("")
     salted = rows.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(salts)))
     spread = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "paths", "others").mapInArrow(_apply_joined, "page_id long, url string, text string")
+    return salted.join(spread, ["host", "salt"], "left").select("page_id", "url", "html", "wrapper", "paths", "others", "rest").mapInArrow(_apply_joined, "page_id long, url string, text string")

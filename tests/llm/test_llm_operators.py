@@ -447,6 +447,36 @@ def test_extraction_of_mixed_layouts(spark):
         assert {r.page_id: r.text for r in extraction.main_text(df, broadcast_bytes=bound).collect()} == want
 
 
+def test_extraction_by_structure(spark):
+    menu = "<ul><li><a href='/'>Start</a></li><li><a href='/x'>Themen</a></li></ul>"
+    # a fixed text and the running text under one path; a list of teasers; an element of the running text with a name of boilerplate
+    rows = [(i, f"http://a.de/{i}", f"<div class='kasten'>Immer dieser Hinweis</div>{menu}<div class='kasten'>Bericht {i} mit vielen eigenen Worten</div>") for i in range(5)]
+    teasers = lambda i: "".join(f"<div class='kachel'><h3>Vorschau {i}{j}</h3><p>kurz {i}{j}</p></div>" for j in range(2 + i % 2))
+    rows += [(10 + i, f"http://b.de/{i}", f"<div class='inhalt'><h1>Titel {i}</h1><p>Absatz {i} {'wort ' * 20}</p><p>Ende {i}</p></div><div class='mehr'>{teasers(i)}</div>") for i in range(5)]
+    rows += [(20 + i, f"http://c.de/{i}", f"<p>Ein Gruss</p><div class='search'><h1>Suche {i}</h1><p>Text {i} eins</p><p>Text {i} zwei</p></div><div class='fuss'>Impressum</div>") for i in range(5)]
+    want = {i: f"Bericht {i} mit vielen eigenen Worten" for i in range(5)} | {10 + i: f"Titel {i}\nAbsatz {i} {'wort ' * 20}".strip() + f"\nEnde {i}" for i in range(5)} | {20 + i: f"Suche {i}\nText {i} eins\nText {i} zwei" for i in range(5)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for bound in (16_000_000, 0):
+        assert {r.page_id: r.text for r in extraction.main_text(df, broadcast_bytes=bound).collect()} == want
+
+
+def test_pages_match_their_wrapper():
+    rng = random.Random(3)
+
+    def some(depth):
+        return "".join(f"<{t}>{some(depth - 1) if depth and rng.random() < 0.7 else rng.choice(['text', ''])}</{t}>" for t in (rng.choice(["div", "ul", "h2", "section"]) for _ in range(rng.randrange(5))))
+
+    for _ in range(200):
+        pages = [extraction.Page(some(3)) for _ in range(5)]
+        wrapper = ()
+        for p in pages:
+            wrapper = extraction.align(wrapper, p.expression)
+        whole = [path for path, _ in extraction.slots(wrapper)]
+        for p in pages:
+            own = [path for path, _ in extraction.slots(p.expression)]
+            assert [whole[i] for i in extraction.placed(p.expression, wrapper)] == own and set(p.slot) == set(range(len(own)))
+
+
 def test_wrappers_align():
     e = lambda s: extraction.Page(s).expression
     a, b = e("<div><h1>x</h1><p>a</p><p>b</p></div>"), e("<div><p>a</p></div><ul><li>x</li></ul>")
