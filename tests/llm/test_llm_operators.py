@@ -460,6 +460,17 @@ def test_extraction_by_structure(spark):
         assert {r.page_id: r.text for r in extraction.main_text(df, broadcast_bytes=bound).collect()} == want
 
 
+def test_extraction_of_copies(spark):
+    body = lambda i: f"<div class='post'><h1>Kopf {i}</h1><p>Der Text der Seite {i}</p></div><div class='fuss'>Impressum</div>"
+    rows = [(i, f"http://copies.de/{i}", body(0)) for i in range(4)]  # one page only, four times
+    rows += [(10 + i, f"http://mixed.de/{i}", body(i)) for i in range(4)]
+    rows += [(20 + i, f"http://mixed.de/copy{i}", "<section><p>Nur hier, aber dreimal</p></section><div class='fuss'>Impressum</div>") for i in range(3)]
+    got = {r.page_id: r.text for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "Kopf 0\nDer Text der Seite 0\nImpressum" for i in range(4))
+    assert all(got[10 + i] == f"Kopf {i}\nDer Text der Seite {i}" for i in range(4))
+    assert all(got[20 + i] == "Nur hier, aber dreimal" for i in range(3))
+
+
 def test_pages_match_their_wrapper():
     rng = random.Random(3)
 
