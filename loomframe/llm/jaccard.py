@@ -20,7 +20,10 @@ one prefix shingle is compared in a second turn: those outside the shingle's
 largest component against all. Places count: sets of nx and ny shingles that
 must share s of them share one among the first nx - s + 1 and ny - s + 1. After
 this turn every pair that may link is either compared or already connected, so
-no component is missed.
+no component is missed. Links inside components that others already connect take
+a third turn, which compares all nodes under a prefix shingle, hot ones in salted
+parts; it runs when ``Join.links`` or ``Join.link_counts`` is asked for, since
+its work grows with the square of a group of different near copies.
 
 Definitions for odd rows. Null, empty and blank texts have an empty set and
 link with nothing. A null id never links. Rows with one id are one node,
@@ -29,8 +32,9 @@ which has the links of all its texts. Every input row gives one result row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -246,19 +250,47 @@ def _sets_of(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 @dataclass
 class Join:
-    """documents: (doc_id, n_shingles, component_id); links: (a, b, shared, joined) between nodes; members: (doc_id, node) of rows with a set."""
+    """documents: (doc_id, n_shingles, component_id); connecting: (a, b, shared, joined), links between nodes that connect the components; members: (doc_id, node) of rows with a set."""
 
     documents: DataFrame
-    links: DataFrame
+    connecting: DataFrame
     members: DataFrame
+    others: Callable[[], DataFrame]
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """(a, b, shared, joined) of every link between nodes."""
+        return self.connecting.unionByName(self.others())
+
+    @cached_property
+    def link_counts(self) -> DataFrame:
+        """(doc_id, n_links): how many other documents each id has the same set as, or a link with."""
+        nodes = materialise(self.members.groupBy("doc_id").agg(F.array_sort(F.collect_set("node")).alias("nodes")), "nodes")  # an id's texts are few
+        # documents of one node and one set are counted together, those of several nodes by themselves
+        of = nodes.select("doc_id", F.explode("nodes").alias("node"), (F.size("nodes") > 1).alias("several"))
+        single = of.where("not several").groupBy("node").agg(F.count("*").alias("docs"))
+        several = materialise(of.where("several").select("doc_id", "node"), "several")
+        links = self.links.select("a", "b")
+        near = links.toDF("node", "other").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).unionByName(single.select("node", F.col("node").alias("other")))
+        if several.isEmpty():
+            counts = near.join(single.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("docs").alias("n"))
+            counts = of.join(counts, "node").select("doc_id", (F.col("n") - 1).alias("n_links"))
+        else:
+            near = near.unionByName(several.select("node", F.col("node").alias("other"))).distinct()
+            asked = near.select(F.array("node").alias("nodes"), "other").unionByName(several.join(nodes, "doc_id").join(near, "node").select("nodes", "other")).distinct()
+            alone = asked.join(single.withColumnRenamed("node", "other"), "other").groupBy("nodes").agg(F.sum("docs").alias("n"))
+            more = asked.join(several.withColumnRenamed("node", "other"), "other").select("nodes", "doc_id").distinct().groupBy("nodes").agg(F.count("*").alias("m"))
+            counts = nodes.join(alone, "nodes", "left").join(more, "nodes", "left").select("doc_id", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0)) - 1).alias("n_links"))
+        ids = self.documents.where("doc_id is not null").select("doc_id").distinct()
+        return ids.join(counts, "doc_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> Join:
     """All links of at least ``percent`` Jaccard similarity of k-word shingle sets, and their components.
 
-    Links run between nodes; a node stands for all rows of one set. links holds
-    every link that was verified; links inside a component that others already
-    connect are not all verified.
+    Links run between nodes; a node stands for all rows of one set. Components
+    need only some links inside them; the others are compared when the result's
+    ``links`` or ``link_counts`` is read.
     """
     spark, texts = docs.sparkSession, text_of(docs, id_col, text_col)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -293,7 +325,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = (F.col("cx") != F.col("cy")) & (F.col("px") <= F.col("nx") - share) & (F.col("py") <= F.col("ny") - share)
     more = outside.join(others, "token").where(near)
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = _verified(materialise(more, "candidates"), sketch, texts, k, percent)
+    more = materialise(more, "candidates")
+    late = _verified(more, sketch, texts, k, percent)
     links = links.unionByName(late)
     comp = components(links) if not late.isEmpty() else comp
     members = rows.join(sets, ["f1", "f2", "n"]).select("doc_id", "node").where("doc_id is not null").distinct()
@@ -309,7 +342,24 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lowest = label.groupBy("label").agg(F.min("least").alias("component_id"))
     label = materialise(label.join(lowest, "label").select("f1", "f2", "n", "component_id"), "labels")
     documents = rows.join(label, ["f1", "f2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return Join(documents, links, members)
+    return Join(documents, links, members, lambda: _others(tokens, pairs.unionByName(more), sketch, texts, k, percent))
+
+
+#: Nodes under one shingle that a task compares with the others of the shingle.
+_TOGETHER = 256
+
+
+def _others(tokens: DataFrame, compared: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, shared, joined) of the links among nodes under one prefix shingle that are not among the compared pairs."""
+    live = tokens.select("token", "node", "place", "n")
+    salts = live.groupBy("token").agg(F.ceil(F.count("*") / _TOGETHER).alias("salts"))
+    live = live.join(salts, "token")
+    left = live.select("token", F.pmod(F.xxhash64("node"), "salts").alias("salt"), F.col("node").alias("x"), F.col("place").alias("px"), F.col("n").alias("nx"))
+    right = live.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("node").alias("y"), F.col("place").alias("py"), F.col("n").alias("ny"))
+    share = F.expr(f"({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
+    near = (F.col("x") < F.col("y")) & (F.col("px") <= F.col("nx") - share) & (F.col("py") <= F.col("ny") - share)
+    pairs = left.join(right, ["token", "salt"]).where(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    return _verified(materialise(pairs.join(compared, ["a", "b"], "left_anti"), "candidates"), sketch, texts, k, percent)
 
 
 def _verified(pairs: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:

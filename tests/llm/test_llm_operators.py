@@ -103,6 +103,30 @@ def test_jaccard_components(spark, seed):
     assert got == brute_components(rows)
 
 
+def test_jaccard_links_are_all_links(spark):
+    rows = corpus(n=60, seed=5)
+    sets = {}
+    for r in rows:
+        w = words(fold(r[1]))
+        sets[r[0]] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
+    near = {(x, y) for x, y in itertools.combinations(sorted(sets), 2) if sets[x] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    join = jaccard.jaccard_join(frame(spark, rows))
+    ids = defaultdict(set)
+    for r in join.members.collect():
+        ids[r.node].add(r.doc_id)
+    links = join.links.collect()
+    got = {tuple(sorted((x, y))) for r in links for x in ids[r.a] for y in ids[r.b]}
+    assert got == {(x, y) for x, y in near if sets[x] != sets[y]} and len({(r.a, r.b) for r in links}) == len(links)
+    assert all((r.shared, r.joined) == (len(sets[r.a] & sets[r.b]), len(sets[r.a] | sets[r.b])) for r in links)
+    assert join.connecting.count() < len(links)
+    counts = Counter(x for pair in near for x in pair)
+    assert {r.doc_id: r.n_links for r in join.link_counts.collect()} == {i: counts[i] for i in sets}
+    # an id with two texts has the links of both
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g"), (3, "h i j k l m n"), (4, "o p q"), (None, "a b c d e f g"), (5, None)]
+    twice = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_links for r in twice.link_counts.collect()}[1] == 2 and {r.doc_id: r.n_links for r in twice.link_counts.where("doc_id > 3").collect()} == {4: 0, 5: 0}
+
+
 def test_jaccard_odd_rows(spark):
     assert jaccard.jaccard_join(empty(spark)).documents.count() == 0
     text = " ".join(WORDS)
