@@ -141,6 +141,7 @@ _m("range_number_mr", f"select sum(v) as total from (select v from {M} where k >
 _m("up_to", f"select k, v from {M} where k <= 99")(lambda m: m.where("k <= 99"))
 _m("down_to", f"select k, v from {M} where k >= 99")(lambda m: m.where("k >= 99"))
 _m("next_previous", f"select b.k, (select min(k) from {M} where k % 5 = 0 and k > b.k) as next, (select max(k) from {M} where k % 5 = 0 and k < b.k) as previous from {M} b where b.k % 7 = 3 and b.k < 2000")(lambda m: next_keys(m.where("k % 5 = 0"), m.where("k % 7 = 3 and k < 2000").select("k")))
+_m("next_previous_all", f"select k, lead(k) over (order by k) as next, lag(k) over (order by k) as previous from {M}")(lambda m: next_keys(m, m.select("k")))
 _m("key_rank", f"select count(*) filter (k < 77) as rank from {M}")(lambda m: m.agg(F.count_if(F.col("k") < 77).alias("rank")))
 _m("key_select", f"select k, v from {M} order by k limit 1 offset 42")(lambda m: select_rank(m, 42))
 _m("map_last", f"select k, v from {M} order by k desc limit 1")(lambda m: m.agg(F.max(F.struct("k", "v")).alias("e")).select("e.k", "e.v"))
@@ -156,5 +157,6 @@ _m("aug_val", f"select max(v) as aug from {M}")(lambda m: m.agg(F.max("v").alias
 _m("aug_left", f"select k, max(v) over (order by k) as aug from {M}")(lambda m: scan(m.toDF("idx", "x"), "max", True).select(F.col("idx").alias("k"), F.col("prefix").alias("aug")))
 _m("aug_right", f"select k, cast((select sum(v) from {M}) - sum(v) over (order by k) + v as bigint) as aug from {M}")(lambda m: scan(m.toDF("idx", "x")).crossJoin(F.broadcast(m.agg(F.sum("v").alias("s")))).select(F.col("idx").alias("k"), (F.col("s") - F.col("prefix")).alias("aug")))
 _m("aug_range", f"select r.k as id, cast(sum(m.v) as bigint) as total from {M} r join {M} m on m.k between r.k and r.k + 20 where r.k % 50 = 0 group by r.k")(lambda m: aug_range(m, m.where("k % 50 = 0").select(F.col("k").alias("id"), F.col("k").alias("lo"), (F.col("k") + 20).alias("hi"))))
+_m("aug_range_all", f"select k as id, cast(sum(v) over (order by k range between current row and 20 following) as bigint) as total from {M}")(lambda m: aug_range(m, m.select(F.col("k").alias("id"), F.col("k").alias("lo"), (F.col("k") + 20).alias("hi"))))
 _m("aug_filter", f"select k, v from {M} where v >= 300000")(lambda m: m.where("v >= 300000"))
 _m("aug_select", f"select min(k) as k from (select k, sum(v) over (order by k) as s from {M}) where s > 5000000")(lambda m: scan(m.toDF("idx", "x"), inclusive=True).where("prefix > 5000000").agg(F.min("idx").alias("k")))
