@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,7 +128,7 @@ def pagerank(e: DataFrame, vertices: DataFrame, rounds: int = 10, damping: float
     return rank
 
 
-def residual_pagerank(e: DataFrame, vertices: DataFrame, tolerance: float = 1e-3, alpha: float = 0.85, max_rounds: int = 1000) -> DataFrame:
+def residual_pagerank(e: DataFrame, vertices: DataFrame, tolerance: float = 1e-3, alpha: float = 0.85, max_rounds: int = 1 << 20) -> DataFrame:
     """(id, value): unnormalised push ranking; each vertex starts with residual 1 - alpha and hands alpha of it on while above the tolerance."""
     out = e.groupBy("src").agg(F.count("*").alias("deg"))
     e = stored(e.join(out, "src").select("src", "dst", "deg"))
@@ -320,17 +322,37 @@ def cycle_count(permutation: DataFrame) -> DataFrame:
     return c.agg(F.count_distinct("component").alias("cycles"))
 
 
-def separator(e: DataFrame, vertices: DataFrame, rounds: int = 20, seed: int = 1) -> DataFrame:
-    """(id, side): halves by the median of a power iteration on the lazy walk, orthogonal to the constant vector."""
+def separator(e: DataFrame, vertices: DataFrame, error: float = 5e-8, seed: int = 1, together: int = 1 << 22, max_rounds: int = 1 << 20) -> DataFrame:
+    """(id, side): halves by the median of a power iteration on the lazy walk, orthogonal to the constant vector, until the root mean square of its changes is below ``error``.
+
+    That takes thousands of rounds, which the driver does for at most ``together`` vertices and edges; beyond these a round is a join.
+    """
     both = undirected(e)
     deg = stored(degrees(both, vertices))
     both = stored(both)
     x = stored(vertices.select("id", (F.pmod(hashed(F.col("id"), seed), F.lit(1000003)) / 1000003.0 - 0.5).alias("x")))
-    for _ in range(rounds):
-        got = both.join(x.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("x").alias("s"))
-        new = deg.join(x, "id").join(got, "id", "left").select("id", "degree", (0.5 * F.col("x") + 0.5 * F.coalesce("s", F.lit(0.0)) / F.greatest("degree", F.lit(1))).alias("x"))
+    few = both.count() + deg.count() <= together
+    if few:
+        own = deg.join(x, "id").select("id", "degree", "x").orderBy("id").toPandas()
+        ends = both.select("src", "dst").toPandas()
+        src, dst = (np.searchsorted(own["id"], ends[c]) for c in ("src", "dst"))
+        d, v = own["degree"].to_numpy(float), own["x"].to_numpy(float)
+        for _ in range(max_rounds if len(own) else 0):
+            new = 0.5 * v + 0.5 * np.bincount(src, v[dst], len(v)) / np.maximum(d, 1)
+            new -= (new * d).sum() / max(d.sum(), 1)
+            new /= np.abs(new).max() or 1.0
+            far, v = np.sqrt(np.mean((new - v) ** 2)), new
+            if far < error:
+                break
+        x = stored(e.sparkSession.createDataFrame(pd.DataFrame({"id": own["id"], "x": v}), "id long, x double"))
+    for _ in range(0 if few else max_rounds):
+        got = both.join(x.select(F.col("id").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("x").alias("s"))
+        new = deg.join(x.select("id", F.col("x").alias("old")), "id").join(got, "id", "left").select("id", "degree", "old", (0.5 * F.col("old") + 0.5 * F.coalesce("s", F.lit(0.0)) / F.greatest("degree", F.lit(1))).alias("x"))
         stats = new.agg(F.sum(F.col("x") * F.col("degree")) / F.greatest(F.sum("degree"), F.lit(1)), F.max(F.abs("x"))).first()
-        x = stored(new.select("id", ((F.col("x") - stats[0]) / (stats[1] or 1.0)).alias("x")))
+        x = stored(new.select("id", ((F.col("x") - stats[0]) / (stats[1] or 1.0)).alias("x"), "old"))
+        moved = x.agg(F.sqrt(F.avg((F.col("x") - F.col("old")) ** 2))).first()[0]
+        if moved is None or moved < error:
+            break
     half = x.agg(F.percentile_approx("x", 0.5, 1 << 20)).first()[0]
     return x.select("id", F.when(F.col("x") > half, 1).otherwise(0).alias("side"))
 
@@ -398,7 +420,7 @@ _PR = f"with e as (select src, dst, count(*) over (partition by src) as deg from
 )
 _a("pagerank", _PR + " select id, round(rank * 1000, 6) as rank from r5")(lambda e, v: pagerank(e, v, 5).select("id", F.round(F.col("rank") * 1000, 6).alias("rank")))
 _a("pagerank_top", _PR + " select id, round(rank * 1000, 6) as rank from r5 order by r5.rank desc, id limit 20")(lambda e, v: pagerank(e, v, 5).orderBy(F.desc("rank"), "id").limit(20).select("id", F.round(F.col("rank") * 1000, 6).alias("rank")))
-_a("residual_pagerank")(lambda e, v: residual_pagerank(e, v, 0.02))
+_a("residual_pagerank")(residual_pagerank)
 _a("connected_components", f"with recursive u as materialized (select src, dst from {UND}), r(id, c) as (select c_custkey, 0 from customer where c_custkey = 0 union select dst, 0 from r join u on src = id) select c_custkey as id, case when c_custkey in (select id from r) then 0 else c_custkey end as component from customer")(components)
 _a("betweenness")(lambda e, v: betweenness(e, 0))
 _a("kcore")(kcore)
@@ -415,7 +437,7 @@ _a("min_spanning_forest")(lambda e, v: spanning_forest(_numbered(e)))
 _a("spanning_forest")(lambda e, v: spanning_forest(_numbered(e), False))
 _a("graph_colouring")(colouring)
 _a("low_diameter_decomposition")(low_diameter)
-_a("spectral_separator")(lambda e, v: separator(e, v, 6))
+_a("spectral_separator")(separator)
 
 
 def _supplies(s, d):

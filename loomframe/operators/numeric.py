@@ -48,8 +48,8 @@ def big_multiply(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([str(int(x) * int(y)) for x, y in zip(a, b, strict=True)])
 
 
-def k_means(points: DataFrame, k: int, epsilon: float = 1e-4, rounds: int = 20, seed: int = 1) -> DataFrame:
-    """(id, cluster) of points (id, v array<double>): distance-weighted seeding by hash order, then Lloyd rounds."""
+def k_means(points: DataFrame, k: int, epsilon: float = 1e-4, rounds: int = 1 << 20, seed: int = 1) -> DataFrame:
+    """(id, cluster) of points (id, v array<double>): distance-weighted seeding by hash order, then Lloyd rounds until no centre moves by epsilon."""
     spark = points.sparkSession
     pick = lambda r: F.pmod(F.xxhash64(F.lit(seed + r), "id"), F.lit(1 << 30)) / float(1 << 30)
     centres = [points.orderBy(pick(0), "id").first()["v"]]
@@ -284,7 +284,7 @@ register("big_multiply", "select o_orderkey as k, cast(cast(o_orderkey * 1000000
     lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("k"), big_multiply((F.col("o_orderkey") * 1000000007).cast("string"), (F.col("o_custkey") * 998244353).cast("string")).alias("v"))
 )
 register("fft")(lambda s, d: fft(table(s, d, "embeddings").select(F.col("vec_id").alias("block"), F.col("embedding").cast("array<double>").alias("xs"))).select("block", "k", F.round("re", 6).alias("re"), F.round("im", 6).alias("im")))
-register("k_means")(lambda s, d: k_means(_vectors(s, d), 4, rounds=5))
+register("k_means")(lambda s, d: k_means(_vectors(s, d), 4))
 register("vector_knn")(lambda s, d: k_nearest_vectors(_vectors(s, d).where("id % 100 = 0").toDF("q", "v"), _vectors(s, d), 10))
 register("upper_hull", "select x, y from (select p_size as x, max(p_retailprice) as y from part group by 1) a where not exists (select 1 from (select p_size as x, max(p_retailprice) as y from part group by 1) l, (select p_size as x, max(p_retailprice) as y from part group by 1) r where l.x < a.x and r.x > a.x and l.y + (r.y - l.y) * (a.x - l.x) / (r.x - l.x) >= a.y)")(lambda s, d: upper_hull(_parts(s, d)).select(F.col("x").cast("int").alias("x"), "y"))
 register("cartesian_tree")(lambda s, d: cartesian_tree(_parts(s, d).select(F.col("id").alias("idx"), F.col("y").alias("x"))))

@@ -200,3 +200,34 @@ def test_stream_matches_batch(spark, tmp_path):
     q = windows.tumbling(stream).writeStream.outputMode("complete").format("memory").queryName("tumbling").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("tumbling").collect())) == sorted(map(tuple, windows.tumbling(batch).collect()))
+
+
+def test_iterations_converge(spark):
+    from loomframe import registry
+    from loomframe.operators import numeric
+    from loomframe.operators.graph import order_graph
+
+    sf = "/root/testdata/sf0.001"
+    value = {r.id: r.value for r in registry.queries()["residual_pagerank"](spark, sf).collect()}
+    edges = [(r.src, r.dst) for r in order_graph(spark, sf).collect()]
+    left = dict.fromkeys(value, 0.15)
+    out = {v: sum(a == v for a, _ in edges) for v in {a for a, _ in edges}}
+    for a, b in edges:
+        left[b] += 0.85 * value[a] / out[a]
+    assert max(left[v] - value[v] for v in value) <= 1e-3 + 1e-9
+    points = {r.id: r.v for r in numeric._vectors(spark, sf).collect()}
+    cluster = {r.id: r.cluster for r in registry.queries()["k_means"](spark, sf).collect()}
+    groups = {c: [points[i] for i in cluster if cluster[i] == c] for c in set(cluster.values())}
+    centres = {c: [sum(x) / len(g) for x in zip(*g, strict=True)] for c, g in groups.items()}
+    far = lambda i, c: sum((a - b) ** 2 for a, b in zip(points[i], centres[c], strict=True))
+    assert all(far(i, cluster[i]) <= min(far(i, c) for c in centres) + 1e-3 for i in points)
+
+
+def test_separator_halves(spark):
+    line = spark.createDataFrame([(i, i + 1) for i in range(39)], "src long, dst long")
+    side = {r.id: r.side for r in A.separator(line, spark.range(40)).collect()}
+    assert len({side[i] for i in range(19)}) == len({side[i] for i in range(21, 40)}) == 1 and side[0] != side[39]
+    two = spark.createDataFrame([(i + o, j + o) for o in (0, 4) for i in range(4) for j in range(i)] + [(0, 4)], "src long, dst long")
+    for together in (0, 100):
+        side = {r.id: r.side for r in A.separator(two, spark.range(8), error=1e-2, together=together).collect()}
+        assert len({side[i] for i in range(4)}) == len({side[i] for i in range(4, 8)}) == 1 and side[0] != side[4]
