@@ -36,7 +36,22 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/loomframe-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _OWNED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table of :func:`materialise` that nothing reads any more, such as the round before the last of an iteration."""
+    path = getattr(df, "_written", None)
+    if path:
+        _delete(df.sparkSession, path)
+        _OWNED.remove((df.sparkSession, path))
 
 
 def release() -> None:
@@ -44,9 +59,7 @@ def release() -> None:
     while _OWNED:
         spark, path = _OWNED.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already; the folder is scratch space
             return
 
@@ -85,7 +98,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # small star: smaller neighbours and u itself are hung on the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = materialise(small, "edges")
+        after = materialise(small, "edges")
+        forget(edges)
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -317,13 +317,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens = tokens.join(comp, "node", "left").select("token", "node", "place", "n", F.coalesce("component", "node").alias("component"))
     tokens = materialise(tokens, "tokens")
     sizes = tokens.groupBy("token", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("c").alias("nodes")).where("parts > 1 and nodes > 2").select("token", "main")
+    main = sizes.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("c").alias("nodes")).where("parts > 1 and nodes > 2")
     apart = tokens.join(main, "token")
-    outside = apart.where("component <> main").select("token", F.col("node").alias("x"), F.col("place").alias("px"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    others = apart.select("token", F.col("node").alias("y"), F.col("place").alias("py"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    share = F.expr(f"({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
-    near = (F.col("cx") != F.col("cy")) & (F.col("px") <= F.col("nx") - share) & (F.col("py") <= F.col("ny") - share)
-    more = outside.join(others, "token").where(near)
+    more = _met(apart.where("component <> main"), apart, percent).where("cx <> cy")
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = materialise(more, "candidates")
     late = _verified(more, sketch, texts, k, percent)
@@ -349,16 +345,32 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 _TOGETHER = 256
 
 
+def _met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """(x, cx, y, cy) of the rows of ``left`` and ``right`` under one shingle whose sizes and places allow a link.
+
+    Rows are (token, node, place, n, component, nodes), nodes being the rows of
+    the token. A shingle of more than _TOGETHER nodes is compared in parts: a node meets
+    only those whose sizes fall in its own or a neighbouring band (outside of
+    which no two sets reach the similarity), and salted parts of these, so
+    that no task holds a hot shingle.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+    hot, salts = F.col("nodes") > _TOGETHER, F.ceil(F.col("nodes") / _TOGETHER)
+    none = F.array(F.lit(0))
+    left = left.withColumn("band", F.explode(F.when(hot, F.array(band - 1, band, band + 1)).otherwise(none)))
+    left = left.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0).cast("long"), salts - 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    left = left.select("token", "band", "salt", F.col("node").alias("x"), F.col("place").alias("px"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+    right = right.withColumn("band", F.when(hot, band).otherwise(0)).withColumn("salt", F.when(hot, F.pmod(F.xxhash64("node"), salts)).otherwise(F.lit(0).cast("long")))
+    right = right.select("token", "band", "salt", F.col("node").alias("y"), F.col("place").alias("py"), F.col("n").alias("ny"), F.col("component").alias("cy"))
+    share = F.expr(f"({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
+    near = (F.col("x") != F.col("y")) & (F.col("px") <= F.col("nx") - share) & (F.col("py") <= F.col("ny") - share) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    return left.join(right, ["token", "band", "salt"]).where(near).select("x", "cx", "y", "cy")
+
+
 def _others(tokens: DataFrame, compared: DataFrame, sketch: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, shared, joined) of the links among nodes under one prefix shingle that are not among the compared pairs."""
-    live = tokens.select("token", "node", "place", "n")
-    salts = live.groupBy("token").agg(F.ceil(F.count("*") / _TOGETHER).alias("salts"))
-    live = live.join(salts, "token")
-    left = live.select("token", F.pmod(F.xxhash64("node"), "salts").alias("salt"), F.col("node").alias("x"), F.col("place").alias("px"), F.col("n").alias("nx"))
-    right = live.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("node").alias("y"), F.col("place").alias("py"), F.col("n").alias("ny"))
-    share = F.expr(f"({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
-    near = (F.col("x") < F.col("y")) & (F.col("px") <= F.col("nx") - share) & (F.col("py") <= F.col("ny") - share)
-    pairs = left.join(right, ["token", "salt"]).where(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    live = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("nodes")).where("nodes > 1"), "token")
+    pairs = _met(live, live, percent).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     return _verified(materialise(pairs.join(compared, ["a", "b"], "left_anti"), "candidates"), sketch, texts, k, percent)
 
 

@@ -96,14 +96,17 @@ def brute_components(rows):
     return {d: (len(s), find(d)) for d, s in sets}
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_jaccard_components(spark, seed):
+@pytest.mark.parametrize(("seed", "together"), [(4, 256), (5, 256), (6, 1), (7, 5)])
+def test_jaccard_components(spark, monkeypatch, seed, together):
+    monkeypatch.setattr(jaccard, "_TOGETHER", together)
     rows = corpus(seed=seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(frame(spark, rows)).documents.collect()}
     assert got == brute_components(rows)
 
 
-def test_jaccard_links_are_all_links(spark):
+@pytest.mark.parametrize("together", [256, 3])
+def test_jaccard_links_are_all_links(spark, monkeypatch, together):
+    monkeypatch.setattr(jaccard, "_TOGETHER", together)
     rows = corpus(n=60, seed=5)
     sets = {}
     for r in rows:
