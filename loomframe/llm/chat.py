@@ -37,19 +37,22 @@ def unescape(text: Column) -> Column:
 
 def messages(events: DataFrame) -> DataFrame:
     """(conv_id, messages array<struct<role, text>>) of events (conv_id, seq, message, kind, role, text)."""
-    blank = F.expr("cast(array() as array<struct<role:string,text:string>>)")
+    # texts are kept as the deltas they are made of and joined once, so that a message takes time in proportion to its length
+    blank = F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)")
     event = F.struct(F.col("seq"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("kind"))
-    one = lambda role, text: F.struct(role.alias("role"), text.alias("text"))
+    one = lambda role, texts: F.struct(role.alias("role"), texts.alias("texts"))
 
     def fold(done: Column, e: Column) -> Column:
         # done[0] is the newest message
         last, rest = F.get(done, F.lit(0)), F.slice(done, 2, F.greatest(F.size(done), F.lit(1)))
         fresh = (e["kind"] == "message") | (F.size(done) == 0) & e["kind"].isin("delta", "edit")
-        changed = F.when(e["kind"] == "delta", F.concat(last["text"], e["text"])).when(e["kind"] == "edit", e["text"]).otherwise(F.lit(""))
-        return F.when(fresh, F.concat(F.array(one(e["role"], e["text"])), done)).when(e["kind"].isin("delta", "edit", "regenerate") & (F.size(done) > 0), F.concat(F.array(one(last["role"], changed)), rest)).otherwise(done)
+        changed = F.when(e["kind"] == "delta", F.array_append(last["texts"], e["text"])).when(e["kind"] == "edit", F.array(e["text"])).otherwise(F.array().cast("array<string>"))
+        return F.when(fresh, F.concat(F.array(one(e["role"], F.array(e["text"]))), done)).when(e["kind"].isin("delta", "edit", "regenerate") & (F.size(done) > 0), F.concat(F.array(one(last["role"], changed)), rest)).otherwise(done)
 
     by_message = events.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    by_message = by_message.select("conv_id", "message", F.reverse(F.aggregate("events", blank, fold)).alias("done"))
+    by_message = by_message.select("conv_id", "message", F.aggregate("events", blank, fold).alias("parts"))
+    whole = F.transform(F.reverse("parts"), lambda m: F.struct(m["role"].alias("role"), F.array_join(m["texts"], "").alias("text")))
+    by_message = by_message.select("conv_id", "message", whole.alias("done"))
     ordered = F.array_sort(F.collect_list(F.struct(F.col("message").isNotNull().alias("real"), "message", "done")))
     return by_message.groupBy("conv_id").agg(ordered.alias("all")).select("conv_id", F.flatten(F.transform("all", lambda m: m["done"])).alias("messages"))
 
