@@ -8,8 +8,10 @@ score does, and make the seeds: a host whose pages the rules mostly allow is
 trusted, one whose pages they mostly block is distrusted.
 
 Links are reduced to host pairs where pages are read, and each round is one
-join and one partial aggregate over those pairs, so a host with a third of all
-pages or links is a few rows.
+join and one partial aggregate over those pairs. Rounds go on until no host's score,
+relative to a uniform share, moves by more than a hundredth of the threshold. A host
+with many pages is one row in the graph; its pages get its score from a broadcast
+table of the hosts with more than 1/``share`` of all pages, and the others by a join.
 
 Definitions for odd rows. A null url, or one without ``://``, has an empty
 host and path; no rule fits it and its host is not in the graph, so it is
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, materialise
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -82,11 +84,12 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return out.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-3, damping: float = 0.85) -> DataFrame:
     """(host, trust, distrust) of edges (src, dst, n) and seeds (host, trusted, blocked weights).
 
     Both walks run at once: trust along the edges, distrust against them. Each
-    score is a share of 1 over all hosts.
+    score is a share of 1 over all hosts. Rounds go on until the scores times the number of hosts
+    move by less than ``tolerance``; each shrinks the error by ``damping``, so they end.
     """
     total = seeds.agg(F.sum("trusted"), F.sum("blocked")).first()
     good, bad = float(total[0] or 0) or 1.0, float(total[1] or 0) or 1.0
@@ -97,19 +100,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 10, damping: flo
     scores = seeds.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
     if step.isEmpty():  # nothing to flow along: every round gives the same
         return scores.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
-    for _ in range(rounds):
+    while True:
         moved = step.join(scores.withColumnRenamed("host", "src"), "src")
         moved = moved.groupBy(F.col("dst").alias("host")).agg(F.sum(F.when(F.col("along"), F.col("w") * F.col("trust")).otherwise(0.0)).alias("t"), F.sum(F.when(F.col("along"), 0.0).otherwise(F.col("w") * F.col("distrust"))).alias("d"))
-        scores = seeds.join(moved, "host", "full").select(
+        after = seeds.join(moved, "host", "full").select(
             "host",
             ((1 - damping) * F.coalesce("t0", F.lit(0.0)) + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
             ((1 - damping) * F.coalesce("d0", F.lit(0.0)) + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
         )
-        scores = materialise(scores, "scores")
-    return scores
+        after = materialise(after, "scores")
+        change = F.greatest(F.abs(after["trust"] - F.coalesce("t", F.lit(0.0))), F.abs(after["distrust"] - F.coalesce("d", F.lit(0.0))))
+        most, hosts = after.join(scores.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d")), "host", "left").agg(F.max(change), F.count("*")).first()
+        forget(scores)
+        scores = after
+        if (most or 0.0) * hosts <= tolerance:
+            return scores
 
 
-def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int = 10, damping: float = 0.85, threshold: float = 0.1) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", damping: float = 0.85, threshold: float = 0.1, share: int = 1024) -> DataFrame:
     """(page_id, url, host, path, rule, verdict, trust, distrust) of every row.
 
     trust and distrust are relative to a uniform share: 1 is what a host would
@@ -118,11 +126,18 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     """
     url = F.col(url_col).cast("string")
     judged = matched(pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path")), rules)
-    by_host = judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("a"), F.count_if(F.col("rule_verdict") == "block").alias("b"))
-    seeds = materialise(by_host.select("host", F.when(F.col("a") > F.col("b"), 1.0).otherwise(0.0).alias("trusted"), F.when(F.col("b") > F.col("a"), 1.0).otherwise(0.0).alias("blocked")), "hosts")
-    scores = propagate(host_edges(pages.select(url.alias("url"), F.col(html_col).cast("string").alias("html"))), seeds, rounds, damping)
+    by_host = judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("a"), F.count_if(F.col("rule_verdict") == "block").alias("b"), F.count("*").alias("pages"))
+    seeds = materialise(by_host.select("host", "pages", F.when(F.col("a") > F.col("b"), 1.0).otherwise(0.0).alias("trusted"), F.when(F.col("b") > F.col("a"), 1.0).otherwise(0.0).alias("blocked")), "hosts")
+    scores = propagate(host_edges(pages.select(url.alias("url"), F.col(html_col).cast("string").alias("html"))), seeds, threshold / 100, damping)
     hosts = float(max(1, scores.count()))
     scores = scores.select("host", (F.col("trust") * hosts).alias("trust"), (F.col("distrust") * hosts).alias("distrust"))
-    out = judged.join(scores, "host", "left").withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
+    # hosts with more than 1/share of all pages are fewer than `share` rows; their pages need no shuffle
+    most = (seeds.agg(F.sum("pages")).first()[0] or 0) // share
+    hot = scores.join(seeds.where(F.col("pages") > most), "host", "left_semi").select("host", F.col("trust").alias("hot_trust"), F.col("distrust").alias("hot_distrust"))
+    out = judged.join(F.broadcast(hot), "host", "left")
+    out = out.withColumn("cold", F.when(F.col("hot_trust").isNull() & (F.col("host") != ""), F.col("host")))
+    apart, rest = out.where("cold is null"), out.where("cold is not null").join(scores, "host", "left")
+    out = apart.withColumn("trust", F.col("hot_trust")).withColumn("distrust", F.col("hot_distrust")).unionByName(rest)
+    out = out.withColumn("trust", F.coalesce("trust", F.lit(0.0))).withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
     own = F.when((F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return out.select("page_id", "url", "host", "path", "rule", F.coalesce("rule_verdict", own).alias("verdict"), "trust", "distrust")
