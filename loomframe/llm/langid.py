@@ -5,17 +5,18 @@ over an n-gram's slots is the set of all languages that contain it. A text's
 hits are counted by language (popcounts), corrected for the filter's false
 positives, and the language with the most true hits is the prediction.
 
-The filter is learned from a bounded sample: ``train_rows`` labelled rows of
-each language, picked by a hash of their id, of the ``max_languages`` most
-frequent languages, and of each the ``grams`` most frequent n-grams. An
-n-gram belongs to a language if it is at least ``near`` times as frequent there
-as where it is most frequent. n-grams are of bytes: A-Z lower-cased, runs of
-other ASCII characters that are not letters read as one space each.
+The filter is learned from a bounded sample: ``train_rows`` different labelled
+rows of each language, picked by a hash of their id and text. All languages and
+all n-grams of the sample are learned; the number of slots follows from the language
+with the most n-grams, so that its share of set bits stays below a third.
+n-grams are of bytes: A-Z lower-cased, other ASCII characters that are not
+letters read as one space each.
 
 Definitions for odd rows. A null text, or one without a letter, is ``und`` with
 score 0. A text with letters but without any known n-gram, and every tie, goes
 to the language with more training rows. Rows with a null language are not
-learned from. With nothing to learn from, all is ``und``.
+learned from; equal rows are learned from once, and rows with one id are rows of their own. With nothing to
+learn from, all is ``und``.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .textcore import _BASE, _INVERSE, _VALUES, _power, chunks, mix
 
 GRAMS = (3, 5)
-#: log2 of the filter's slots, and its hash functions.
-SLOT_BITS, HASHES = 20, 3
+#: Hash functions of the filter, and log2 of its slots at least and of those written as one block.
+HASHES, LEAST_BITS, BLOCK_BITS = 3, 16, 12
 _MIXERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 _NORMAL = np.arange(256, dtype=np.uint8)
@@ -57,22 +59,41 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
         yield text, mix((total[first + k] - total[first]) * inverse[first] + np.uint64(k))
 
 
-def slots(values: np.ndarray) -> Iterator[np.ndarray]:
+def slots(values: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     for odd in _MIXERS[:HASHES]:
-        yield (mix(values ^ odd) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        yield (mix(values ^ odd) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def slot_bits(most: int) -> int:
+    """log2 of the slots for a language of ``most`` n-grams: at least 8 slots for each."""
+    return max(LEAST_BITS, (8 * most - 1).bit_length())
+
+
+def mask_type(languages: int) -> np.dtype:
+    """Of the masks of one plane: as many bits as there are languages, up to 64."""
+    return np.dtype(f"u{next((n for n in (1, 2, 4) if languages <= 8 * n), 8)}")
+
+
+def new_planes(languages: int, bits: int) -> np.ndarray:
+    kind = mask_type(languages)
+    return np.zeros((-(-languages // (8 * kind.itemsize)), 1 << bits), kind)
+
+
+def mark(planes: np.ndarray, language: int, values: np.ndarray) -> None:
+    """Sets the language's bit in the slots of its n-grams."""
+    width, bits = 8 * planes.itemsize, planes.shape[1].bit_length() - 1
+    for s in slots(values, bits):
+        planes[language // width, s] |= planes.dtype.type(1 << language % width)
 
 
 class Filter:
-    """Languages and the bit slices of their n-grams, eight languages a plane."""
+    """Languages and, for every slot, the mask of those that have it, in planes of up to 64 languages."""
 
-    def __init__(self, languages: list[str], learned: list[np.ndarray]):
-        self.languages = languages
-        self.planes = np.zeros((-(-len(languages) // 8), 1 << SLOT_BITS), np.uint8)
-        for i, values in enumerate(learned):
-            for s in slots(values):
-                self.planes[i // 8, s] |= np.uint8(1 << i % 8)
-        bits = [((self.planes[i // 8] >> (i % 8)) & 1).mean() for i in range(len(languages))]
-        self.false = np.array(bits, np.float64) ** HASHES
+    def __init__(self, languages: list[str], planes: np.ndarray):
+        self.languages, self.planes = languages, planes
+        self.width, self.bits = 8 * planes.itemsize, planes.shape[1].bit_length() - 1
+        filled = [((planes[i // self.width] >> planes.dtype.type(i % self.width)) & planes.dtype.type(1)).mean() for i in range(len(languages))]
+        self.false = np.array(filled, np.float64) ** HASHES
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """n-grams by text, and those found by text and language."""
@@ -80,14 +101,17 @@ class Filter:
         n, found = np.zeros(texts, np.int64), np.zeros((texts, len(self.languages)), np.int64)
         for text, values in grams(data, offsets):
             n += np.bincount(text, minlength=texts)
-            at = list(slots(values))
+            at = list(slots(values, self.bits))
             for p, plane in enumerate(self.planes):
                 mask = plane[at[0]]
                 for s in at[1:]:
-                    mask = mask & plane[s]
-                table = np.bincount(text * 256 + mask, minlength=texts * 256).reshape(texts, 256)
-                own = min(8, len(self.languages) - 8 * p)
-                found[:, 8 * p : 8 * p + own] += table @ ((np.arange(256)[:, None] >> np.arange(own)) & 1)
+                    mask &= plane[s]
+                for byte in range(0, min(self.width, len(self.languages) - p * self.width), 8):
+                    first = p * self.width + byte
+                    own = min(8, len(self.languages) - first)
+                    eight = ((mask >> plane.dtype.type(byte)) & plane.dtype.type(255)).astype(np.int64)
+                    table = np.bincount(text * 256 + eight, minlength=texts * 256).reshape(texts, 256)
+                    found[:, first : first + own] += table @ ((np.arange(256)[:, None] >> np.arange(own)) & 1)
         return n, found
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,27 +134,47 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(count)], names=["lang", "gram", "c"])
 
 
-def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 1000, max_languages: int = 64, grams_each: int = 50_000, near: float = 0.5) -> Filter:
-    """The filter learned from the rows of ``docs`` for which ``train`` holds; the bounds are stated above."""
-    picked = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    found = picked.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+def _blocks(languages: list[str], bits: int):
+    """(plane, block, masks) of the blocks of slots that a task's (lang, gram) rows touch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {x: i for i, x in enumerate(languages)}
+        planes = new_planes(len(languages), bits)
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            values = np.asarray(batch.column(1)).view(np.uint64)
+            own = np.asarray(langs.indices)
+            for i, name in enumerate(langs.dictionary.to_pylist()):
+                mark(planes, number[name], values[own == i])
+        rows = [(p, at, part.tobytes()) for p, plane in enumerate(planes) for at, part in enumerate(plane.reshape(-1, 1 << BLOCK_BITS)) if part.any()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["plane", "block", "masks"])
+
+    return run
+
+
+def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 1000) -> Filter:
+    """The filter learned from the rows of ``docs`` for which ``train`` holds, at most ``train_rows`` of each language."""
+    spark = docs.sparkSession
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    picked = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("place", place)
+    found = picked.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row a language
     if not found:
-        return Filter([], [])
-    spark, place = docs.sparkSession, F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 40))
-    # ids below a threshold that leaves about twice the wanted rows, so that no language's rows meet in one task
+        return Filter([], new_planes(0, LEAST_BITS))
+    # places below a threshold that leaves about twice the wanted rows, so that no language's rows meet in one task
     below = spark.createDataFrame([(r.lang, int(min(1.0, (2.0 * train_rows + 50) / r.n) * (1 << 40))) for r in found], "lang string, below long")
-    some = picked.select("doc_id", "lang", place.alias("place")).join(F.broadcast(below), "lang").where("place < below")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
-    ids = some.withColumn("r", rank).where(F.col("r") <= train_rows).select("doc_id").distinct()
-    sample = picked.join(F.broadcast(ids), "doc_id", "left_semi").join(F.broadcast(below.select("lang")), "lang", "left_semi")  # at most train_rows * max_languages ids
-    counts = sample.select("text", "lang").mapInArrow(_train, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-    share = F.col("c") / F.sum("c").over(Window.partitionBy("lang"))
-    counts = counts.withColumn("share", share).withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where((F.col("c") >= 2) & (F.col("share") >= near * F.col("most")))
-    counts = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "gram"))).where(F.col("r") <= grams_each)
-    by: dict[str, list[int]] = {r.lang: [] for r in found}
-    for lang, gram in counts.select("lang", "gram").toLocalIterator():  # at most grams_each * max_languages numbers
-        by[lang].append(gram)
-    return Filter(list(by), [np.array(v, np.int64).view(np.uint64) for v in by.values()])
+    some = picked.select("lang", "place").join(F.broadcast(below), "lang").where("place < below").select("lang", "place").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = some.withColumn("r", rank).where(F.col("r") <= train_rows).select("lang", "place")
+    sample = picked.join(F.broadcast(chosen), ["lang", "place"], "left_semi").dropDuplicates(["lang", "place"])  # at most train_rows rows a language
+    learned = materialise(sample.select("text", "lang").mapInArrow(_train, "lang string, gram long, c long").select("lang", "gram").distinct(), "grams")
+    languages = [r.lang for r in found]
+    most = learned.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    planes = new_planes(len(languages), slot_bits(most))
+    size = 1 << BLOCK_BITS
+    for p, at, masks in learned.mapInArrow(_blocks(languages, slot_bits(most)), "plane int, block int, masks binary").toLocalIterator():
+        planes[p, at * size : (at + 1) * size] |= np.frombuffer(masks, planes.dtype)
+    return Filter(languages, planes)
 
 
 def has_letter(text: str | None) -> bool:

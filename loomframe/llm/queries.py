@@ -40,7 +40,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    """Whether a row's language is not learned from; the text of a null id is empty."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
