@@ -70,11 +70,15 @@ def spans(text: Column, rule: Rule) -> tuple[Column, Column, Column, Column]:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, kind, version, start, end) of rows (blob, text): spans in code points, end exclusive."""
+    """(blob, kind, version, start, end) of rows (blob, text, todo): spans in code points, end exclusive.
+
+    todo holds the (kind, version) pairs that a row is scanned for; no other rule is tried on it.
+    """
     parts = []
-    texts = blobs.select("blob", F.coalesce("text", F.lit("")).alias("text"))
+    texts = blobs.select("blob", F.coalesce("text", F.lit("")).alias("text"), "todo")
     # one pass: the rules that match, then for those the pieces, then the running sums
-    marked = texts.select("blob", "text", *[spans(F.col("text"), r)[3].alias(f"m{i}") for i, r in enumerate(rules)])
+    asked = lambda r: F.array_contains("todo", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")))
+    marked = texts.select("blob", "text", *[F.when(asked(r), spans(F.col("text"), r)[3]).otherwise(F.lit(False)).alias(f"m{i}") for i, r in enumerate(rules)])
     marked = marked.where(" or ".join(f"m{i}" for i in range(len(rules))))
     for i, r in enumerate(rules):
         between, whole, group, _ = spans(F.col("text"), r)
@@ -110,7 +114,8 @@ def empty_ledger(spark) -> Ledger:
 def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Ledger]:
     """Findings (path, blob, kind, version, start, end) of all paths under ``rules``, and the ledger after the scan.
 
-    The first row of a blob stands for it, so each unseen text is read once.
+    The first row of a blob stands for it, so each unseen text is read once, and tried only with the rules that the
+    ledger lacks for it: after a new version of one rule, no other rule is tried on a known blob.
     """
     spark = docs.sparkSession
     ledger = ledger or empty_ledger(spark)
@@ -126,9 +131,7 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...]
     # the holder's text; a null or repeated path finds its blob by the hash
     full = texts.join(todo.select(F.col("path").alias("p"), F.col("blob").alias("b"), "todo"), F.col("path").eqNullSafe(F.col("p")), "inner")
     full = full.where(blob_of(F.col("text")) == F.col("b")).select("b", "text", "todo").withColumnRenamed("b", "blob")
-    parts = scan_blobs(full.select("blob", "text"), rules).distinct()
-    fresh = parts.join(todo.select("blob", F.explode("todo").alias("t")).select("blob", "t.kind", "t.version"), ["blob", "kind", "version"], "left_semi") if ledger.scanned.limit(1).count() else parts
-    fresh = materialise(fresh, "findings")
+    fresh = materialise(scan_blobs(full, rules).distinct(), "findings")
     after = Ledger(ledger.scanned.unionByName(todo.select("blob", F.explode("todo").alias("t")).select("blob", "t.kind", "t.version")), ledger.findings.unionByName(fresh))
     found = after.findings.join(F.broadcast(wanted), ["kind", "version"])
     return held.join(found, "blob").select("path", "blob", "kind", "version", "start", "end"), after
