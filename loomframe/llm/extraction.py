@@ -19,6 +19,10 @@ alignment first folds salted parts of a host, so a host with a third of all
 pages stays small everywhere. The html itself is never shuffled while the
 wrappers are within a checked size, and salted beyond it.
 
+An expression is at most ``DEPTH`` elements deep: what lies deeper is read as part
+of the element at that depth. It has at most ``WIDE`` parts side by side: beyond that,
+parts of one label are one repeated group, then those of one element, then all. No text is lost by either.
+
 Definitions for odd rows. Null or empty html, and a page without an article
 slot's text, gives an empty text. A null url belongs to the host ''. Every row
 gives one result row. Unclosed tags end with what holds them.
@@ -28,12 +32,12 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from zlib import crc32
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +69,13 @@ OUTSIDE_NAMES = frozenset(
 #: Beginnings of names that tell of a page's layout, such as has-sidebar, and not of what the element holds.
 _LAYOUT = re.compile(r"(?:has|no|with|without)[-_]", re.IGNORECASE)
 ARTICLE = frozenset("article main".split())
+#: Within an article a name counts only if all of its words are of the list above or of these (as in ad-box), and
+#: header never; of elements that are a block of text, only the last ones count.
+PARTS = frozenset("area bar block body box button buttons card container content element entry group holder inner item items link links list outer panel post posts section text widget wrap wrapper".split())
+TEXTUAL = frozenset("blockquote figcaption h1 h2 h3 h4 h5 h6 p pre".split())
+NEVER_TEXT = frozenset("ad ads advert advertisement adverts advertising breadcrumb breadcrumbs comment comments cookie cookies newsletter sponsor sponsored".split())
+#: Limits of an expression's shape.
+DEPTH, WIDE = 100, 48
 
 
 class Page:
@@ -74,6 +85,7 @@ class Page:
         self.blocks: list[tuple[str, int, int]] = []
         root: list = ["", []]
         stack = [root]
+        opened: Counter = Counter()  # elements on the stack by name
         held: list[str] = []
         links = [0, 0]  # open links, words in links so far
 
@@ -92,6 +104,7 @@ class Page:
 
         def close(to: int) -> None:
             flush()
+            opened.subtract(x[2] for x in stack[to:])
             del stack[to:]
 
         at = 0
@@ -111,10 +124,9 @@ class Page:
                 held.append(" ")
                 continue
             if m[2]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][2] == name:
-                        close(i)
-                        break
+                name = _SIGNS.sub("", name)
+                if opened[name] > 0:
+                    close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][2] == name))
                 else:
                     flush()
                 continue
@@ -127,10 +139,13 @@ class Page:
                 while len(stack) > 1 and stack[-1][2] in CLOSES[name]:
                     close(len(stack) - 1)
             names = [x for g in _NAMES.findall(m[4] or "") for x in "".join(g).split() if not _LAYOUT.match(x)]
-            marks = sorted({w.lower() for x in names for w in re.split(r"[^A-Za-z]+", x) if w})
+            marks = sorted({"-".join(re.findall("[a-z]+", x.lower())) for x in names} - {""})
             name = _SIGNS.sub("", name)
-            label = ".".join([name, *marks])
-            node: list = [label, [], name]
+            opened[name] += 1
+            if len(stack) > DEPTH:  # its content goes on in the element above
+                stack.append([name, stack[-1][1], name])
+                continue
+            node: list = [".".join([name, *marks]), [], name]
             stack[-1][1].append(node)
             stack.append(node)
         if at < len(source):
@@ -177,19 +192,52 @@ def fold(children: list) -> tuple[tuple, Leaves]:
             held[i : i + 4] = [held[i] + held[i + 2], held[i + 1] + held[i + 3]]
         else:
             i += 1
+    groups = narrow([x[0] for x in out])
+    if groups is not None:
+        held = [[x for i in own for x in held[i]] for _, own in groups]
+        out = [merged(label, [out[i] for i in own]) for label, own in groups]
     texts: Leaves = []
     at = 0
     for (label, _, whole), parts in zip(out, held, strict=True):
+        places: dict[tuple, list[int]] = {}
         for inner, leaves in parts:
             if label == "#" or inner == whole:
                 texts += [(at + k, blocks) for k, blocks in leaves]
             else:
-                to = placed(inner, whole)
-                texts += [(at + to[k], blocks) for k, blocks in leaves]
+                if inner not in places:
+                    places[inner] = placed(inner, whole)
+                texts += [(at + places[inner][k], blocks) for k, blocks in leaves]
         at += 1 if label == "#" else count(whole)
     return tuple(out), texts
 
 
+def bare(label: str) -> str:
+    """A label without its names."""
+    return label.partition(".")[0]
+
+
+def narrow(labels: list[str]) -> list[tuple[str, list[int]]] | None:
+    """Groups (label, places) of parts side by side that are too many: by label, else by element, else all but texts; None for few parts."""
+    if len(labels) <= WIDE:
+        return None
+    for general in (str, bare, lambda x: x if x == "#" else "any"):
+        groups: dict[str, list[int]] = {}
+        for i, x in enumerate(labels):
+            groups.setdefault(general(x), []).append(i)
+        if len(groups) <= WIDE:
+            break
+    return list(groups.items())
+
+
+def merged(label: str, parts: list[tuple]) -> tuple:
+    """One part for several."""
+    inner = parts[0][2]
+    for x in parts[1:]:
+        inner = align(inner, x[2])
+    optional = all(x[1] in ("?", "*") for x in parts)
+    return label, _mark(optional, len(parts) > 1 or parts[0][1] in ("+", "*")), inner
+
+
 _MARKS = {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}
 
 
@@ -229,7 +277,13 @@ def align(x: tuple, y: tuple) -> tuple:
         else:
             add((y[j][0], "*" if y[j][1] in ("+", "*") else "?", y[j][2]))
             j += 1
-    return tuple(out)
+    groups = narrow([x[0] for x in out])
+    return tuple(out if groups is None else [merged(label, [out[i] for i in own]) for label, own in groups])
+
+
+def fits(label: str, whole: str) -> bool:
+    """Whether a part of a page's expression can be one of the wrapper's, which may have lost its names."""
+    return label == whole or whole == bare(label) or (whole == "any" and label != "#")
 
 
 def written(e: tuple) -> str:
@@ -292,7 +346,7 @@ def matched(e: tuple, w: tuple) -> list[int]:
         for i in range(n - 1, -1, -1):
             for j in range(m - 1, -1, -1):
                 found = max(best[i + 1][j], best[i][j + 1] - (w[j][1] in ("", "+")))
-                if e[i][0] == w[j][0]:
+                if fits(e[i][0], w[j][0]):
                     found = max(found, 1000 + best[i + 1][j + 1])
                     if w[j][1] in ("+", "*"):
                         found = max(found, 1000 + best[i + 1][j])
@@ -300,10 +354,10 @@ def matched(e: tuple, w: tuple) -> list[int]:
         to = [-1] * n
         i = j = 0
         while i < n and j < m:
-            if e[i][0] == w[j][0] and best[i][j] == 1000 + best[i + 1][j + 1]:
+            if fits(e[i][0], w[j][0]) and best[i][j] == 1000 + best[i + 1][j + 1]:
                 to[i] = j
                 i, j = i + 1, j + 1
-            elif e[i][0] == w[j][0] and w[j][1] in ("+", "*") and best[i][j] == 1000 + best[i + 1][j]:
+            elif fits(e[i][0], w[j][0]) and w[j][1] in ("+", "*") and best[i][j] == 1000 + best[i + 1][j]:
                 to[i] = j
                 i += 1
             elif best[i][j] == best[i][j + 1] - (w[j][1] in ("", "+")):
@@ -311,7 +365,7 @@ def matched(e: tuple, w: tuple) -> list[int]:
             else:
                 i += 1
         last = {x[0]: j for j, x in enumerate(w)}
-        to = [last.get(x[0], -1) if j < 0 else j for x, j in zip(e, to, strict=True)]
+        to = [next((last[y] for y in (x[0], bare(x[0]), "any") if y in last), -1) if j < 0 else j for x, j in zip(e, to, strict=True)]
     at = [0]
     for label, _, inner in w:
         at.append(at[-1] + (1 if label == "#" else count(inner)))
@@ -325,16 +379,30 @@ def matched(e: tuple, w: tuple) -> list[int]:
 
 
 def placed(e: tuple, w: tuple) -> list[int]:
-    """As ``matched``; a slot without a match falls in the first one of its path, which every wrapper of the page has."""
+    """As ``matched``; a slot without a match falls in the first one of its path, or, where the wrapper has lost its names, in the first."""
     to = matched(e, w)
     if -1 in to:
         first: dict[str, int] = {}
         for i, (path, _) in enumerate(slots(w)):
             first.setdefault(path, i)
-        to = [first[path] if i < 0 else i for i, (path, _) in zip(to, slots(e), strict=True)]
+        to = [first.get(path, 0) if i < 0 else i for i, (path, _) in zip(to, slots(e), strict=True)]
     return to
 
 
+def named(label: str, inside: bool) -> bool:
+    """Whether an element's names tell that it holds no article text; ``inside`` an article they must tell of nothing else."""
+    element, *names = label.split(".")
+    for name in names:
+        words = name.split("-")
+        told = OUTSIDE_NAMES.intersection(words)
+        if not inside:
+            if told:
+                return True
+        elif told - {"header"} and all(w in OUTSIDE_NAMES or w in PARTS for w in words) and (element not in TEXTUAL or told & NEVER_TEXT):
+            return True
+    return False
+
+
 def outside(path: str, articles: bool, known: int = 0) -> bool:
     """Whether an element on the path holds no article text. An article within an article is judged by its names, as comments are.
 
@@ -342,11 +410,11 @@ def outside(path: str, articles: bool, known: int = 0) -> bool:
     """
     inside = False
     for depth, label in enumerate(path.split("/")[1:]):
-        name, *marks = label.split(".")
+        name = bare(label)
         whole = name in ("html", "body", "main") or name == "article" and not inside or depth < known
-        if name in OUTSIDE or name == "header" and not inside or any(w in OUTSIDE_NAMES for w in marks) and not whole:
+        if name in OUTSIDE or name == "header" and not inside or not whole and named(label, inside):
             return True
-        inside = inside or name in ARTICLE or "article" in marks or "main" in marks
+        inside = inside or name in ARTICLE or not ARTICLE.isdisjoint(re.split("[.-]", label)[1:])
     return articles and not inside
 
 
@@ -504,18 +572,37 @@ def _read(wrapper: str) -> tuple:
     return read(wrapper)
 
 
-def _fold_host(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    wrapper: tuple | None = None
-    for e in sorted(group["expression"]):
-        wrapper = read(e) if wrapper is None else align(wrapper, read(e))
-    return pd.DataFrame({"host": [key[0]], "expression": [written(wrapper or ())]})
+def _fold_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, expression) of sorted rows (host, salt, expression): one expression for each run of host and salt, which is never held as a whole."""
+    last, wrapper = None, None
 
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([last[0]], pa.string()), pa.array([written(wrapper)], pa.string())], names=["host", "expression"])
 
-def _choose(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    seen = {int(r.slot): (int(r.pages), int(r.words), int(r.linked), r.low == r.high) for r in group.itertuples() if not pd.isna(r.slot)}
-    wrapper = group["wrapper"].iloc[0]
-    marked, others, rest = article_slots(read(wrapper), seen)
-    return pd.DataFrame({"host": [key[0]], "wrapper": [wrapper], "paths": [marked], "others": [others], "rest": [rest]})
+    for batch in batches:
+        for host, salt, expression in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if last is not None and last != (host, salt):
+                yield out()
+            wrapper = align(wrapper, read(expression)) if last == (host, salt) else read(expression)
+            last = (host, salt)
+    if last is not None:
+        yield out()
+
+
+def _folded(forms: DataFrame) -> DataFrame:
+    """(host, expression) of rows (host, salt, expression): one for each host and salt."""
+    return forms.repartition("host", "salt").sortWithinPartitions("host", "salt", "expression").mapInArrow(_fold_runs, "host string, expression string")
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for host, wrapper, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            seen = {x["slot"]: (x["pages"], x["words"], x["linked"], x["low"] == x["high"]) for x in counts or ()}
+            rows.append((host, wrapper, *article_slots(read(wrapper), seen)))
+        if rows:
+            kinds = [pa.string(), pa.string(), *[pa.list_(pa.int32())] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "wrapper", "paths", "others", "rest"])
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 64, broadcast_bytes: int = 16_000_000) -> DataFrame:
@@ -523,8 +610,8 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", sal
     spark = pages.sparkSession
     reduced = materialise(pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(_reduce, _REDUCED), "reduced")
     forms = reduced.select("host", "expression").distinct().withColumn("salt", F.pmod(F.xxhash64("expression"), F.lit(salts)))
-    parts = forms.groupBy("host", "salt").applyInPandas(_fold_host, "host string, expression string")
-    hosts = materialise(parts.groupBy("host").applyInPandas(_fold_host, "host string, expression string").withColumnRenamed("expression", "wrapper"), "hosts")  # at most `salts` expressions a host
+    parts = _folded(forms.select("host", "salt", "expression"))
+    hosts = materialise(_folded(parts.select("host", F.lit(0).cast("long").alias("salt"), "expression")).withColumnRenamed("expression", "wrapper"), "hosts")  # at most `salts` expressions a host
     size = hosts.agg(F.sum(F.length("host") + F.length("wrapper") + 64)).first()[0] or 0
     if size <= broadcast_bytes:
         seen = reduced.mapInArrow(_gather(spark.sparkContext.broadcast({r.host: r.wrapper for r in hosts.toLocalIterator()})), _SEEN)
@@ -535,7 +622,8 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", sal
     # each task gives a few rows a slot, so the lists are short
     different = F.size(F.array_distinct(F.flatten(F.collect_list("prints"))))
     seen = seen.groupBy("host", "slot").agg(F.least(different, F.lit(_DIFFERENT)).alias("pages"), F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return materialise(hosts.join(seen, "host", "left").groupBy("host").applyInPandas(_choose, _CHOSEN), "wrappers")
+    seen = seen.groupBy("host").agg(F.collect_list(F.struct("slot", "pages", "words", "linked", "low", "high")).alias("counts"))  # as many as the wrapper has slots
+    return materialise(hosts.join(seen, "host", "left").select("host", "wrapper", "counts").mapInArrow(_choose, _CHOSEN), "wrappers")
 
 
 def _main_text(source: str | None, wrapper: str | None, *choices) -> str:
