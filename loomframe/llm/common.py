@@ -76,6 +76,24 @@ def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: log2 of the bits of the set that tells which ids a join asks for, 64 of them a row.
+ID_BITS = 22
+
+
+def split_by_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: rows whose id is not in ``ids`` (one column), and the others, so that a join on ids moves only these.
+
+    The second part has every row whose id is in ``ids`` and, while those are
+    fewer than the bits of the set, few others. The set has a fixed size.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << ID_BITS))
+    bits = ids.toDF("__id").select(slot(F.col("__id").cast("long")).alias("__slot")).groupBy(F.shiftright("__slot", 6).alias("__at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__slot & 63 as int))")).alias("__bits"))
+    out = df.withColumn("__slot", slot(F.col(id_col).cast("long"))).withColumn("__at", F.shiftright("__slot", 6))
+    out = out.join(F.broadcast(bits), "__at", "left")  # 2**(ID_BITS - 6) rows of two numbers at most, whatever the corpus
+    out = out.withColumn("__asked", F.coalesce(F.expr("shiftright(__bits, cast(__slot & 63 as int)) & 1") == 1, F.lit(False)))
+    return tuple(out.where(F.col("__asked") == side).select(*df.columns) for side in (False, True))
+
+
 def code_points(c: Column) -> Column:
     return F.char_length(c).cast("long")
 

@@ -11,10 +11,14 @@ count by hash bucket, then by hash, finds them exactly: there can be no more
 than ``share``. Their first documents are found with partial aggregates and go,
 at most ``share`` rows, to the tasks that read the lines.
 
+Only texts that lose lines are joined with their bitmaps. Which rows to ask for
+is known from a set of fixed size (a bit for each of 2**22 hashes of their ids); the
+others are passed on where they are read.
+
 Definitions for odd rows. A null or empty text is one empty line. Rows with
 one id are one document: none of its lines is dropped because of another row
-of it, and their bitmap is applied to each by position, so such rows are
-expected to have one text. A null id sorts before all others.
+of it. Their texts may differ: a bitmap belongs to an id and a text, so each row
+loses only lines of its own that smaller ids hold. A null id sorts before all others.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise, split_by_ids, text_of
 
 _TRIM = "\t\n\x0b\x0c\r "
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,17 +40,22 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def content(text: Column) -> Column:
+    """What tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, share: int = 4096) -> DataFrame:
-    """(doc_id, bitmap) of the documents that lose lines.
+    """(doc_id, content, bitmap) of the texts that lose lines; content tells apart the texts of one id.
 
     bitmap holds the lengths of alternating runs of kept and dropped lines,
     beginning with kept ones (which may be 0 long).
     """
     spark = docs.sparkSession
     texts = text_of(docs, id_col, text_col)
-    lines = texts.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line")).select("doc_id", "pos", line_key(F.col("line")).alias("key"))
+    lines = texts.select("doc_id", content(F.col("text")).alias("content"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line")).select("doc_id", "content", "pos", line_key(F.col("line")).alias("key"))
     lines = lines.where(F.char_length("key") >= min_chars)
-    lines = materialise(lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "pos"), "lines")
+    lines = materialise(lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "content", "pos"), "lines")
     most = lines.count() // share
     bucket = F.col("h1").bitwiseAND(F.lit(65535))
     full = [r[0] for r in lines.groupBy(bucket.alias("b")).count().where(F.col("count") > most).collect()]  # fewer than `share`
@@ -60,24 +69,25 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = lines if hot is None else lines.join(F.broadcast(hot), ["h1", "h2"], "left_anti")
     stream = Window.partitionBy("h1", "h2").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rest = rest.repartitionByRange(parts, "h1", "h2").withColumn("first", F.first_value("doc_id").over(stream))
-    again = rest.where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "pos")
+    again = rest.where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "content", "pos")
     if hot is not None:
-        again = again.unionByName(lines.join(F.broadcast(hot), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "pos"))
-    drops = again.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
-    return _bitmaps(drops)
+        again = again.unionByName(lines.join(F.broadcast(hot), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "content", "pos"))
+    drops = again.groupBy("doc_id", "content").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+    return bitmaps(drops)
 
 
-def _bitmaps(drops: DataFrame) -> DataFrame:
-    """(doc_id, bitmap) of (doc_id, drops): sorted positions to run lengths.
+def bitmaps(drops: DataFrame) -> DataFrame:
+    """``drops`` with its column drops, sorted positions, as the column bitmap of run lengths.
 
     Columns are named step by step, because a lambda evaluates anew whatever
     expression it mentions besides columns.
     """
     begins = F.filter("drops", lambda p, i: (i == 0) | (F.get("drops", i - 1) != p - 1))
     ends = F.filter("drops", lambda p, i: (i == F.size("drops") - 1) | (F.get("drops", i + 1) != p + 1))
-    runs = drops.select("doc_id", begins.alias("begins"), ends.alias("ends"))
+    others = [c for c in drops.columns if c != "drops"]
+    runs = drops.select(*others, begins.alias("begins"), ends.alias("ends"))
     kept = lambda b, i: b - F.when(i == 0, F.lit(0)).otherwise(F.get("ends", i - 1) + 1)
-    return runs.select("doc_id", F.flatten(F.transform("begins", lambda b, i: F.array(kept(b, i), F.get("ends", i) - b + 1))).alias("bitmap"))
+    return runs.select(*others, F.flatten(F.transform("begins", lambda b, i: F.array(kept(b, i), F.get("ends", i) - b + 1))).alias("bitmap"))
 
 
 def kept_lines(text: Column, bitmap: Column) -> Column:
@@ -94,8 +104,11 @@ def n_dropped(bitmap: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, share: int = 4096) -> DataFrame:
     """``docs`` with its text without the dropped lines, and columns __n_lines (before) and __n_dropped."""
-    bits = dropped_lines(docs, id_col, text_col, min_chars, share).select(F.col("doc_id").alias("__doc_id"), F.col("bitmap").alias("__bitmap"))
-    out = docs.join(bits, F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")), "left")
+    bits = materialise(dropped_lines(docs, id_col, text_col, min_chars, share), "bitmaps").select(F.col("doc_id").alias("__doc_id"), F.col("content").alias("__content"), F.col("bitmap").alias("__bitmap"))
     text = F.col(text_col)
+    still, moved = split_by_ids(docs, bits.select("__doc_id"), id_col)
+    moved = moved.withColumn("__own", content(text.cast("string")))
+    moved = moved.join(bits, F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__own") == F.col("__content")), "left").drop("__own", "__doc_id", "__content")
+    out = still.withColumn("__bitmap", F.lit(None).cast("array<int>")).unionByName(moved)
     kept = F.when(F.col("__bitmap").isNull(), text).otherwise(F.array_join(kept_lines(text, F.col("__bitmap")), "\n"))
     return out.select(*[c for c in docs.columns if c != text_col], kept.alias(text_col), F.size(split_lines(text)).cast("long").alias("__n_lines"), n_dropped(F.col("__bitmap")).alias("__n_dropped"))
