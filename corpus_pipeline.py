@@ -1,11 +1,15 @@
 """The document pipeline: each stage works on all documents its predecessor kept.
 
-Quality rules reject documents; line deduplication takes repeated lines out of
-the others' texts; the Jaccard join keeps the smallest doc_id of each group of
+Quality rules reject documents and take lines that are frequent on a source out of
+the others' texts; line deduplication takes repeated lines out, and documents of which it leaves
+no word go; the Jaccard join keeps the smallest doc_id of each group of
 near duplicates; decontamination rejects documents with a passage near a test
-item; packing lays what is left out in sequences. Rows that share a doc_id
-are one document and share its fate; a null doc_id is decided for all such
-rows at once, except that it never links. Other columns are passed through.
+item; packing lays what is left out in sequences.
+
+Quality rules and line deduplication judge rows that share a doc_id each by its own text.
+In the next two stages they are one document and share its fate; a null doc_id is
+decided for all such rows at once, except that it never links. n_chars counts the text that is left.
+Other columns are passed through. Texts of rows that a stage leaves as they are don't move.
 """
 
 from __future__ import annotations
@@ -16,24 +20,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import decontam, jaccard, linedup, packing, quality
-from loomframe.llm.common import materialise, table
+from loomframe.llm.common import materialise, split_by_ids, table
 from loomframe.llm.queries import tokenizer
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without those whose doc_id is in ``ids`` (one column)."""
-    gone = ids.toDF("__gone").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    gone = materialise(ids.toDF("__gone").distinct(), "gone")
+    still, moved = split_by_ids(docs, gone)
+    return still.unionByName(moved.join(gone, moved["doc_id"].eqNullSafe(gone["__gone"]), "left_anti"))
+
+
+def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs``, with n_chars counting the text."""
+    return docs.select(*[F.when(F.col("text").isNull(), F.col(c)).otherwise(F.char_length("text").cast("long")).alias(c) if c == "n_chars" else F.col(c) for c in columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality.quality_rules(docs).where("not kept").select("doc_id"))
+    return _counted(quality.cleaned(docs), docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = linedup.dedup_lines(docs)
-    changed = F.col("__n_dropped") > 0
-    return out.select(*[F.when(changed, F.char_length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    emptied = (F.col("__n_dropped") > 0) & ~F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))
+    return _counted(out.where(~emptied), docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
