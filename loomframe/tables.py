@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 
@@ -35,17 +36,57 @@ def plain(template: str) -> str:
     return template
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or under the warehouse where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/loomframe-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir; a local master without it uses the warehouse. It is deleted when Python ends.
+
+    A cluster without the setting is an error: a folder of one machine would lose data there.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{top.rstrip('/')}/loomframe-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to a scratch folder and read again: cuts the lineage of iterations."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def forget(df: DataFrame | None) -> None:
+    """Deletes a table of :func:`stored` that nothing reads any more, such as an iteration's round before the last; other tables are left alone."""
+    path = getattr(df, "_stored", None)
+    if path and (df.sparkSession, path) in _written:
+        _written.remove((df.sparkSession, path))
+        _delete(df.sparkSession, path)
+
+
+def release() -> None:
+    """Deletes all scratch folders. Results that still read them must have been consumed."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            _delete(spark, path)
+        except Exception:  # the session may be gone already; the folder is scratch space
+            return
+
+
+atexit.register(release)
 
 
 def cpus() -> int:
