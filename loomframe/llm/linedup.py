@@ -106,9 +106,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with its text without the dropped lines, and columns __n_lines (before) and __n_dropped."""
     bits = materialise(dropped_lines(docs, id_col, text_col, min_chars, share), "bitmaps").select(F.col("doc_id").alias("__doc_id"), F.col("content").alias("__content"), F.col("bitmap").alias("__bitmap"))
     text = F.col(text_col)
+    # what is joined grows with the corpus, so it is shuffled at every size
     still, moved = split_by_ids(docs, bits.select("__doc_id"), id_col)
     moved = moved.withColumn("__own", content(text.cast("string")))
-    moved = moved.join(bits, F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__own") == F.col("__content")), "left").drop("__own", "__doc_id", "__content")
+    moved = moved.join(bits.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__own") == F.col("__content")), "left").drop("__own", "__doc_id", "__content")
     out = still.withColumn("__bitmap", F.lit(None).cast("array<int>")).unionByName(moved)
     kept = F.when(F.col("__bitmap").isNull(), text).otherwise(F.array_join(kept_lines(text, F.col("__bitmap")), "\n"))
     return out.select(*[c for c in docs.columns if c != text_col], kept.alias(text_col), F.size(split_lines(text)).cast("long").alias("__n_lines"), n_dropped(F.col("__bitmap")).alias("__n_dropped"))

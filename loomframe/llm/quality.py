@@ -145,6 +145,7 @@ def cleaned(
     text = F.col(text_col)
     moved = moved.withColumn("__own", _key(text.cast("string")))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__own") == F.col("__key")) & F.col(host_col).cast("string").eqNullSafe(F.col("__host"))
-    moved = moved.join(acts, same, "left").where(F.coalesce("__kept", F.lit(True)))
+    moved = moved.join(acts.hint("merge"), same, "left")  # grows with the corpus
+    moved = moved.where(F.coalesce("__kept", F.lit(True)))
     left = F.when(F.size("bitmap") > 0, F.array_join(linedup.kept_lines(text.cast("string"), F.col("bitmap")), "\n")).otherwise(text)
     return still.unionByName(moved.select(*[left.alias(c) if c == text_col else F.col(c) for c in docs.columns]))
