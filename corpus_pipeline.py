@@ -28,7 +28,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without those whose doc_id is in ``ids`` (one column)."""
     gone = materialise(ids.toDF("__gone").distinct(), "gone")
     still, moved = split_by_ids(docs, gone)
-    return still.unionByName(moved.join(gone, moved["doc_id"].eqNullSafe(gone["__gone"]), "left_anti"))
+    return still.unionByName(moved.join(gone.hint("merge"), moved["doc_id"].eqNullSafe(gone["__gone"]), "left_anti"))
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
