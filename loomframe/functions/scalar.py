@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..registry import register
 from ..tables import table
+from .hashing import hashed, hashed_sql
 
 
 def three_way(a: Column, b: Column) -> Column:
@@ -54,7 +55,7 @@ def signed_log2(x: Column) -> Column:
 
 def hash_range(seed: int, a: Column, lo: int, hi: int) -> Column:
     """A reproducible value in [lo, hi)."""
-    return lo + F.pmod(F.xxhash64(F.lit(seed), a), F.lit(hi - lo))
+    return lo + hashed(a, seed=seed) % (hi - lo)
 
 
 def _register() -> None:
@@ -74,7 +75,7 @@ def _register() -> None:
         )
     )
     register("parse_numbers", "select doc_id, try_cast(regexp_extract(text, '[0-9]+') as bigint) as n from documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.regexp_extract("text", "[0-9]+", 0).try_cast("long").alias("n")))
-    register("hash_range")(lambda s, d: table(s, d, "orders").select("o_orderkey", hash_range(7, F.col("o_orderkey"), 10, 20).alias("h")))
+    register("hash_range", f"select o_orderkey, 10 + {hashed_sql('o_orderkey', seed=7)} % 10 as h from orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", hash_range(7, F.col("o_orderkey"), 10, 20).alias("h")))
 
 
 _register()

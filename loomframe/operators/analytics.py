@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hashed
 from ..registry import register
 from ..tables import stored
 from .graph import UND, G, degrees, order_graph, undirected, vertices_of
-from .sequence import hashed
 
 
 def bfs(e: DataFrame, source: int, max_rounds: int = 1 << 20) -> DataFrame:
@@ -280,7 +280,7 @@ def colouring(e: DataFrame, vertices: DataFrame) -> DataFrame:
 def low_diameter(e: DataFrame, vertices: DataFrame, beta: float = 0.2, seed: int = 1) -> DataFrame:
     """(id, centre): each vertex starts a search after an exponential delay unless one reached it before; earliest, then least centre, wins."""
     both = stored(undirected(e))
-    u = (F.pmod(hashed(F.col("id"), seed), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+    u = (F.pmod(hashed(F.col("id"), seed=seed), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
     delay = stored(vertices.select("id", (-F.log(u) / beta).alias("x")))
     top = delay.agg(F.max("x")).first()[0]
     start = delay.select("id", F.floor(top - F.col("x")).alias("at"))
@@ -330,7 +330,7 @@ def separator(e: DataFrame, vertices: DataFrame, error: float = 5e-8, seed: int
     both = undirected(e)
     deg = stored(degrees(both, vertices))
     both = stored(both)
-    x = stored(vertices.select("id", (F.pmod(hashed(F.col("id"), seed), F.lit(1000003)) / 1000003.0 - 0.5).alias("x")))
+    x = stored(vertices.select("id", (F.pmod(hashed(F.col("id"), seed=seed), F.lit(1000003)) / 1000003.0 - 0.5).alias("x")))
     few = both.count() + deg.count() <= together
     if few:
         own = deg.join(x, "id").select("id", "degree", "x").orderBy("id").toPandas()

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hashed, hashed_sql
 from ..registry import register
 from ..tables import table
-from .sequence import dense, hashed
+from .sequence import dense
 
 
 def order_graph(spark, d: str) -> DataFrame:
@@ -73,11 +74,11 @@ def without_high_degree(e: DataFrame, vertices: DataFrame, most: int) -> DataFra
 
 
 def random_names(vertices: DataFrame, seed: int = 1) -> DataFrame:
-    return dense(vertices.select(hashed(F.col("id"), seed).alias("h"), F.col("id").alias("i")), ["h", "i"]).select(F.col("i").alias("id"), F.col("idx").alias("new"))
+    return dense(vertices.select(hashed(F.col("id"), seed=seed).alias("h"), F.col("id").alias("i")), ["h", "i"]).select(F.col("i").alias("id"), F.col("idx").alias("new"))
 
 
 def random_weights(e: DataFrame, lo: int, hi: int, seed: int = 1) -> DataFrame:
-    return e.withColumn("w", lo + F.pmod(F.xxhash64(F.lit(seed), "src", "dst"), F.lit(hi - lo + 1)))
+    return e.withColumn("w", lo + hashed(F.col("src"), F.col("dst"), seed=seed) % (hi - lo + 1))
 
 
 def add_ring(e: DataFrame, n: int, closed: bool = True) -> DataFrame:
@@ -199,8 +200,9 @@ _g("sorted_parent_degree", f"select a.new as src, b.new as dst, w from {G} g joi
 _LOW = f"(select id, row_number() over (order by id) - 1 as new from {_DEG} where degree <= 10)"
 _g("low_degree", f"select a.new as src, b.new as dst, w from {G} g join {_LOW} a on a.id = src join {_LOW} b on b.id = dst")(lambda e, v: without_high_degree(e, v, 10))
 _g("remap", f"select src * 2 as src, dst * 2 as dst, w from {G}")(lambda e, v: relabel(e, v.select("id", (2 * F.col("id")).alias("new"))))
-_g("randomise_nodes", None)(lambda e, v: relabel(e, random_names(v)))
-_g("randomise_weights", None)(lambda e, v: random_weights(e, 1, 100))
+_RNEW = f"(select id, row_number() over (order by {hashed_sql('id', seed=1)}, id) - 1 as new from {_V})"
+_g("randomise_nodes", f"select a.new as src, b.new as dst, w from {G} g join {_RNEW} a on a.id = src join {_RNEW} b on b.id = dst")(lambda e, v: relabel(e, random_names(v)))
+_g("randomise_weights", f"select src, dst, 1 + {hashed_sql('src', 'dst', seed=1)} % 100 as w from {G}")(lambda e, v: random_weights(e, 1, 100))
 _g("add_ring", f"select src, dst, w from {G} union all select i, (i + 99) % 100, 1 from range(100) t(i)")(lambda e, v: add_ring(e, 100))
 _g("add_line", f"select src, dst, w from {G} union all select i, i - 1, 1 from range(1, 100) t(i)")(lambda e, v: add_ring(e, 100, False))
 _g("add_tree", f"select src, dst, w from {G} union all select i, 2 * i + j, 1 from range(100) t(i), range(1, 3) u(j) where 2 * i + j < 100")(lambda e, v: add_tree(e, 100))

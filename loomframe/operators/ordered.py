@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..registry import register
 from ..tables import table
-from .sequence import dense, scan
+from .sequence import dense, kth_smallest, scan
 
 Combine = Callable[[Column, Column], Column]
 
@@ -76,7 +76,7 @@ def next_keys(m: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def select_rank(m: DataFrame, i: int) -> DataFrame:
-    return m.orderBy("k").offset(i).limit(1)
+    return m.join(F.broadcast(kth_smallest(m.select(F.col("k").alias("x")), i).withColumnRenamed("x", "k")), "k", "left_semi")  # one row
 
 
 def aug_range(m: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hashed, hashed_sql
 from ..registry import register
-from ..tables import table
+from ..tables import stored, table
 
 BLOCK = 1 << 18
 #: monoids: (aggregate, identity, combination of two columns)
@@ -51,21 +52,17 @@ def scan(seq: DataFrame, monoid: str = "plus", inclusive: bool = False) -> DataF
 
 
 def dense(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with idx, its dense position from 0 in the total order of the numeric columns ``order``.
+    """``df`` with idx, its dense position from 0 in the total order of the columns ``order``.
 
-    Ranges of the first column are found by approximate quantiles and counted;
-    positions are counted inside each range and shifted by the counts before it.
+    One shuffle into ranges of all these columns, so that a frequent value of
+    the first is split by the others; the sorted ranges are written with each row's
+    place in its range, then shifted by the counts of the ranges before.
     """
-    first = order[0]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.approxQuantile(first, [i / parts for i in range(1, parts)], 0.5 / parts)))
-    part = F.lit(0)
-    for c in cuts:  # one comparison a range
-        part = part + F.when(F.col(first) > c, 1).otherwise(0)
-    df = df.withColumn("__p", part)
-    ahead = df.groupBy("__p").count().select("__p", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
-    return df.withColumn("__own", own).join(F.broadcast(ahead), "__p").withColumn("idx", (F.col("__ahead") + F.col("__own")).cast("long")).drop("__p", "__own", "__ahead")  # one row a range
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    placed = stored(placed).withColumn("__p", F.shiftright("__m", 33))  # the id's upper bits are the partition, its lower 33 the row in it
+    ahead = placed.groupBy("__p").count().select("__p", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
+    return placed.join(F.broadcast(ahead), "__p").withColumn("idx", (F.col("__ahead") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__p", "__m", "__ahead")  # one row a range
 
 
 def pack(seq: DataFrame, flag: Column) -> DataFrame:
@@ -166,16 +163,49 @@ def rank(seq: DataFrame) -> DataFrame:
     return dense(seq.select(F.col("x"), F.col("idx").alias("at")), ["x", "at"]).select(F.col("at").alias("idx"), F.col("idx").alias("rank"))
 
 
-def kth_smallest(seq: DataFrame, k: int) -> DataFrame:
-    """(x): the element of 0-based place k."""
-    return seq.orderBy("x", "idx").offset(k).limit(1).select("x")
+def kth_smallest(seq: DataFrame, k: int, few: int = 1 << 20) -> DataFrame:
+    """(x): the element of 0-based place k, none beyond the end.
+
+    A bracket of approximate quantiles around the place, counted exactly, shrinks the
+    rows to a few hundredths a pass until ``few`` are left to sort.
+    """
+    live, margin = seq.select("x"), 0.002
+    while True:
+        n = live.count()
+        if n <= few or not 0 <= k < n:
+            return live.orderBy("x").offset(k).limit(1)
+        lo, hi = live.agg(F.percentile_approx("x", F.array(F.lit(max(0.0, k / n - margin)), F.lit(min(1.0, (k + 1) / n + margin))), 5000).alias("q")).first()[0]
+        below, inside = live.agg(F.count_if(F.col("x") < lo), F.count_if(F.col("x").between(lo, hi))).first()
+        if not below <= k < below + inside:
+            margin *= 4
+        elif lo == hi:
+            return seq.where(F.col("x") == lo).select("x").limit(1)
+        elif inside == n:  # too few different values for a closer bracket: count them
+            upto = live.groupBy("x").count().withColumn("upto", F.sum("count").over(Window.orderBy("x")))
+            return upto.where(F.col("upto") > k).orderBy("x").limit(1).select("x")
+        else:
+            live, k = live.where(F.col("x").between(lo, hi)), k - below
 
 
 def approximate_kth_smallest(seq: DataFrame, k: int, accuracy: int = 10000) -> DataFrame:
+    """(x): an element whose place is at most n / ``accuracy`` from k, in one pass of bounded summaries."""
     n = max(1, seq.count())
     return seq.agg(F.percentile_approx("x", min(1.0, (k + 1) / n), accuracy).alias("x"))
 
 
+def place_errors(seq: DataFrame, places: int, accuracy: int) -> DataFrame:
+    """(k, close): for k at ``places`` - 1 even steps, whether the approximate element's place is as near as promised."""
+    n = seq.count()
+    out = None
+    for i in range(1, places):
+        k = i * n // places
+        x = approximate_kth_smallest(seq, k, accuracy)
+        at = seq.join(F.broadcast(x.withColumnRenamed("x", "y")), F.col("x") <= F.col("y")).agg(F.count("*").alias("upto"), F.count_if(F.col("x") < F.col("y")).alias("below"))  # one row
+        own = at.select(F.lit(k).cast("long").alias("k"), ((F.col("below") <= k + n / accuracy + 1) & (F.col("upto") > k - n / accuracy - 1)).alias("close"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def counting_sort(seq: DataFrame, key: Column) -> DataFrame:
     """(key, start, count): the places of each bucket in the stably sorted sequence."""
     counts = seq.groupBy(key.cast("long").alias("key")).agg(F.count("*").alias("count"))
@@ -218,14 +248,9 @@ def tabulate(spark: SparkSession, n: int, f: Callable[[Column], Column]) -> Data
     return spark.range(n).select(F.col("id").alias("idx"), f(F.col("id")).alias("x"))
 
 
-def hashed(c: Column, seed: int = 0) -> Column:
-    """A reproducible 64-bit value of a number: counter-based randomness."""
-    return F.xxhash64(F.lit(seed).cast("long"), c.cast("long"))
-
-
 def random_shuffle(seq: DataFrame, seed: int = 0) -> DataFrame:
     """A permutation of the sequence that depends on the seed only."""
-    keyed = seq.select(hashed(F.col("idx"), seed).alias("h"), F.col("idx").alias("i"), "x")
+    keyed = seq.select(hashed(F.col("idx"), seed=seed).alias("h"), F.col("idx").alias("i"), "x")
     return dense(keyed, ["h", "i"]).select("idx", "x")
 
 
@@ -290,7 +315,8 @@ _seq("reverse", f"select {_N} - 1 - idx as idx, x from {S}")(reverse)
 _seq("rotate", f"select (idx - 7 + {_N}) % {_N} as idx, x from {S}")(lambda s: rotate(s, 7))
 _seq("stable_rank", f"select idx, row_number() over (order by x, idx) - 1 as rank from {S}")(rank)
 _seq("kth_smallest", f"select x from {S} order by x, idx limit 1 offset 100")(lambda s: kth_smallest(s, 100))
-_seq("approximate_kth_smallest", f"select x from {S} order by x, idx limit 1 offset 100")(lambda s: approximate_kth_smallest(s, 100, 1 << 30))
+_seq("kth_smallest_in_passes", f"select x from {S} order by x, idx limit 1 offset 700")(lambda s: kth_smallest(s, 700, few=64))
+_seq("approximate_kth_smallest", f"select (i * {_N}) // 6 as k, true as close from range(1, 6) t(i)")(lambda s: place_errors(s, 6, 50))
 _seq("sort", f"select row_number() over (order by x, idx) - 1 as idx, x from {S}")(lambda s: dense(s.select("x", F.col("idx").alias("i")), ["x", "i"]).select("idx", "x"))
 _seq("counting_sort", f"select key, count(*) as count, coalesce(sum(count(*)) over (order by key rows between unbounded preceding and 1 preceding), 0) as start from (select x % 64 as key from {S}) group by key")(lambda s: counting_sort(s, F.col("x") % 64))
 _seq("merge", f"select row_number() over (order by x, s, i) - 1 as idx, x from (select x, idx % 2 as s, idx as i from {S})")(lambda s: merge(s.where("idx % 2 = 0"), s.where("idx % 2 = 1")))
@@ -323,5 +349,5 @@ register("tokens", r"select id, pos, token from (select doc_id as id, unnest(lis
 register("map_tokens", r"select id, sum(length(token)) as chars from (select doc_id as id, unnest(list_filter(string_split_regex(text, '[\s]+'), lambda t: t <> '')) as token from documents) group by id")(
     lambda spark, d: tokens(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).groupBy("id").agg(F.sum(F.char_length("token")).alias("chars"))
 )
-register("random_shuffle")(lambda spark, d: random_shuffle(seq_of(spark, d), 42))
-register("random_permutation")(lambda spark, d: random_shuffle(iota(spark, 10000), 7))
+register("random_shuffle", f"select row_number() over (order by {hashed_sql('idx', seed=42)}, idx) - 1 as idx, x from {S}")(lambda spark, d: random_shuffle(seq_of(spark, d), 42))
+register("random_permutation", f"select row_number() over (order by {hashed_sql('i', seed=7)}, i) - 1 as idx, i as x from range(10000) t(i)")(lambda spark, d: random_shuffle(iota(spark, 10000), 7))
