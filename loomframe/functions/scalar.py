@@ -58,7 +58,30 @@ def hash_range(seed: int, a: Column, lo: int, hi: int) -> Column:
     return lo + hashed(a, seed=seed) % (hi - lo)
 
 
+def sdbm(c: Column, bits: int = 32) -> Column:
+    """The rolling string hash h = code + 65599 h, modulo 2**bits, of the text's code points."""
+    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda h, x: (h * 65599 + x) % (1 << bits))
+
+
+def next_day_of_28(year: Column, month: Column, day: Column) -> Column:
+    """(y, m, d) of the following day where every month has 28 days."""
+    last, december = day >= 28, month >= 12
+    return F.struct(
+        F.when(last & december, year + 1).otherwise(year).alias("y"), F.when(last & december, 1).when(last, month + 1).otherwise(month).alias("m"), F.when(last, 1).otherwise(day + 1).alias("d"),
+    )
+
+
 def _register() -> None:
+    register("string_hash", "select p_partkey, list_reduce(list_transform(string_split(p_name, ''), lambda x: cast(ord(x) as bigint)), lambda h, x: (h * 65599 + x) % 4294967296, cast(0 as bigint)) as h from part")(
+        lambda s, d: table(s, d, "part").select("p_partkey", sdbm(F.col("p_name")).alias("h"))
+    )
+    register("days_of_28", "select o_orderkey, case when day(o_orderdate) >= 28 and month(o_orderdate) >= 12 then year(o_orderdate) + 1 else year(o_orderdate) end as y, case when day(o_orderdate) >= 28 and month(o_orderdate) >= 12 then 1 when day(o_orderdate) >= 28 then month(o_orderdate) + 1 else month(o_orderdate) end as m, case when day(o_orderdate) >= 28 then 1 else day(o_orderdate) + 1 end as d from orders")(
+        lambda s, d: table(s, d, "orders").select("o_orderkey", next_day_of_28(F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")).alias("x")).select("o_orderkey", "x.y", "x.m", "x.d")
+    )
+    register("percent_value", "select l_orderkey, l_linenumber, cast(round(l_discount * 100) as int) / 100.0e0 as value from lineitem")(
+        lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", percent(F.round(F.col("l_discount") * 100).cast("int")).alias("value"))
+    )
     register("string_functions", "select p_partkey, case when p_brand < 'Brand#2' then -1 when p_brand = 'Brand#2' then 0 else 1 end as cmp, p_type like '%MO' as ends, p_type like 'PRO%' as starts, contains(p_name, '1') as has, p_name like '%a%t%' as ordered, p_type in ('PROMO', 'SMALL') as listed, lower(regexp_replace(p_brand, '[^A-Za-z]', ' ', 'g')) as clean, try_cast(substr(p_brand, 7, 2) as int) as code from part")(
         lambda s, d: table(s, d, "part").select(
             "p_partkey", three_way(F.col("p_brand"), F.lit("Brand#2")).alias("cmp"), F.endswith("p_type", F.lit("MO")).alias("ends"), F.startswith("p_type", F.lit("PRO")).alias("starts"), F.contains("p_name", F.lit("1")).alias("has"),

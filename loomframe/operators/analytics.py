@@ -9,30 +9,63 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hashed
+from ..functions.hashing import hashed, hashed_sql
 from ..registry import register
-from ..tables import stored
+from ..tables import forget, scratch, stored, table
 from .graph import UND, G, degrees, order_graph, undirected, vertices_of
+from .sequence import dense
+
+
+#: Written changes that are read side by side before they are put together.
+_CHANGES = 16
+
+
+class _Growing:
+    """A table of which each round writes the new rows only; every _CHANGES rounds ``together`` makes one table of what was written."""
+
+    def __init__(self, first: DataFrame, together: Callable[[DataFrame], DataFrame] = lambda x: x):
+        self.parts, self.together = [stored(first)], together
+
+    def rows(self) -> DataFrame:
+        """Everything written, before ``together``."""
+        return reduce(DataFrame.unionByName, self.parts)
+
+    def add(self, new: DataFrame) -> DataFrame:
+        """Writes ``new``, which may read this table, and returns it."""
+        new = stored(new)
+        self.parts.append(new)
+        return new
+
+    def settle(self) -> None:
+        if len(self.parts) > _CHANGES:
+            whole = stored(self.together(self.rows()))
+            for x in self.parts[:-1]:  # the last one may be the next round's frontier
+                forget(x)
+            self.parts = [whole]
 
 
 def bfs(e: DataFrame, source: int, max_rounds: int = 1 << 20) -> DataFrame:
-    """(id, dist, parent): hops from the source; the parent is the least predecessor on a shortest path, the source's own is itself."""
+    """(id, dist, parent): hops from the source; the parent is the least predecessor on a shortest path, the source's own is itself.
+
+    A round writes its level only.
+    """
     e = stored(e.select("src", "dst").distinct())
-    seen = stored(e.sparkSession.createDataFrame([(source, 0, source)], "id long, dist long, parent long"))
+    front = e.sparkSession.createDataFrame([(source, 0, source)], "id long, dist long, parent long")
+    seen = _Growing(front)
     for r in range(1, max_rounds):
-        front = seen.where(F.col("dist") == r - 1).select(F.col("id").alias("src"))
-        new = front.join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).join(seen.select("id"), "id", "left_anti")
-        new = stored(new.select("id", F.lit(r).cast("long").alias("dist"), "parent"))
-        if new.isEmpty():
+        near = front.select(F.col("id").alias("src")).join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        front = seen.add(near.join(seen.rows().select("id"), "id", "left_anti").select("id", F.lit(r).cast("long").alias("dist"), "parent"))
+        if front.isEmpty():
             break
-        seen = stored(seen.unionByName(new))
-    return seen
+        seen.settle()
+    return seen.rows()
 
 
 def shortest_paths(e: DataFrame, source: int, delta: int | None = None, target: int | None = None, bound: Callable[[DataFrame], DataFrame] | None = None, max_rounds: int = 1 << 20) -> DataFrame:
@@ -41,28 +74,39 @@ def shortest_paths(e: DataFrame, source: int, delta: int | None = None, target:
     With ``delta`` only the open vertices of the least distance bucket of that
     width push in a round. With ``target`` whatever cannot shorten its distance
     is pruned; ``bound`` may add a column h to (id, dist), a lower bound of the
-    way still to go.
+    way still to go. A round writes the distances that got shorter, and the open vertices.
     """
     spark = e.sparkSession
     e = stored(e.groupBy("src", "dst").agg(F.min("w").alias("w")))
-    state = stored(spark.createDataFrame([(source, 0, source, True)], "id long, dist long, parent long, open boolean"))
+    least = lambda x: x.groupBy("id").agg(F.min(F.struct("dist", "parent")).alias("b")).select("id", "b.dist", "b.parent")
+    first = spark.createDataFrame([(source, 0, source)], "id long, dist long, parent long")
+    known, open_ = _Growing(first, least), stored(first.select("id", "dist"))
     for _ in range(max_rounds):
-        active = state.where("open")
+        active = open_
         if target is not None:
-            best = state.where(F.col("id") == target).agg(F.min("dist")).first()[0]
+            best = known.rows().where(F.col("id") == target).agg(F.min("dist")).first()[0]
             if best is not None:
-                active = (bound(active).where(F.col("dist") + F.col("h") < best).select(*state.columns)) if bound else active.where(F.col("dist") < best)
-        least = active.agg(F.min("dist")).first()[0]
-        if least is None:
+                active = bound(active).where(F.col("dist") + F.col("h") < best).select("id", "dist") if bound else active.where(F.col("dist") < best)
+        push = active
+        if delta is not None:
+            nearest = active.agg(F.min("dist")).first()[0]
+            if nearest is None:
+                break
+            push = active.where(F.col("dist") < (nearest // delta + 1) * delta)
+        offers = push.select(F.col("id").alias("src"), "dist").join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("parent"))).alias("o")).select("id", "o.dist", "o.parent")
+        now = known.rows().groupBy("id").agg(F.min("dist").alias("now"))
+        better = known.add(offers.join(now, "id", "left").where("now is null or dist < now").select("id", "dist", "parent"))
+        if delta is None:
+            after = better.select("id", "dist")
+        else:
+            after = active.join(push.select("id"), "id", "left_anti").unionByName(better.select("id", "dist")).groupBy("id").agg(F.min("dist").alias("dist"))
+        after = stored(after)
+        if after.isEmpty():
             break
-        push = active if delta is None else active.where(F.col("dist") < (least // delta + 1) * delta)
-        push = push.select(F.col("id").alias("src"), "dist")
-        offers = push.join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("d"), F.col("src").alias("p"))).alias("o"))
-        done = push.select(F.col("src").alias("id"), F.lit(True).alias("pushed"))
-        both = state.join(offers, "id", "full").join(done, "id", "left")
-        better = F.col("o").isNotNull() & (F.col("dist").isNull() | (F.col("o.d") < F.col("dist")))
-        state = stored(both.select("id", F.when(better, F.col("o.d")).otherwise(F.col("dist")).alias("dist"), F.when(better, F.col("o.p")).otherwise(F.col("parent")).alias("parent"), F.when(better, True).when(F.col("pushed"), False).otherwise(F.coalesce("open", F.lit(False))).alias("open")))
-    return state.select("id", "dist", "parent")
+        forget(open_)
+        open_ = after
+        known.settle()
+    return least(known.rows())
 
 
 def bellman_ford(e: DataFrame, source: int, vertices: int) -> DataFrame | None:
@@ -80,17 +124,24 @@ def bellman_ford(e: DataFrame, source: int, vertices: int) -> DataFrame | None:
 
 
 def path(found: DataFrame, target: int) -> DataFrame:
-    """(step, id, dist): the way to the target by parents, from the source on."""
-    spark, way, at = found.sparkSession, [], target
-    while True:
-        row = found.where(F.col("id") == at).select("id", "dist", "parent").first()
-        if row is None:
-            return spark.createDataFrame([], "step long, id long, dist long")
-        way.append((row.id, row.dist))
-        if row.parent == at:
+    """(step, id, dist): the way to the target by parents, from the source on; empty if it was not reached.
+
+    Parents are followed by doubling: as many joins as the way's length has bits.
+    """
+    up = stored(found.select("id", "parent", "dist"))
+    way = stored(up.where(F.col("id") == target).select("id", "dist", F.lit(0).cast("long").alias("back")))
+    jump, step = up.select("id", "parent"), 1
+    dist = up.select("id", "dist")
+    while not way.isEmpty():
+        more = way.join(jump, "id").select(F.col("parent").alias("id"), (F.col("back") + step).alias("back")).join(dist, "id").select("id", "dist", "back")
+        whole = stored(way.unionByName(more).groupBy("id", "dist").agg(F.min("back").alias("back")))  # the source is its own parent and comes again
+        grown = whole.count() > way.count()
+        way = whole
+        if not grown:
             break
-        at = row.parent
-    return spark.createDataFrame([(i, *w) for i, w in enumerate(reversed(way))], "step long, id long, dist long")
+        jump, step = stored(jump.join(jump.toDF("parent", "p2"), "parent").select("id", F.col("p2").alias("parent"))), 2 * step
+    top = way.agg(F.max("back").alias("top"))
+    return way.crossJoin(F.broadcast(top)).select((F.col("top") - F.col("back")).alias("step"), "id", "dist")  # one row
 
 
 EARTH_CM = 637100000
@@ -104,6 +155,16 @@ def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, halved:
     return F.floor(2 * F.atan2(F.sqrt(x), F.sqrt(F.greatest(F.lit(0.0), 1 - x))) * EARTH_CM)
 
 
+def edge_length(e: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst, w): the least weight of an edge between the ends of each pair that has one."""
+    return pairs.join(e, ["src", "dst"]).groupBy("src", "dst").agg(F.min("w").alias("w"))
+
+
+def undirected_weights(e: DataFrame) -> DataFrame:
+    """Edges both ways, without loops."""
+    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).where("src <> dst")
+
+
 def a_star(e: DataFrame, places: DataFrame, source: int, target: int) -> DataFrame:
     """(step, id, dist): the shortest way by weights in cm, pruned by the great circle to the target (id, lat, lon)."""
     goal = places.where(F.col("id") == target).select(F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
@@ -317,9 +378,14 @@ def uncovered(members: DataFrame, cover: DataFrame) -> DataFrame:
 
 
 def cycle_count(permutation: DataFrame) -> DataFrame:
-    """(cycles) of a permutation (i, p)."""
-    c = components(permutation.select(F.col("i").alias("src"), F.col("p").alias("dst")), permutation.select(F.col("i").alias("id")))
-    return c.agg(F.count_distinct("component").alias("cycles"))
+    """(cycles) of a permutation (i, p): the least element of each cycle, over strides that double, counts it once."""
+    state, n, step = stored(permutation.select("i", F.col("p").alias("to"), F.least("i", "p").alias("least"))), permutation.count(), 1
+    while step < n:
+        on = state.select(F.col("i").alias("to"), F.col("to").alias("further"), F.col("least").alias("l2"))
+        after = stored(state.join(on, "to").select("i", F.col("further").alias("to"), F.least("least", "l2").alias("least")))
+        forget(state)
+        state, step = after, 2 * step
+    return state.agg(F.count_if(F.col("i") == F.col("least")).alias("cycles"))
 
 
 def separator(e: DataFrame, vertices: DataFrame, error: float = 5e-8, seed: int = 1, together: int = 1 << 22, max_rounds: int = 1 << 20) -> DataFrame:
@@ -357,24 +423,71 @@ def separator(e: DataFrame, vertices: DataFrame, error: float = 5e-8, seed: int
     return x.select("id", F.when(F.col("x") > half, 1).otherwise(0).alias("side"))
 
 
-def max_flow(e: DataFrame, source: int, target: int) -> int:
-    """The greatest flow along integer capacities w: shortest augmenting paths by searches on the residual graph."""
-    res = stored(e.where("src <> dst").select("src", "dst", "w").unionByName(e.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).cast("long").alias("w"))).groupBy("src", "dst").agg(F.sum("w").cast("long").alias("w")))
+def max_flow(e: DataFrame, source: int, target: int, together: int = 1 << 20) -> int:
+    """The greatest flow along integer capacities w: shortest augmenting paths on the residual graph.
+
+    Up to ``together`` edges, whose number is checked, the driver augments by levels; more are
+    searched in rounds of joins, one path a search.
+    """
+    caps = stored(e.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").cast("long").alias("w")))
+    if caps.count() <= together:
+        return _flow_by_levels([tuple(r) for r in caps.collect()], source, target)
+    res = stored(caps.unionByName(caps.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).cast("long").alias("w"))).groupBy("src", "dst").agg(F.sum("w").cast("long").alias("w")))
     flow = 0
     while True:
-        found = bfs(res.where("w > 0"), source)
-        way = [r.id for r in path(found, target).orderBy("step").collect()]  # one path
+        way = [r.id for r in path(bfs(res.where("w > 0"), source), target).orderBy("step").collect()]  # one path
         if not way:
             return flow
         steps = e.sparkSession.createDataFrame(list(zip(way, way[1:], strict=False)), "src long, dst long")
         least = res.join(F.broadcast(steps), ["src", "dst"]).agg(F.min("w")).first()[0]
         change = steps.withColumn("c", F.lit(-least)).unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(least).alias("c")))
-        res = stored(res.join(F.broadcast(change), ["src", "dst"], "left").select("src", "dst", (F.col("w") + F.coalesce("c", F.lit(0))).cast("long").alias("w")))
-        flow += least
+        after = stored(res.join(F.broadcast(change), ["src", "dst"], "left").select("src", "dst", (F.col("w") + F.coalesce("c", F.lit(0))).cast("long").alias("w")))
+        forget(res)
+        res, flow = after, flow + least
 
 
-def belief_propagation(nodes: DataFrame, edges: DataFrame, sensitivity: float = 1e-5, max_rounds: int = 200) -> DataFrame:
-    """(id, p0, p1): marginals of a binary random field by synchronous rounds of log messages.
+def _flow_by_levels(caps: list[tuple[int, int, int]], source: int, target: int) -> int:
+    """Blocking flows on level graphs."""
+    left: dict[int, dict[int, int]] = {}
+    for a, b, w in caps:
+        left.setdefault(a, {})[b] = left.get(a, {}).get(b, 0) + w
+        left.setdefault(b, {}).setdefault(a, 0)
+    flow = 0
+    while source != target:
+        level, front = {source: 0}, [source]
+        while front and target not in level:
+            front = [b for a in front for b, w in left.get(a, {}).items() if w > 0 and level.setdefault(b, level[a] + 1) == level[a] + 1 and b not in front]
+            front = list(dict.fromkeys(front))
+        if target not in level:
+            return flow
+        todo = {a: [b for b in out if level.get(b) == level.get(a, -2) + 1] for a, out in left.items()}
+        way = [source]
+        while way:  # depth first, dead ends are dropped
+            a = way[-1]
+            if a == target:
+                room = min(left[x][y] for x, y in zip(way, way[1:], strict=False))
+                for x, y in zip(way, way[1:], strict=False):
+                    left[x][y] -= room
+                    left[y][x] += room
+                flow += room
+                way = [source]
+                continue
+            while todo[a] and left[a][todo[a][-1]] == 0:
+                todo[a].pop()
+            if todo[a]:
+                way.append(todo[a][-1])
+            else:
+                way.pop()
+                if way:
+                    todo[way[-1]].pop()
+    return flow
+
+
+def belief_propagation(nodes: DataFrame, edges: DataFrame, sensitivity: float = 1e-5, max_rounds: int = 200, by_residual: bool = False) -> DataFrame:
+    """(id, p0, p1): marginals of a binary random field by rounds of log messages.
+
+    All messages are renewed in a round or, ``by_residual``, only those that would change at least half as much as the one
+    that would change most, until none would change by more than ``sensitivity``.
 
     nodes (id, l0, l1) are log potentials; edges (src, dst, t00, t01, t10, t11),
     one row for each direction, hold the log potential of (src state, dst state).
@@ -389,9 +502,14 @@ def belief_propagation(nodes: DataFrame, edges: DataFrame, sensitivity: float =
         x = edges.join(own, "src").join(back, ["src", "dst"]).withColumn("c0", F.col("a0") - F.col("b0")).withColumn("c1", F.col("a1") - F.col("b1"))
         x = x.withColumn("n0", lse(F.col("t00") + F.col("c0"), F.col("t10") + F.col("c1"))).withColumn("n1", lse(F.col("t01") + F.col("c0"), F.col("t11") + F.col("c1")))
         z = lse(F.col("n0"), F.col("n1"))
-        new = stored(x.select("src", "dst", (F.col("n0") - z).alias("m0"), (F.col("n1") - z).alias("m1")))
-        far = new.join(mu.toDF("src", "dst", "o0", "o1"), ["src", "dst"]).agg(F.max(F.abs(F.exp("m0") - F.exp("o0")) + F.abs(F.exp("m1") - F.exp("o1")))).first()[0]
-        mu = new
+        x = x.select("src", "dst", (F.col("n0") - z).alias("m0"), (F.col("n1") - z).alias("m1"))
+        new = stored(x.join(mu.toDF("src", "dst", "o0", "o1"), ["src", "dst"]).withColumn("far", F.abs(F.exp("m0") - F.exp("o0")) + F.abs(F.exp("m1") - F.exp("o1"))))
+        far = new.agg(F.max("far")).first()[0]
+        if by_residual and far is not None:
+            own = F.col("far") >= far / 2
+            mu = new.select("src", "dst", F.when(own, F.col("m0")).otherwise(F.col("o0")).alias("m0"), F.when(own, F.col("m1")).otherwise(F.col("o1")).alias("m1"))
+        else:
+            mu = new.select("src", "dst", "m0", "m1")
         if far is None or far <= sensitivity:
             break
     into = mu.groupBy(F.col("dst").alias("id")).agg(F.sum("m0").alias("s0"), F.sum("m1").alias("s1"))
@@ -407,45 +525,136 @@ def _a(name: str, sql: str | None = None):
     return add
 
 
-_REACH = f"with recursive e as materialized (select distinct src, dst from {G}), r(id, dist) as (select 0, 0 union select dst, dist + 1 from r join e on src = id where dist < 15), d as (select id, min(dist) as dist from r group by id) "
-_a("bfs_levels", _REACH + "select id, dist from d")(lambda e, v: bfs(e, 0).select("id", "dist"))
-_a("bfs_parents", _REACH + "select 0 as id, 0 as parent union all select b.id, min(src) from e join d a on a.id = src join d b on b.id = e.dst and b.dist = a.dist + 1 group by b.id")(lambda e, v: bfs(e, 0).select("id", "parent"))
-_SP = f"with recursive e as materialized (select src, dst, min(w) as w from {G} group by 1, 2), r(id, dist) as (select 0, 0 union select dst, dist + w from r join e on src = id where dist + w <= 45) "
-_a("sssp", _SP + "select id, min(dist) as dist from r group by id")(lambda e, v: shortest_paths(e, 0).select("id", "dist"))
-_a("delta_stepping", _SP + "select id, min(dist) as dist from r group by id")(lambda e, v: shortest_paths(e, 0, delta=8).select("id", "dist"))
-_a("bellman_ford", _SP + "select id, min(dist) as dist from r group by id")(lambda e, v: bellman_ford(e, 0, v.count()))
-_a("ppsp", _SP + "select min(dist) as dist from r where id = 77")(lambda e, v: shortest_paths(e, 0, delta=8, target=77).where("id = 77").select("dist"))
+_E = f"e as materialized (select distinct src, dst from {G})"
+#: Hops from vertex 0 on any graph: a round adds the vertices that no earlier one has.
+_BFS = f"with recursive {_E}, d(id, dist) using key (id) as (select cast(0 as bigint), cast(0 as bigint) union select e.dst, min(d.dist) + 1 from d join e on e.src = d.id left join recurring.d k on k.id = e.dst where k.id is null group by e.dst) "
+_PARENTS = "p as materialized (select cast(0 as bigint) as id, cast(0 as bigint) as dist, cast(0 as bigint) as parent union all select b.id, b.dist, min(src) from e join d a on a.id = src join d b on b.id = e.dst and b.dist = a.dist + 1 group by b.id, b.dist) "
+_a("bfs_levels", _BFS + "select id, dist from d")(lambda e, v: bfs(e, 0).select("id", "dist"))
+_a("bfs_parents", _BFS + ", " + _PARENTS + "select id, parent from p")(lambda e, v: bfs(e, 0).select("id", "parent"))
+_a("path_reconstruction", _BFS + ", " + _PARENTS + ", way(id, dist, parent) as (select id, dist, parent from p where id = 77 union all select p.id, p.dist, p.parent from way join p on p.id = way.parent where way.id <> 0) select dist as step, id, dist from way")(lambda e, v: path(bfs(e, 0), 77))
+#: Least weights from vertex 0: a round keeps the offers that are shorter than what is known.
+_SP = f"with recursive e as materialized (select src, dst, min(w) as w from {G} group by 1, 2), d(id, dist) using key (id) as (select cast(0 as bigint), cast(0 as bigint) union select e.dst, min(d.dist + e.w) from d join e on e.src = d.id left join recurring.d k on k.id = e.dst group by e.dst, k.dist having k.dist is null or min(d.dist + e.w) < k.dist) "
+_a("sssp", _SP + "select id, dist from d")(lambda e, v: shortest_paths(e, 0).select("id", "dist"))
+_a("delta_stepping", _SP + "select id, dist from d")(lambda e, v: shortest_paths(e, 0, delta=8).select("id", "dist"))
+_a("bellman_ford", _SP + "select id, dist from d")(lambda e, v: bellman_ford(e, 0, v.count()))
+_a("ppsp", _SP + "select dist from d where id = 77")(lambda e, v: shortest_paths(e, 0, delta=8, target=77).where("id = 77").select("dist"))
+_a("edge_length", f"select a.src, a.dst, min(g.w) as w from (select distinct src, dst from {G} where w > 5) a join {G} g on g.src = a.src and g.dst = a.dst group by 1, 2")(lambda e, v: edge_length(e, e.where("w > 5").select("src", "dst").distinct()))
 _PR = f"with e as (select src, dst, count(*) over (partition by src) as deg from {G}), v as (select c_custkey as id from customer), r0 as (select id, 1.0 / (select count(*) from v) as rank from v)" + "".join(
     f", r{i} as (select id, 0.15 / (select count(*) from v) + 0.85 * coalesce(s, 0) as rank from v left join (select dst, sum(rank / deg) as s from e join r{i - 1} on id = src group by dst) on dst = id)" for i in range(1, 6)
 )
 _a("pagerank", _PR + " select id, round(rank * 1000, 6) as rank from r5")(lambda e, v: pagerank(e, v, 5).select("id", F.round(F.col("rank") * 1000, 6).alias("rank")))
 _a("pagerank_top", _PR + " select id, round(rank * 1000, 6) as rank from r5 order by r5.rank desc, id limit 20")(lambda e, v: pagerank(e, v, 5).orderBy(F.desc("rank"), "id").limit(20).select("id", F.round(F.col("rank") * 1000, 6).alias("rank")))
 _a("residual_pagerank")(residual_pagerank)
-_a("connected_components", f"with recursive u as materialized (select src, dst from {UND}), r(id, c) as (select c_custkey, 0 from customer where c_custkey = 0 union select dst, 0 from r join u on src = id) select c_custkey as id, case when c_custkey in (select id from r) then 0 else c_custkey end as component from customer")(components)
-_a("betweenness")(lambda e, v: betweenness(e, 0))
-_a("kcore")(kcore)
+_CC = f"with recursive u as materialized (select src, dst from {UND}), r(id, c) using key (id) as (select cast(c_custkey as bigint), cast(c_custkey as bigint) from customer union select u.dst, min(r.c) from r join u on u.src = r.id join recurring.r k on k.id = u.dst group by u.dst, k.c having min(r.c) < k.c) "
+_a("connected_components", _CC + "select id, c as component from r")(components)
+_BC = f"""with recursive {_E}, s(id, dist, sigma) using key (id) as (select cast(0 as bigint), cast(0 as bigint), 1e0 union select e.dst, min(s.dist) + 1, sum(s.sigma) from s join e on e.src = s.id left join recurring.s k on k.id = e.dst where k.id is null group by e.dst),
+  v as materialized (select * from s), top as materialized (select max(dist) as top from v),
+  b(id, dist, sigma, score) as (select id, dist, sigma, 0e0 from v, top where dist = top union all
+    select x.id, x.dist, any_value(x.sigma), coalesce(sum(x.sigma / b.sigma * (1 + b.score)) filter (e.src is not null), 0) from b join v x on x.dist = b.dist - 1 left join e on e.src = x.id and e.dst = b.id group by x.id, x.dist)
+select id, round(case when id = 0 then 0 else score end, 6) as score from b"""
+_a("betweenness", _BC)(lambda e, v: betweenness(e, 0).select("id", F.round("score", 6).alias("score")))
+#: Coreness as the fixpoint from above of: the greatest k such that k neighbours have at least k.
+_CORE = f"""with recursive u as materialized (select src, dst from {UND}), deg as materialized (select c_custkey as id, (select count(*) from u where src = c_custkey) as d from customer),
+  r(id, c) using key (id) as (select cast(id as bigint), cast(d as bigint) from deg union
+    select id, h from (select u.src as id, any_value(own.c) as c, list_reverse_sort(list(k.c)) as near from u join recurring.r k on k.id = u.dst join recurring.r own on own.id = u.src where u.src in (select dst from u join r on r.id = u.src) group by u.src) x,
+      lateral (select cast(len(list_filter(range(1, len(near) + 1), lambda i: near[i] >= i)) as bigint) as h) y where h < c)
+select id, c as core from r"""
+_a("kcore", _CORE)(kcore)
 _a("triangle_count", f"with u as materialized (select src, dst from {UND}) select count(*) as triangles from u a join u b on b.src = a.dst and b.dst > a.dst join u c on c.src = a.src and c.dst = b.dst where a.dst > a.src")(lambda e, v: triangles(e))
-_a("independent_set")(independent_set)
+#: A greedy pass over the vertices in order, with a list of those chosen.
+_MIS = f"""with n as (select c_custkey as id, (select list(dst) from {UND} where src = c_custkey and dst < c_custkey) as before from customer)
+select unnest(list_reduce(list({{'id': id, 'before': coalesce(before, [])}} order by id), lambda chosen, v: case when list_has_any(chosen, v.before) then chosen else list_append(chosen, v.id) end, cast([] as bigint[]))) as id from n"""
+_a("independent_set", _MIS)(independent_set)
 _a("independent_set_check", "select 0 as id where false")(lambda e, v: independent_set_errors(e, v, independent_set(e, v)))
 def _numbered(e: DataFrame) -> DataFrame:
     """Edges numbered by their ends and weight."""
     return e.withColumn("eid", F.col("src") * 100000000 + F.col("dst") * 100 + F.col("w")).distinct()
 
 
-_a("maximal_matching")(lambda e, v: matching(_numbered(e)))
-_a("min_spanning_forest")(lambda e, v: spanning_forest(_numbered(e)))
-_a("spanning_forest")(lambda e, v: spanning_forest(_numbered(e), False))
-_a("graph_colouring")(colouring)
-_a("low_diameter_decomposition")(low_diameter)
+_NUM = f"(select distinct src * 100000000 + dst * 100 + w as eid, src, dst, w from {G} where src <> dst)"
+#: A greedy pass over the edges in order, with the vertices used and the edges chosen.
+_MATCH = f"""select unnest(list_reduce(list({{'eid': eid, 'src': src, 'dst': dst}} order by eid),
+  lambda a, x: case when list_contains(a.used, x.src) or list_contains(a.used, x.dst) then a else {{'used': a.used || [x.src, x.dst], 'out': list_append(a.out, x.eid)}} end, {{'used': cast([] as bigint[]), 'out': cast([] as bigint[])}}).out) as eid from {_NUM}"""
+
+
+def _kruskal(order: str) -> str:
+    """A greedy pass over the edges in order, with each vertex' component and the edges chosen."""
+    return f"""with s as (select list(id order by id) as comp from (select cast(c_custkey as bigint) as id from customer)), x as (select list({{'eid': eid, 'src': src, 'dst': dst}} order by {order}) as es from {_NUM})
+select unnest(list_reduce(es, lambda a, x: case when a.comp[x.src + 1] = a.comp[x.dst + 1] then a else {{'comp': list_transform(a.comp, lambda c: case when c = a.comp[x.dst + 1] then a.comp[x.src + 1] else c end), 'out': list_append(a.out, x.eid)}} end,
+  {{'comp': comp, 'out': cast([] as bigint[])}}).out) as eid from s, x"""
+
+
+#: A greedy pass over the vertices by falling degree, with the colours so far.
+_COLOUR = f"""with n as (select c_custkey as id, coalesce((select list(dst) from {UND} where src = c_custkey), []) as near from customer),
+  x as (select list({{'id': id, 'near': near}} order by len(near) desc, id) as vs, max(id) as top from n),
+  c as (select list_reduce(vs, lambda a, v: list_concat(list_append(a[:v.id], list_filter(range(0, len(v.near) + 1), lambda k: not list_contains(list_transform(v.near, lambda y: a[y + 1]), k))[1]), a[v.id + 2:]), list_transform(range(0, top + 1), lambda i: cast(-1 as bigint))) as colours from x)
+select id, cast(colours[id + 1] as int) as colour from n, c"""
+_a("maximal_matching", _MATCH)(lambda e, v: matching(_numbered(e)))
+_a("min_spanning_forest", _kruskal("w, eid"))(lambda e, v: spanning_forest(_numbered(e)))
+_a("spanning_forest", _kruskal("eid"))(lambda e, v: spanning_forest(_numbered(e), False))
+_a("graph_colouring", _COLOUR)(colouring)
+#: Rounds with a row -1 that counts them, since a round may add no vertex.
+_LDD = f"""with recursive u as materialized (select src, dst from {UND}), x as (select c_custkey as id, -ln(({hashed_sql("c_custkey", seed=1)} % {1 << 30} + 1) / {float((1 << 30) + 1)!r}) / 0.2e0 as x from customer),
+  s as materialized (select cast(id as bigint) as id, cast(floor((select max(x) from x) - x) as bigint) as start from x),
+  r(id, centre, round) using key (id) as (select cast(-1 as bigint), cast(-1 as bigint), cast(0 as bigint) union all select id, id, cast(0 as bigint) from s where start <= 0 union
+    select id, min(centre), max(round) from (
+      select u.dst as id, k.centre as centre, t.round + 1 as round, 0 as late from r t join recurring.r k on k.id >= 0 and t.id = -1 join u on u.src = k.id
+      union all select s.id, s.id, t.round + 1, 1 from r t join s on t.id = -1 and s.start <= t.round + 1 where s.id not in (select u.dst from recurring.r k join u on u.src = k.id)
+      union all select -1, -1, t.round + 1, 2 from r t where t.id = -1 and (t.round <= (select max(start) from s) or (select count(*) from recurring.r) <= (select count(*) from s))) y
+    where id = -1 or id not in (select id from recurring.r) group by id)
+select id, centre from r where id >= 0"""
+_a("low_diameter_decomposition", _LDD)(low_diameter)
 _a("spectral_separator")(separator)
 
 
 def _supplies(s, d):
-    from ..tables import table
-
     return table(s, d, "lineitem").select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("x"))
 
 
 register("set_cover")(lambda s, d: set_cover(_supplies(s, d)))
 register("set_cover_check", "select 0 as x where false")(lambda s, d: uncovered(_supplies(s, d), set_cover(_supplies(s, d))))
-register("cycle_count", "select 4 as cycles")(lambda s, d: cycle_count(s.range(1000).select(F.col("id").alias("i"), ((F.col("id") + 4) % 1000).alias("p"))))
+_PERM = "(select o_orderkey as i, row_number() over (order by o_custkey, o_orderkey) - 1 as p from orders)"
+#: The least element over strides of 2**k, for permutations of up to 2**24 elements.
+_STRIDES = "".join(f", s{k} as materialized (select a.i, b.p, least(a.m, b.m) as m from s{k - 1} a join s{k - 1} b on b.i = a.p)" for k in range(1, 25))
+register("cycle_count", f"with s0 as materialized (select i, p, least(i, p) as m from {_PERM}){_STRIDES} select count(*) as cycles from s24 where i = m")(
+    lambda s, d: cycle_count(dense(table(s, d, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("i")), ["a", "i"]).select("i", F.col("idx").alias("p")))
+)
+#: Customers as places on a sphere; an edge is a hundredth longer than the great circle, so that no bound is too long.
+_PLACES = "(select c_custkey as id, (c_custkey % 170 - 85) * 0.01e0 as lat, (c_custkey * 7 % 340 - 170) * 0.01e0 as lon from customer)"
+
+
+def _circle_sql(halved: bool = False) -> str:
+    k = " * 0.5e0" if halved else ""
+    a, b = f"sin((b.lat - a.lat){k})", f"sin((b.lon - a.lon){k})"
+    x = f"({a} * {a} + cos(a.lat) * cos(b.lat) * {b} * {b})"
+    return f"cast(floor(2 * atan2(sqrt({x}), sqrt(greatest(0e0, 1 - {x}))) * {EARTH_CM}) as bigint)"
+
+
+def _places(v: DataFrame) -> DataFrame:
+    return v.select("id", ((F.col("id") % 170 - 85) * 0.01).alias("lat"), ((F.col("id") * 7 % 340 - 170) * 0.01).alias("lon"))
+
+
+def _roads(e: DataFrame, v: DataFrame) -> DataFrame:
+    p = _places(v)
+    ends = e.select("src", "dst").where("src <> dst").distinct().join(p.toDF("src", "alat", "alon"), "src").join(p.toDF("dst", "blat", "blon"), "dst")
+    return ends.select("src", "dst", (F.floor(great_circle(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"), True) / 100) * 101 + 1).cast("long").alias("w"))
+
+
+_ROADS = f"(select src, dst, {_circle_sql(True)} // 100 * 101 + 1 as w from (select distinct src, dst from {G} where src <> dst) g join {_PLACES} a on a.id = src join {_PLACES} b on b.id = dst)"
+_a("great_circle", f"select src, dst, {_circle_sql()} as cm, {_circle_sql(True)} as halved from (select distinct src, dst from {G}) g join {_PLACES} a on a.id = src join {_PLACES} b on b.id = dst")(
+    lambda e, v: e.select("src", "dst").distinct().join(_places(v).toDF("src", "alat", "alon"), "src").join(_places(v).toDF("dst", "blat", "blon"), "dst")
+    .select("src", "dst", great_circle(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")).alias("cm"), great_circle(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"), True).alias("halved"))
+)
+_a("a_star", f"with recursive e as materialized {_ROADS}, d(id, dist) using key (id) as (select cast(0 as bigint), cast(0 as bigint) union select e.dst, min(d.dist + e.w) from d join e on e.src = d.id left join recurring.d k on k.id = e.dst group by e.dst, k.dist having k.dist is null or min(d.dist + e.w) < k.dist) select 0 as source, 77 as target, dist from d where id = 77")(
+    lambda e, v: a_star(_roads(e, v), _places(v), 0, 77).groupBy().agg(F.min_by("id", "step").cast("int").alias("source"), F.max_by("id", "step").cast("int").alias("target"), F.max("dist").alias("dist"))
+)
+def _path_file(e: DataFrame, v: DataFrame) -> DataFrame:
+    from ..sources.formats import numbered, write_path
+
+    at = scratch(e.sparkSession)
+    write_path(path(bfs(e, 0), 77), at)
+    return numbered(e.sparkSession, at)
+
+
+_a("path_file", _BFS + ", " + _PARENTS + ", way(id, dist, parent) as (select id, dist, parent from p where id = 77 union all select p.id, p.dist, p.parent from way join p on p.id = way.parent where way.id <> 0) select 0 as idx, '0 77 ' || max(dist) as line from way union all select dist + 1, cast(id as varchar) from way")(_path_file)
+register("max_flow")(lambda s, d: s.createDataFrame([(max_flow(undirected_weights(order_graph(s, d)), 0, 77),)], "flow long"))

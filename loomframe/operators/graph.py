@@ -231,3 +231,46 @@ _g("vertex_map", "select c_custkey as id, c_custkey * 2 as x from customer")(lam
 _g("vertex_filter", "select c_custkey as id from customer where c_custkey % 3 = 1")(lambda e, v: v.where("id % 3 = 1"))
 register("hyper_propagate", "select l_partkey as id, count(*) as n from lineitem where l_orderkey < 1000 group by 1")(lambda s, d: hyper_step(table(s, d, "lineitem").select(F.col("l_partkey").alias("v"), F.col("l_orderkey").alias("h")), table(s, d, "orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("id")), False))
 register("next_bucket", "select o_custkey as id from orders where o_orderkey % 17 = (select min(o_orderkey % 17) from orders)")(lambda s, d: take_bucket(table(s, d, "orders").select(F.col("o_custkey").alias("id"), (F.col("o_orderkey") % 17).alias("bucket")))[1])
+
+
+def without(e: DataFrame, gone: DataFrame, nodes: bool = False) -> DataFrame:
+    """The graph without edges (src, dst), or without nodes (id) and their edges."""
+    if nodes:
+        return e.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select(*e.columns)
+    return e.join(gone.select("src", "dst").distinct(), ["src", "dst"], "left_anti").select(*e.columns)
+
+
+def edges_of_lists(lists: DataFrame) -> DataFrame:
+    """(src, dst) of adjacency lists (src, neighbours)."""
+    return lists.select("src", F.explode("neighbours").alias("dst"))
+
+
+def adjacency_lists(e: DataFrame) -> DataFrame:
+    """(src, neighbours): sorted lists; a list is a row."""
+    return e.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
+
+
+def parts_by_nodes_and_edges(e: DataFrame, vertices: DataFrame, parts: int, node_size: int = 1, edge_size: int = 1) -> DataFrame:
+    """(id, part): vertices in order, cut so that each part has about the same weighted sum of nodes and edges."""
+    from .sequence import scan
+
+    deg = dense(degrees(e, vertices).select(F.col("id").alias("i"), (node_size + edge_size * F.col("degree")).alias("x")), ["i"])
+    at = scan(deg.select("idx", "x")).select("idx", "prefix").join(deg.select("idx", "i"), "idx")
+    total = deg.agg(F.sum("x").alias("total"))
+    return at.crossJoin(F.broadcast(total)).select(F.col("i").alias("id"), F.least(F.expr(f"prefix * {parts} div total"), F.lit(parts - 1)).alias("part"))  # one row
+
+
+_g("transpose_in_place", f"select dst as src, src as dst, w from {G}")(lambda e, v: transpose(transpose(transpose(e))))
+_g("partitioned_transpose", f"select dst as src, src as dst, w, dst % 4 as part from {G}")(lambda e, v: transpose(e).withColumn("part", F.col("src") % 4).repartition(4, "part"))
+_g("partitioned_random_weights", f"select src, dst, 1 + {hashed_sql('src', 'dst', seed=5)} % 10 as w from {G}")(lambda e, v: random_weights(e, 1, 10, 5))
+_g("clean_without_data", f"select distinct src, dst from {G} where src <> dst")(lambda e, v: e.where("src <> dst").select("src", "dst").distinct())
+_g("remap_by_file", f"select n - 1 - src as src, n - 1 - dst as dst, w from {G}, (select count(*) as n from customer)")(lambda e, v: relabel(e, v.crossJoin(F.broadcast(v.agg(F.count("*").alias("n")))).select("id", (F.col("n") - 1 - F.col("id")).alias("new"))))  # one row
+_RNEW5 = f"(select id, row_number() over (order by {hashed_sql('id', seed=5)}, id) - 1 as new from {_V})"
+_g("graph_reorder", f"select a.new as src, b.new as dst, w from {G} g join {_RNEW5} a on a.id = src join {_RNEW5} b on b.id = dst")(lambda e, v: relabel(e, random_names(v, 5)))
+_g("edges_from_graph", f"select src, dst from {G}")(lambda e, v: edges_of_lists(adjacency_lists(e)))
+_g("sort_edges_by_data", f"select src, list(dst order by w, dst) as neighbours from {G} group by src")(lambda e, v: e.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "dst"))), lambda x: x["dst"]).alias("neighbours")))
+_g("sort_edges_by_dst", f"select src, list(w order by dst, w) as weights from {G} group by src")(lambda e, v: e.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("dst", "w"))), lambda x: x["w"]).alias("weights")))
+_g("graph_add_edges", f"select src, dst, w from {G} union all select src, src, 0 from (select distinct src from {G} where w = 1)")(lambda e, v: e.unionByName(e.where("w = 1").select("src", F.col("src").alias("dst"), F.lit(0).cast("long").alias("w")).distinct()))
+_g("graph_remove_edges", f"select src, dst, w from {G} where (src, dst) not in (select (src, dst) from {G} where w = 3)")(lambda e, v: without(e, e.where("w = 3")))
+_g("graph_remove_nodes", f"select src, dst, w from {G} where src % 9 <> 0 and dst % 9 <> 0")(lambda e, v: without(e, v.where("id % 9 = 0").select("id"), True))
+_g("divide_by_node", f"select id, least((c * 6) // (select sum(2 + 3 * degree) from {_DEG}), 5) as part from (select id, cast(coalesce(sum(2 + 3 * degree) over (order by id rows between unbounded preceding and 1 preceding), 0) as bigint) as c from {_DEG})")(lambda e, v: parts_by_nodes_and_edges(e, v, 6, 2, 3))

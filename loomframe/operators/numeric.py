@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..registry import register
 from ..tables import stored, table
+from .sequence import dense
 
 
 def primes(spark: SparkSession, n: int) -> DataFrame:
@@ -122,6 +123,22 @@ def upper_hull(points: DataFrame) -> DataFrame:
     return part.coalesce(1).mapInPandas(run, "x double, y double")
 
 
+def convex_hull(points: DataFrame) -> DataFrame:
+    """(place, x, y): the hull's points clockwise from the leftmost, highest first; each once."""
+    own = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    up = upper_hull(own).select(F.lit(0).alias("side"), F.col("x").alias("k"), "x", "y")
+    low = upper_hull(own.select((-F.col("x")).alias("x"), (-F.col("y")).alias("y"))).select(F.lit(1).alias("side"), F.col("x").alias("k"), (-F.col("x")).alias("x"), (-F.col("y")).alias("y"))
+    both = up.unionByName(low).groupBy("x", "y").agg(F.min(F.struct("side", "k")).alias("at"))
+    return dense(both.select(F.col("at.side").alias("side"), F.col("at.k").alias("k"), "x", "y"), ["side", "k"]).select(F.col("idx").alias("place"), "x", "y")
+
+
+def kernels(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column, Column]) -> dict[str, Column]:
+    """cross and dot product of b - a and c - a, and the angle between them."""
+    ux, uy, vx, vy = b[0] - a[0], b[1] - a[1], c[0] - a[0], c[1] - a[1]
+    cross, dot = ux * vy - uy * vx, ux * vx + uy * vy
+    return {"cross": cross, "dot": dot, "angle": F.atan2(cross, dot)}
+
+
 def cartesian_tree(seq: DataFrame) -> DataFrame:
     """(idx, parent) of (idx, x): the larger of the nearest smaller neighbours; ties are taken by position; the least element is its own parent.
 
@@ -283,22 +300,44 @@ register("big_add", "select o_orderkey as k, cast(o_orderkey * 1000000007 + o_cu
 register("big_multiply", "select o_orderkey as k, cast(cast(o_orderkey * 1000000007 as hugeint) * (o_custkey * 998244353) as varchar) as v from orders")(
     lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("k"), big_multiply((F.col("o_orderkey") * 1000000007).cast("string"), (F.col("o_custkey") * 998244353).cast("string")).alias("v"))
 )
-register("fft")(lambda s, d: fft(table(s, d, "embeddings").select(F.col("vec_id").alias("block"), F.col("embedding").cast("array<double>").alias("xs"))).select("block", "k", F.round("re", 6).alias("re"), F.round("im", 6).alias("im")))
+_X = "(select vec_id as block, len(embedding) as n, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as j from embeddings)"
+register("fft", f"select block, k, round(sum(x * cos(2 * pi() * ((j * k) % n) / n)), 5) + 0 as re, round(-sum(x * sin(2 * pi() * ((j * k) % n) / n)), 5) + 0 as im from {_X}, lateral (select unnest(range(n)) as k) group by block, k")(lambda s, d: fft(table(s, d, "embeddings").select(F.col("vec_id").alias("block"), F.col("embedding").cast("array<double>").alias("xs"))).select("block", "k", (F.round("re", 5) + 0.0).alias("re"), (F.round("im", 5) + 0.0).alias("im")))
 register("k_means")(lambda s, d: k_means(_vectors(s, d), 4))
-register("vector_knn")(lambda s, d: k_nearest_vectors(_vectors(s, d).where("id % 100 = 0").toDF("q", "v"), _vectors(s, d), 10))
+register("vector_knn", "select q, id, rank from (select q.vec_id as q, p.vec_id as id, row_number() over (partition by q.vec_id order by list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))), p.vec_id) as rank from embeddings q, embeddings p where q.vec_id % 100 = 0) where rank <= 10")(lambda s, d: k_nearest_vectors(_vectors(s, d).where("id % 100 = 0").toDF("q", "v"), _vectors(s, d), 10))
+def _hull_sql(sign: str) -> str:
+    """Points of the upper (``sign`` '') or lower ('-') hull: none of two others on both sides of it make it superfluous."""
+    p = f"(select cast(p_size as double) as x, {sign}max({sign}p_retailprice) as y from part group by 1)"
+    cmp = ">=" if not sign else "<="
+    return f"select x, y from {p} a where not exists (select 1 from {p} l, {p} r where l.x < a.x and r.x > a.x and l.y + (r.y - l.y) * (a.x - l.x) / (r.x - l.x) {cmp} a.y)"
+
+
+register("convex_hull", f"select distinct x, y from ({_hull_sql('')} union all {_hull_sql('-')})")(lambda s, d: convex_hull(_parts(s, d)).select("x", "y"))
 register("upper_hull", "select x, y from (select p_size as x, max(p_retailprice) as y from part group by 1) a where not exists (select 1 from (select p_size as x, max(p_retailprice) as y from part group by 1) l, (select p_size as x, max(p_retailprice) as y from part group by 1) r where l.x < a.x and r.x > a.x and l.y + (r.y - l.y) * (a.x - l.x) / (r.x - l.x) >= a.y)")(lambda s, d: upper_hull(_parts(s, d)).select(F.col("x").cast("int").alias("x"), "y"))
-register("cartesian_tree")(lambda s, d: cartesian_tree(_parts(s, d).select(F.col("id").alias("idx"), F.col("y").alias("x"))))
+_CT = "(select p_partkey as i, p_retailprice as x from part)"
+register("cartesian_tree", f"select i as idx, case when l is null and r is null then i when r is null or (l is not null and lx >= rx) then l else r end as parent from (select i, l, r, (select x from {_CT} where i = l) as lx, (select x from {_CT} where i = r) as rx from (select a.i, (select max(b.i) from {_CT} b where b.i < a.i and b.x <= a.x) as l, (select min(b.i) from {_CT} b where b.i > a.i and b.x < a.x) as r from {_CT} a))")(lambda s, d: cartesian_tree(_parts(s, d).select(F.col("id").alias("idx"), F.col("y").alias("x"))))
 register("range_minimum", "select q.p_partkey as q, arg_min(p.p_partkey, p.p_retailprice * 1000000 + p.p_partkey) as idx from part q join part p on p.p_partkey between q.p_partkey and least(q.p_partkey + 37, (select max(p_partkey) from part)) group by 1")(
     lambda s, d: range_minimum(_parts(s, d).select(F.col("id").alias("idx"), F.col("y").alias("x")), _parts(s, d).crossJoin(F.broadcast(_parts(s, d).agg(F.max("id").alias("top")))).select(F.col("id").alias("q"), F.col("id").alias("lo"), F.least(F.col("id") + 37, F.col("top")).alias("hi")))
 )
 register("decision_tree")(lambda s, d: decision_tree(table(s, d, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 256).alias("c"), "o_orderstatus"), ["o_totalprice", "c"], "o_orderstatus").select("o_orderkey", "predicted"))
 register("lasso")(lambda s, d: s.createDataFrame([(i, float(x)) for i, x in enumerate(lasso(table(s, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 10.0))], "feature long, weight double"))
-register("n_body")(lambda s, d: forces(_bodies(s, d)))
+_B = "(select s_suppkey as id, cast(s_suppkey % 11 as double) as x, cast(s_suppkey % 7 as double) as y, s_suppkey / 13.0e0 as z, 1.0e0 + s_nationkey as m from supplier)"
+_R2 = "((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z))"
+_PULL = ", ".join(f"round(coalesce(sum(a.m * b.m / ({_R2} * sqrt({_R2})) * (b.{c} - a.{c})), 0), 5) as f{c}" for c in "xyz")
+register("n_body", f"select a.id, {_PULL} from {_B} a left join {_B} b on a.id <> b.id and {_R2} > 0 group by a.id")(lambda s, d: forces(_bodies(s, d)).select("id", *[F.round("f" + c, 5).alias("f" + c) for c in "xyz"]))
 register("n_body_cells")(lambda s, d: forces(_bodies(s, d), 3.0))
-register("delaunay")(lambda s, d: delaunay(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 37 % 101).cast("double").alias("x"), F.col("s_acctbal").alias("y"))))
-register("ray_cast")(
+_DP = "(select s_suppkey as id, cast(s_suppkey * 37 % 101 as double) as x, s_acctbal as y from supplier)"
+_IN = "((a.x - d.x) * (a.x - d.x) + (a.y - d.y) * (a.y - d.y)) * ((b.x - d.x) * (c.y - d.y) - (c.x - d.x) * (b.y - d.y)) - ((b.x - d.x) * (b.x - d.x) + (b.y - d.y) * (b.y - d.y)) * ((a.x - d.x) * (c.y - d.y) - (c.x - d.x) * (a.y - d.y)) + ((c.x - d.x) * (c.x - d.x) + (c.y - d.y) * (c.y - d.y)) * ((a.x - d.x) * (b.y - d.y) - (b.x - d.x) * (a.y - d.y))"
+_TURN = "((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x))"
+#: All triples of points whose circle holds no other point.
+register("delaunay", f"with p as materialized {_DP} select a.id as a, b.id as b, c.id as c from p a join p b on a.id < b.id join p c on b.id < c.id where {_TURN} <> 0 and not exists (select 1 from p d where d.id not in (a.id, b.id, c.id) and sign({_TURN}) * ({_IN}) > 0)")(lambda s, d: delaunay(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 37 % 101).cast("double").alias("x"), F.col("s_acctbal").alias("y"))))
+register("ray_cast", "select n_nationkey as ray, arg_min(p_partkey, {'t': p_retailprice, 'i': p_partkey}) as tri from nation, part where n_nationkey / 10.0e0 / 10 + 1.0e0 / 10 <= 1 and p_retailprice > 1e-9 group by 1")(
     lambda s, d: ray_cast(
         table(s, d, "part").select(F.col("p_partkey").alias("tri"), *[F.lit(v).alias(n) for n, v in (("ax", 0.0), ("ay", 0.0))], F.col("p_retailprice").alias("az"), F.lit(10.0).alias("bx"), F.lit(0.0).alias("by"), F.col("p_retailprice").alias("bz"), F.lit(0.0).alias("cx"), F.lit(10.0).alias("cy"), F.col("p_retailprice").alias("cz")),
         table(s, d, "nation").select(F.col("n_nationkey").alias("ray"), (F.col("n_nationkey") / 10.0).alias("ox"), F.lit(1.0).alias("oy"), F.lit(0.0).alias("oz"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("dz")),
     )
 )
+_C = "(l_quantity * 3 - l_quantity) * (l_extendedprice / 7 - l_extendedprice) - (l_extendedprice / 3 - l_extendedprice) * (l_quantity * 7 - l_quantity)"
+_D = "(l_quantity * 3 - l_quantity) * (l_quantity * 7 - l_quantity) + (l_extendedprice / 3 - l_extendedprice) * (l_extendedprice / 7 - l_extendedprice)"
+register("geometry_kernels", f"select l_orderkey, l_linenumber, round({_C}, 2) as cross, round({_D}, 2) as dot, round(atan2({_C}, {_D}), 8) as angle from lineitem")(
+    lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(c, 8 if n == "angle" else 2).alias(n) for n, c in kernels(*[(F.col("l_quantity") * k, F.col("l_extendedprice") / k) for k in (1.0, 3.0, 7.0)]).items()])
+)

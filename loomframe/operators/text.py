@@ -23,8 +23,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def inverted_index(docs: DataFrame) -> DataFrame:
-    """(word, doc_id, weight): postings with the number of occurrences."""
-    return words(docs).groupBy("word", "doc_id").agg(F.count("*").alias("weight"))
+    """(word, doc_id, weight): postings with the number of occurrences, for documents of one row each.
+
+    A row's words are sorted and counted in the row, so no posting moves to be counted.
+    """
+    listed = F.sort_array(F.filter(F.split(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", " ")), " +"), lambda w: w != ""))
+    rows = docs.select("doc_id", listed.alias("w")).where("size(w) > 0")
+    rows = rows.select("doc_id", "w", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1))).alias("at"))
+    counted = F.transform("at", lambda a, k: F.struct(F.get("w", a).alias("word"), (F.coalesce(F.get("at", k + 1), F.size("w")) - a).cast("long").alias("weight")))
+    return rows.select("doc_id", F.explode(counted).alias("p")).select("p.word", "doc_id", "p.weight")
 
 
 def postings(index: DataFrame, word: str) -> DataFrame:
@@ -119,6 +126,11 @@ def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def letters(docs: DataFrame) -> DataFrame:
+    """(symbol, weight): the letters of all words."""
+    return words(docs).select(F.explode(F.filter(F.split("word", ""), lambda x: x != "")).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("weight"))
+
+
 def huffman(weights: DataFrame) -> DataFrame:
     """(symbol, length) of an optimal prefix code of rows (symbol, weight): an alphabet fits the driver."""
     rows = weights.orderBy("symbol").collect()
@@ -182,11 +194,15 @@ register("postings_or", f"select doc_id, cast(sum(weight) as bigint) as weight f
 register("postings_and_not", f"select doc_id, weight from {_A} where doc_id not in (select doc_id from {_B})")(lambda s, d: but_not(postings(i := inverted_index(_docs(s, d)), "the"), postings(i, "that")))
 register("postings_top_k", f"select doc_id, weight from {_A} order by weight desc, doc_id limit 10")(lambda s, d: top_k(postings(inverted_index(_docs(s, d)), "the"), 10))
 register("string_search", "select doc_id, unnest(list_filter(range(length(text)), lambda i: substr(text, i + 1, 6) = 'thathe')) as pos from documents where contains(text, 'thathe')")(lambda s, d: occurrences(_docs(s, d), "thathe").select("doc_id", F.col("pos").cast("long").alias("pos")))
-register("suffix_array")(lambda s, d: suffix_array(chars_of(_title(s, d))))
+_T = "(select string_agg(text, ' ' order by item_id) as t from benchmark)"
+_SUF = f"(select i as idx, row_number() over (order by substr(t, i + 1)) - 1 as rank, substr(t, i + 1) as s from {_T}, lateral (select unnest(range(length(t))) as i))"
+register("suffix_array", f"select idx, rank from {_SUF}")(lambda s, d: suffix_array(chars_of(_title(s, d))))
 register("longest_repeat")(lambda s, d: lcp(c := stored(chars_of(_title(s, d))), suffix_array(c)).orderBy(F.desc("lcp"), "rank").limit(1).select("lcp", F.least("idx", "before").alias("one"), F.greatest("idx", "before").alias("two")))
 register("bw_round_trip", "select unnest(range(length(t))) as idx, unnest(list_transform(string_split(t, ''), lambda c: ord(c))) as c from (select string_agg(text, ' ' order by item_id) as t from benchmark)")(lambda s, d: bw_decode(bw_encode(chars_of(_title(s, d)))))
 register("edit_distance")(lambda s, d: table(s, d, "benchmark").select("item_id", edit_distance(F.col("text"), F.reverse("text")).alias("distance")))
-register("huffman_lengths")(lambda s, d: huffman(word_counts(_docs(s, d)).select(F.substring("word", 1, 1).alias("symbol"), F.col("n").alias("weight")).groupBy("symbol").agg(F.sum("weight").alias("weight"))))
+_HUFF = f"select unnest(string_split(word, '')) as symbol from {_W}"
+register("huffman_lengths")(lambda s, d: huffman(letters(_docs(s, d))))
+register("letter_weights", f"select symbol, count(*) as weight from ({_HUFF}) group by symbol")(lambda s, d: letters(_docs(s, d)))
 register("wiki_documents", r"select id, trim(lower(regexp_replace(body, '[^A-Za-z]+', ' ', 'g'))) as body from (select 0 as id, 'First one' as body union all select 1, 'Second, 2!')")(
     lambda s, d: parse_marked(s.createDataFrame([("<doc id=1>\nFirst one<doc id=2>\nSecond, 2!",)], "text string"))
 )

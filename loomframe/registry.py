@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules whose import registers queries.
-MODULES = ("plans.tpch", "operators.sequence", "operators.delayed", "operators.loops", "operators.grouping", "operators.ordered", "operators.spatial", "operators.graph", "operators.analytics", "operators.text", "operators.numeric", "functions.scalar", "sources.generators", "sources.formats", "sources.binary", "plans.htap", "streaming.windows")
+MODULES = ("plans.tpch", "operators.sequence", "operators.delayed", "operators.loops", "operators.grouping", "operators.ordered", "operators.spatial", "operators.graph", "operators.analytics", "operators.text", "operators.numeric", "functions.scalar", "sources.generators", "sources.formats", "sources.binary", "plans.htap", "plans.reports", "streaming.windows")
 
 
 def queries() -> dict[str, Query]:

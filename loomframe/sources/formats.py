@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import register
-from ..tables import scratch
+from ..tables import scratch, stored, table
 
 EDGES = "src long, dst long, w double"
 
@@ -40,7 +40,7 @@ def numbered(spark: SparkSession, path: str, keep: Callable[[Column], Column] |
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     lines = lines.where(keep(F.col("line"))) if keep else lines
     lines = lines.withColumn("line", F.explode(F.split(F.trim("line"), r"\s+"))) if words else lines
-    lines = lines.withColumn("id", F.monotonically_increasing_id())
+    lines = stored(lines.withColumn("id", F.monotonically_increasing_id()))  # written once, so that counts and numbers are of one pass
     splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n")).orderBy("file", "block").collect()
     before, rows = 0, []
     for r in splits:
@@ -131,13 +131,13 @@ def read_map(spark: SparkSession, path: str) -> DataFrame:
     return numbered(spark, path, _written).select(F.trim("line").cast("long").alias("id"), F.col("idx").alias("new"))
 
 
-def _decoded(spark: SparkSession, path: str, decode: Callable[[bytes], pd.DataFrame], schema: str) -> DataFrame:
+def _decoded(raw: DataFrame, decode: Callable[[bytes], pd.DataFrame], schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
                 yield decode(content)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    return raw.select("content").mapInPandas(run, schema)
 
 
 def _frame(offsets: np.ndarray, dst: np.ndarray, w: np.ndarray | None) -> pd.DataFrame:
@@ -198,30 +198,35 @@ def decode_gr(raw: bytes) -> pd.DataFrame:
 
 
 def read_gr(spark: SparkSession, path: str) -> DataFrame:
-    return _decoded(spark, path, decode_gr, EDGES)
+    return _decoded(spark.read.format("binaryFile").load(path), decode_gr, EDGES)
 
 
-def read_road(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices (id, lat, lon), edges (src, dst, w)) of a road file: magic, n, then per vertex lat, lon, degree, neighbours, distances scaled to cm."""
+def road_of(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices (id, lat, lon), edges (src, dst, w)) of road files (content): magic, n, then per vertex lat, lon, degree, neighbours, distances scaled to cm."""
     from ..operators.analytics import EARTH_CM
 
-    def rows(raw: bytes):
-        _, n = struct.unpack_from("<2I", raw)
+    def rows(content: bytes):
+        _, n = struct.unpack_from("<2I", content)
         at = 8
         for i in range(n):
-            lat, lon, deg = struct.unpack_from("<2dI", raw, at)
-            nbr = np.frombuffer(raw, "<u4", deg, at + 20)
-            dist = np.frombuffer(raw, "<f8", deg, at + 20 + 4 * deg)
+            lat, lon, deg = struct.unpack_from("<2dI", content, at)
+            nbr = np.frombuffer(content, "<u4", deg, at + 20)
+            dist = np.frombuffer(content, "<f8", deg, at + 20 + 4 * deg)
             at += 20 + 12 * deg
             yield i, lat, lon, nbr, dist
 
-    def vertices(raw: bytes) -> pd.DataFrame:
-        return pd.DataFrame([(i, lat, lon) for i, lat, lon, _, _ in rows(raw)], columns=["id", "lat", "lon"])
+    def vertices(content: bytes) -> pd.DataFrame:
+        return pd.DataFrame([(i, lat, lon) for i, lat, lon, _, _ in rows(content)], columns=["id", "lat", "lon"])
+
+    def edges(content: bytes) -> pd.DataFrame:
+        return pd.DataFrame([(i, int(a), int(b * EARTH_CM)) for i, _, _, nbr, dist in rows(content) for a, b in zip(nbr, dist, strict=True)], columns=["src", "dst", "w"])
 
-    def edges(raw: bytes) -> pd.DataFrame:
-        return pd.DataFrame([(i, int(a), int(b * EARTH_CM)) for i, _, _, nbr, dist in rows(raw) for a, b in zip(nbr, dist, strict=True)], columns=["src", "dst", "w"])
+    return _decoded(raw, vertices, "id long, lat double, lon double"), _decoded(raw, edges, "src long, dst long, w long")
 
-    return _decoded(spark, path, vertices, "id long, lat double, lon double"), _decoded(spark, path, edges, "src long, dst long, w long")
+
+def read_road(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """As road_of, of the files at ``path``."""
+    return road_of(spark.read.format("binaryFile").load(path))
 
 
 def read_sequence(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
@@ -327,6 +332,76 @@ def encode_gr(e: pd.DataFrame, n: int, version: int = 1) -> bytes:
     return struct.pack("<4Q", version, 4 if weighted else 0, n, len(e)) + ends.tobytes() + dst + b"\0" * (-len(dst) % 8) + data
 
 
+def write_hyper_adjacency(members: DataFrame, nv: int, nh: int, path: str) -> None:
+    """AdjacencyHypergraph text of memberships (v, h) of vertices 0 .. nv - 1 and hyperedges 0 .. nh - 1: by vertex, then by hyperedge."""
+    from ..operators.graph import offsets
+
+    spark, m = members.sparkSession, members.count()
+    body = None
+    for s, (a, b, n) in enumerate((("v", "h", nv), ("h", "v", nh))):
+        side = members.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+        starts = offsets(side, spark.range(n)).select(F.lit(2 * s).alias("s"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.col("offset").cast("string").alias("v"))
+        targets = side.select(F.lit(2 * s + 1).alias("s"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("dst").cast("string").alias("v"))
+        part = starts.unionByName(targets)
+        body = part if body is None else body.unionByName(part)
+    write_lines(body, F.col("v"), ["s", "a", "b"], path, ["AdjacencyHypergraph", str(nv), str(m), str(nh), str(m)])
+
+
+def write_sequence(seq: DataFrame, path: str, name: str = "sequenceInt") -> None:
+    """A sequence file of (idx, x): a header line, then one value a line."""
+    write_lines(seq, F.col("x").cast("string"), ["idx"], path, [name])
+
+
+def write_points(points: DataFrame, path: str, dims: int = 2) -> None:
+    """A point file of (idx, x, y[, z])."""
+    write_lines(points, F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"[:dims]]), ["idx"], path, [f"pbbs_sequencePoint{dims}d"])
+
+
+def write_triangles(points: DataFrame, triangles: DataFrame, path: str) -> None:
+    """A triangle file of points (idx, x, y) and triangles (idx, a, b, c from 0)."""
+    body = points.select(F.lit(0).alias("s"), "idx", F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string")).alias("v"))
+    body = body.unionByName(triangles.select(F.lit(1).alias("s"), "idx", F.concat_ws(" ", *[(F.col(c) + 1).cast("string") for c in "abc"]).alias("v")))
+    write_lines(body, F.col("v"), ["s", "idx"], path, ["pbbs_triangles", str(points.count()), str(triangles.count())])
+
+
+def write_svmlight(pairs: DataFrame, path: str) -> None:
+    """Lines of label and feature:value pairs of (row, label, feature, value), in order of rows."""
+    lists = pairs.groupBy("row").agg(F.first("label").alias("label"), F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("f"))
+    write_lines(lists, F.concat_ws(" ", F.col("label").cast("string"), F.concat_ws(" ", F.transform("f", lambda x: F.concat(x["feature"].cast("string"), F.lit(":"), x["value"].cast("string"))))), ["row"], path)
+
+
+def write_konect(members: DataFrame, path: str) -> None:
+    """Bipartite lines from 1 of (v, h)."""
+    write_lines(members, F.concat_ws(" ", (F.col("v") + 1).cast("string"), (F.col("h") + 1).cast("string")), ["v", "h"], path, ["% bip unweighted"])
+
+
+def write_communities(members: DataFrame, path: str) -> None:
+    """A line of members for each group of (v, h), in order of h; groups without members are not written."""
+    lists = members.groupBy("h").agg(F.array_sort(F.collect_set("v")).alias("n"))
+    write_lines(lists, F.concat_ws(" ", F.col("n").cast("array<string>")), ["h"], path)
+
+
+def write_path(way: DataFrame, path: str) -> None:
+    """A way (step, id, dist): a line of its ends and length, then a vertex a line."""
+    ends = way.agg(F.min_by("id", "step").alias("a"), F.max_by("id", "step").alias("b"), F.max("dist").alias("d")).first()
+    write_lines(way, F.col("id").cast("string"), ["step"], path, [] if ends.a is None else [f"{ends.a} {ends.b} {ends.d}"])
+
+
+def encode_road(vertices: pd.DataFrame, edges: pd.DataFrame, magic: int = 0x12345678) -> bytes:
+    """The bytes of a road file of vertices (lat, lon) 0 .. n - 1 and edges (src, dst, w in cm)."""
+    from ..operators.analytics import EARTH_CM
+
+    out = [struct.pack("<2I", magic, len(vertices))]
+    by = {k: g for k, g in edges.groupby("src")}
+    for i, (lat, lon) in enumerate(zip(vertices["lat"], vertices["lon"], strict=True)):
+        own = by.get(i)
+        n = 0 if own is None else len(own)
+        out.append(struct.pack("<2dI", lat, lon, n))
+        if n:
+            out += [own["dst"].to_numpy().astype("<u4").tobytes(), ((own["w"].to_numpy() + 0.5) / EARTH_CM).astype("<f8").tobytes()]
+    return b"".join(out)
+
+
 def write_gr(e: DataFrame, path: str, n: int, version: int = 1) -> None:
     """A binary graph file on the driver's file system: one file is one object; use Parquet for graphs beyond its memory."""
     with open(path, "wb") as f:
@@ -359,3 +434,93 @@ trip("adjacency_list", lambda e, v, p: write_adjacency_lists(e, p), read_adjacen
 trip("matrix_market", lambda e, v, p: write_matrix_market(e, p, v.count()), read_matrix_market)
 trip("adjacency_graph", write_adjacency, read_adjacency)
 trip("node_list", lambda e, v, p: write_node_lists(e, p), read_node_list, False)
+
+
+def _members(s, d) -> DataFrame:
+    """(v, h): the parts of each order."""
+    return table(s, d, "lineitem").select(F.col("l_partkey").alias("v"), F.col("l_orderkey").alias("h")).distinct()
+
+
+def _through(write: Callable, read: Callable) -> Callable:
+    """What ``read`` makes of what ``write`` wrote of the tables of (spark, sf_dir)."""
+
+    def run(s, d):
+        path = scratch(s)
+        write(s, d, path)
+        return read(s, path)
+
+    return run
+
+
+def _orders(s, d) -> DataFrame:
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("idx"), F.floor("o_totalprice").cast("long").alias("x"))
+
+
+def _points(s, d) -> DataFrame:
+    return table(s, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), (F.col("p_partkey") * 0.5).alias("z"))
+
+
+def _triangle_rows(s, d, path: str) -> None:
+    p = _points(s, d)
+    write_triangles(p, p.select("idx", *[F.col("idx").alias(c) for c in "abc"]), path)
+
+
+def _feature_rows(s, d) -> DataFrame:
+    return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("feature")).agg(F.sum("l_quantity").alias("value"))
+
+
+def _svm(s, d, path: str) -> None:
+    from ..operators.sequence import dense
+
+    rows = _feature_rows(s, d)
+    names = dense(rows.select("o").distinct(), ["o"]).select("o", F.col("idx").alias("row"))
+    write_svmlight(rows.join(names, "o").select("row", (F.col("o") % 2).cast("double").alias("label"), "feature", "value"), path)
+
+
+def _way(s, d, path: str) -> None:
+    from ..operators.analytics import bfs
+    from ..operators.analytics import path as way
+    from ..operators.graph import order_graph
+
+    write_path(way(bfs(order_graph(s, d), 0), 77), path)
+
+
+_MEM = "(select distinct l_partkey as v, l_orderkey as h from lineitem)"
+register("round_trip_hypergraph", f"select v, h from {_MEM}")(_through(lambda s, d, p: write_hyper_adjacency(m := stored(_members(s, d)), 1 + m.agg(F.max("v")).first()[0], 1 + m.agg(F.max("h")).first()[0], p), read_hyper_adjacency))
+register("round_trip_konect", f"select v, h from {_MEM}")(_through(lambda s, d, p: write_konect(_members(s, d), p), read_konect))
+register("round_trip_communities", f"select v, dense_rank() over (order by h) - 1 as h from {_MEM}")(_through(lambda s, d, p: write_communities(_members(s, d), p), read_communities))
+register("clique_expansion", f"select distinct a.v as src, b.v as dst from {_MEM} a join {_MEM} b on a.h = b.h where a.v <> b.v")(_through(lambda s, d, p: write_konect(_members(s, d), p), lambda s, p: clique_expansion(read_konect(s, p))))
+register("community_cliques", f"select distinct a.v as src, b.v as dst from {_MEM} a join {_MEM} b on a.h = b.h where a.v <> b.v")(_through(lambda s, d, p: write_communities(_members(s, d), p), lambda s, p: clique_expansion(read_communities(s, p))))
+register("round_trip_sequence", "select o_orderkey as idx, cast(floor(o_totalprice) as bigint) as x from orders")(_through(lambda s, d, p: write_sequence(_orders(s, d), p), lambda s, p: read_sequence(s, p, "long")))
+register("round_trip_points", "select p_partkey as idx, cast(p_size as double) as x, p_retailprice as y, p_partkey * 0.5e0 as z from part")(_through(lambda s, d, p: write_points(_points(s, d), p, 3), read_points))
+register("round_trip_triangles", "select p_partkey as idx, p_partkey as a, p_partkey as b, p_partkey as c from part")(_through(_triangle_rows, lambda s, p: read_triangles(s, p)[1]))
+register("round_trip_svmlight", "select dense_rank() over (order by o) - 1 as row, cast(o % 2 as double) as label, feature, value from (select l_orderkey as o, l_partkey as feature, sum(l_quantity) as value from lineitem group by 1, 2)")(_through(_svm, read_svmlight))
+
+
+def _metis(s, d, path: str) -> None:
+    from ..operators.graph import order_graph, undirected, vertices_of
+
+    write_metis(undirected(order_graph(s, d)), path, vertices_of(s, d).count())
+
+
+def _register_graph_files() -> None:
+    from ..operators.graph import UND
+
+    register("round_trip_metis", f"select src, dst from {UND}")(_through(_metis, lambda s, p: read_metis(s, p).select("src", "dst")))
+
+
+_register_graph_files()
+trip("csv_pair", lambda e, v, p: write_csv_pair(v, e.select("src", "dst", "w"), p), lambda s, p: s.read.csv(f"{p}/edges", schema=EDGES, header=True))
+
+
+def _road_edges(s, d) -> DataFrame:
+    """A road file of the customers and their order edges, encoded, then decoded by the reader's decoder."""
+    from ..operators.graph import order_graph
+
+    v = table(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 0.001).alias("lat"), (F.col("c_custkey") * 0.002).alias("lon")).orderBy("id").toPandas()
+    path = scratch(s)
+    s.createDataFrame([(bytearray(encode_road(v, order_graph(s, d).toPandas())),)], "content binary").write.parquet(path)
+    return road_of(s.read.parquet(path))[1]
+
+
+register("round_trip_road", "select o_custkey as src, (o_orderkey * 31 + 7) % (select count(*) from customer) as dst, 1 + o_orderkey % 10 as w from orders")(_road_edges)

@@ -121,6 +121,15 @@ register("random_sequences", f"select id as idx, cast(floor({_U1} * 1000) as big
 register("belief_tree", "select i as id, 0.1 as p0 from range(15) t(i)")(_belief)
 
 
+def _belief_by_residual(s, d):
+    from ..operators.analytics import belief_propagation
+
+    return belief_propagation(*field(s, "tree", 15), by_residual=True).select("id", F.round("p0", 4).alias("p0"))
+
+
+register("belief_by_residual", "select i as id, 0.1 as p0 from range(15) t(i)")(_belief_by_residual)
+
+
 def _ising(s, d):
     from ..operators.analytics import belief_propagation
 
