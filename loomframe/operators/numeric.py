@@ -223,29 +223,53 @@ def ray_cast(triangles: DataFrame, rays: DataFrame) -> DataFrame:
     return triangles.mapInPandas(run, "ray long, t double, tri long").groupBy("ray").agg(F.min_by("tri", F.struct("t", "tri")).alias("tri"))
 
 
-def forces(bodies: DataFrame, cell: float | None = None) -> DataFrame:
-    """(id, fx, fy, fz) on bodies (id, x, y, z, m), G = 1: each against the mass centres of all far grid cells and the bodies of near ones.
+def _pull(pairs: DataFrame) -> DataFrame:
+    """(id, fx, fy, fz) of bodies (id, x, y, z, m) each with one other mass (x2, y2, z2, m2)."""
+    r2 = sum(((F.col(a + "2") - F.col(a)) * (F.col(a + "2") - F.col(a)) for a in "xyz"), F.lit(0.0))
+    k = F.when(r2 > 0, F.col("m") * F.col("m2") / (r2 * F.sqrt(r2))).otherwise(0.0)
+    return pairs.select("id", *[(k * (F.col(a + "2") - F.col(a))).alias("f" + a) for a in "xyz"])
 
-    Without ``cell`` there is one cell, and the forces are exact.
+
+def _offsets(lo: int, hi: int) -> Column:
+    """Rows (dx, dy, dz) of a cube of offsets."""
+    n = hi - lo + 1
+    return F.explode(F.expr(f"transform(sequence(0, {n**3 - 1}), i -> struct(cast(i % {n} + {lo} as long) as x, cast(i div {n} % {n} + {lo} as long) as y, cast(i div {n * n} + {lo} as long) as z))")).alias("s")
+
+
+def forces(bodies: DataFrame, cell: float | None = None, together: int = 1024) -> DataFrame:
+    """(id, fx, fy, fz) on bodies (id, x, y, z, m), G = 1.
+
+    Without ``cell`` the forces are exact: all pairs, in blocks of about ``together`` bodies.
+    With it they come from the bodies of the own and the neighbouring grid cells of that width and, for all others,
+    from mass centres of cells that get twice as wide from level to level: at each
+    level those that are no neighbours while their parents are, so a body meets at most 189 a level.
     """
-    c = cell or 1e18
-    at = [F.floor(F.col(a) / c).alias("c" + a) for a in "xyz"]
-    b = stored(bodies.select("*", *at))
-    cells = b.groupBy("cx", "cy", "cz").agg(F.sum("m").alias("m2"), *[(F.sum(F.col(a) * F.col("m")) / F.sum("m")).alias(a + "2") for a in "xyz"])
-    cells = cells.select(*[F.col("c" + a).alias("d" + a) for a in "xyz"], "m2", "x2", "y2", "z2")
-    near = " and ".join(f"abs(c{a} - d{a}) <= 1" for a in "xyz")
-    far = b.join(F.broadcast(cells) if cell is None else cells, F.expr(f"not ({near})"))  # cells, not bodies: their number is set by `cell`
-    step = F.explode(F.expr("transform(sequence(0, 26), i -> array(i % 3 - 1, i div 3 % 3 - 1, i div 9 - 1))")).alias("s")
-    others = b.select(*[F.col("c" + a).alias("d" + a) for a in "xyz"], F.col("id").alias("id2"), F.col("m").alias("m2"), *[F.col(a).alias(a + "2") for a in "xyz"])
-    close = b.select("*", step).select("*", *[(F.col("c" + a) + F.get("s", F.lit(i))).alias("d" + a) for i, a in enumerate("xyz")]).join(others, ["dx", "dy", "dz"]).where("id <> id2")
-
-    def pull(df):
-        r2 = sum(((F.col(a + "2") - F.col(a)) * (F.col(a + "2") - F.col(a)) for a in "xyz"), F.lit(0.0))
-        k = F.when(r2 > 0, F.col("m") * F.col("m2") / (r2 * F.sqrt(r2))).otherwise(0.0)
-        return df.select("id", *[(k * (F.col(a + "2") - F.col(a))).alias("f" + a) for a in "xyz"])
-
-    both = pull(close).unionByName(pull(far)) if cell else pull(close)
-    return bodies.select("id").join(both.groupBy("id").agg(*[F.sum("f" + a).alias("f" + a) for a in "xyz"]), "id", "left").select("id", *[F.coalesce("f" + a, F.lit(0.0)).alias("f" + a) for a in "xyz"])
+    other = lambda b: [F.col("m").alias("m2"), *[F.col(a).alias(a + "2") for a in "xyz"]]
+    if cell is None:
+        blocks = max(1, -(-bodies.count() // together))
+        b = bodies.withColumn("b1", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+        left, right = b.withColumn("b2", every), b.select(F.col("b1").alias("b2"), F.col("id").alias("id2"), *other(b)).withColumn("b1", every)
+        pulls = _pull(left.join(right, ["b1", "b2"]).where("id <> id2"))
+    else:
+        b = stored(bodies.select("*", *[F.floor(F.col(a) / cell).alias("c" + a) for a in "xyz"]))
+        step = _offsets(-1, 1)
+        near = b.select("*", step).select("*", *[(F.col("c" + a) + F.col("s." + a)).alias("d" + a) for a in "xyz"])
+        others = b.select(*[F.col("c" + a).alias("d" + a) for a in "xyz"], F.col("id").alias("id2"), *other(b))
+        pulls = _pull(near.join(others, ["dx", "dy", "dz"]).where("id <> id2"))
+        ends = b.agg(*[f("c" + a).alias(n + a) for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        level = 0
+        while ends["lox"] is not None:
+            at = b.select("*", *[F.shiftright("c" + a, level).alias("l" + a) for a in "xyz"])
+            cells = stored(at.groupBy("lx", "ly", "lz").agg(F.sum("m").alias("m2"), *[(F.sum(F.col(a) * F.col("m")) / F.sum("m")).alias(a + "2") for a in "xyz"]))
+            # the children of the parent's neighbours, but for the own neighbours
+            asked = cells.select("lx", "ly", "lz", _offsets(-2, 3)).select("lx", "ly", "lz", *[(F.shiftleft(F.shiftright("l" + a, 1), 1) + F.col("s." + a)).alias("d" + a) for a in "xyz"])
+            asked = asked.where("greatest(abs(dx - lx), abs(dy - ly), abs(dz - lz)) > 1").join(cells.toDF("dx", "dy", "dz", "m2", "x2", "y2", "z2"), ["dx", "dy", "dz"])
+            pulls = pulls.unionByName(_pull(at.join(asked.drop("dx", "dy", "dz"), ["lx", "ly", "lz"])))
+            if all((ends["hi" + a] >> level + 1) - (ends["lo" + a] >> level + 1) <= 1 for a in "xyz"):
+                break
+            level += 1
+    return bodies.select("id").join(pulls.groupBy("id").agg(*[F.sum("f" + a).alias("f" + a) for a in "xyz"]), "id", "left").select("id", *[F.coalesce("f" + a, F.lit(0.0)).alias("f" + a) for a in "xyz"])
 
 
 def in_circle(ax, ay, bx, by, cx, cy, dx, dy):

@@ -184,13 +184,14 @@ def run_beside(store: Store, updates: list, query) -> list[tuple[int, object]]:
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "|") -> DataFrame:
-    """Rows of delimited text, each line closed by a separator or not; a line with another number of fields is an error."""
+    """Rows of delimited text, each line closed by a separator or not; an empty number is null; a line with another number of fields is an error."""
     from pyspark.sql.types import StructType
 
     fields = StructType.fromDDL(schema)
     parts = spark.read.text(path).where("value <> ''").select("value", F.split(F.regexp_replace("value", f"[{sep}]$", ""), f"[{sep}]", -1).alias("f"))
     checked = F.when(F.size("f") == len(fields), F.col("f")).otherwise(F.raise_error(F.concat(F.lit(f"not {len(fields)} fields: "), F.col("value"))))
-    return parts.select(checked.alias("f")).select(*[F.get("f", F.lit(i)).cast(x.dataType).alias(x.name) for i, x in enumerate(fields)])
+    value = lambda i, x: F.get("f", F.lit(i)) if x.dataType.simpleString() == "string" else F.nullif(F.get("f", F.lit(i)), F.lit(""))
+    return parts.select(checked.alias("f")).select(*[value(i, x).cast(x.dataType).alias(x.name) for i, x in enumerate(fields)])
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "|") -> None:

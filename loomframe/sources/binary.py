@@ -6,8 +6,6 @@ in name order are the file. A source computes from the parts' lengths which
 place each holds and decodes them side by side, a part being one task's work;
 a file in one piece is one part. Parts appear under their names only when all
 tasks are done, so retried and lost tasks leave nothing behind.
-
-Numbers pass as doubles while they are sorted, so offsets are exact up to 2**53.
 """
 
 from __future__ import annotations
@@ -87,25 +85,30 @@ def _uri(path: str) -> str:
     return path if "://" in path else "file://" + path.removeprefix("file:")
 
 
+def _carried(real: bool) -> tuple:
+    """The number of a row as x or, of a section of fractions, as r: whole numbers keep all of their bits."""
+    return (F.lit(None).cast("long") if real else F.col("x").cast("long")).alias("x"), (F.col("x").cast("double") if real else F.lit(None).cast("double")).alias("r")
+
+
 def write_sections(sections: list[tuple[DataFrame, str]], path: str) -> None:
     """Writes sections in order, each rows (a, b, x) or (a, b, c, x) sorted by the columns before x, with x in a NumPy number format."""
     rows = None
     for i, (df, _) in enumerate(sections):
-        part = df.select(F.lit(i).alias("s"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), (F.col("c") if "c" in df.columns else F.lit(0)).cast("long").alias("c"), F.col("x").cast("double").alias("x"))
+        part = df.select(F.lit(i).alias("s"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), (F.col("c") if "c" in df.columns else F.lit(0)).cast("long").alias("c"), *_carried(np.dtype(sections[i][1]).kind == "f"))
         rows = part if rows is None else rows.unionByName(part)
     kinds = [k for _, k in sections]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                s, x = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                s, whole, real = batch.column(1).to_numpy(), batch.column(2).fill_null(0).to_numpy(zero_copy_only=False), batch.column(3).fill_null(0).to_numpy(zero_copy_only=False)
                 cuts = [0, *(np.flatnonzero(np.diff(s)) + 1).tolist(), len(s)]
-                raw = b"".join(x[i:j].astype(kinds[s[i]]).tobytes() for i, j in zip(cuts, cuts[1:], strict=False))
+                raw = b"".join((real if np.dtype(kinds[s[i]]).kind == "f" else whole)[i:j].astype(kinds[s[i]]).tobytes() for i, j in zip(cuts, cuts[1:], strict=False))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(0, 1), pa.array([raw], pa.binary())], names=["part", "value"])
 
     spark = rows.sparkSession
     spark.dataSource.register(Parts)
-    encoded = rows.orderBy("s", "a", "b", "c").select(F.spark_partition_id().alias("part"), "s", "x").mapInArrow(run, "part int, value binary")
+    encoded = rows.orderBy("s", "a", "b", "c").select(F.spark_partition_id().alias("part"), "s", "x", "r").mapInArrow(run, "part int, value binary")
     encoded.write.format(Parts.name()).mode("append").save(_uri(path))
 
 
@@ -145,7 +148,7 @@ def _head(spark: SparkSession, path: str, at: int, count: int, kind: str) -> lis
 
 
 def _values(spark: SparkSession, values: list[int]) -> DataFrame:
-    return spark.createDataFrame([(i, 0, float(v)) for i, v in enumerate(values)], "a long, b long, x double")
+    return spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "a long, b long, x long")
 
 
 def _column(e: DataFrame, name: str) -> DataFrame:
