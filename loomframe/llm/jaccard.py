@@ -18,7 +18,9 @@ so the likeliest original of a group of copies. Components of the verified
 links are found, and only what then still lies in different components under
 one prefix shingle is compared in a second turn: those outside the shingle's
 largest component against all. Places count: sets of nx and ny shingles that
-must share s of them share one among the first nx - s + 1 and ny - s + 1. After
+must share s of them share one among the first nx - s + 1 and ny - s + 1. A shingle
+that many nodes in several components share was taken for a rare one, as the table's buckets fill up with the
+corpus; the sets under such shingles are joined again by an order of exact counts among them. After
 this turn every pair that may link is either compared or already connected, so
 no component is missed. Links inside components that others already connect take
 a third turn, which compares all nodes under a prefix shingle, hot ones in salted
@@ -317,9 +319,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens = tokens.join(comp, "node", "left").select("token", "node", "place", "n", F.coalesce("component", "node").alias("component"))
     tokens = materialise(tokens, "tokens")
     sizes = tokens.groupBy("token", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("c").alias("nodes")).where("parts > 1 and nodes > 2")
-    apart = tokens.join(main, "token")
-    more = _met(apart.where("component <> main"), apart, percent).where("cx <> cy")
+    apart = tokens.join(materialise(_in_parts(sizes), "parts"), "token")
+    cold, hot = apart.where(F.col("nodes") <= _HOT), apart.where(F.col("nodes") > _HOT)
+    more = _met(cold.where("component <> main"), cold, percent).where("cx <> cy")
+    if not hot.isEmpty():
+        again = materialise(_recounted(hot.select("node", "n", "component").distinct(), texts, k, percent), "recounted")
+        again = again.join(_in_parts(again.groupBy("token", "component").agg(F.count("*").alias("c"))), "token")
+        more = more.unionByName(_met(again.where("component <> main"), again, percent).where("cx <> cy"))
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = materialise(more, "candidates")
     late = _verified(more, sketch, texts, k, percent)
@@ -341,8 +347,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return Join(documents, links, members, lambda: _others(tokens, pairs.unionByName(more), sketch, texts, k, percent))
 
 
-#: Nodes under one shingle that a task compares with the others of the shingle.
-_TOGETHER = 256
+#: Nodes under one shingle that a task compares with the others of the shingle, and that share it before shingles are counted exactly.
+_TOGETHER, _HOT = 256, 1024
+
+
+def _in_parts(sizes: DataFrame) -> DataFrame:
+    """(token, main, nodes) of the shingles whose nodes lie in several components, of (token, component, c nodes); main is the largest."""
+    whole = sizes.groupBy("token").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("c").alias("nodes"))
+    return whole.where("parts > 1 and nodes > 2").select("token", "main", "nodes")
+
+
+def _recounted(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(token, node, place, n, component): prefixes of the sets of (node, n, component) under the order of how many of these sets hold a shingle, counted exactly.
+
+    Two of the sets that link share a shingle of these prefixes, whatever the
+    order is. So a shingle that the table of fixed size let pass for a rare one moves
+    back, and only sets that are mostly made of frequent shingles still meet under such.
+    """
+    own = nodes.withColumnRenamed("n", "size")
+    sets = materialise(_sets_of(texts, nodes.select("node").distinct(), k).join(own, "node").where(F.size("tokens") == F.col("size")), "sets")
+    rows = sets.select("node", F.col("size").alias("n"), "component", F.explode("tokens").alias("token"))
+    counted = rows.join(rows.groupBy("token").agg(F.count("*").alias("c")), "token")
+    first = F.expr(f"int(n - ({percent} * n + 99) div 100 + 1)")
+    ordered = counted.groupBy("node", "n", "component").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("all")).withColumn("prefix", F.slice("all", F.lit(1), first))
+    return ordered.select(F.posexplode("prefix").alias("place", "t"), "node", "n", "component").select("t.token", "node", "place", "n", "component")
 
 
 def _met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:

@@ -96,9 +96,10 @@ def brute_components(rows):
     return {d: (len(s), find(d)) for d, s in sets}
 
 
-@pytest.mark.parametrize(("seed", "together"), [(4, 256), (5, 256), (6, 1), (7, 5)])
-def test_jaccard_components(spark, monkeypatch, seed, together):
+@pytest.mark.parametrize(("seed", "together", "hot"), [(4, 256, 1024), (5, 1, 1024), (6, 5, 2), (7, 256, 0)])
+def test_jaccard_components(spark, monkeypatch, seed, together, hot):
     monkeypatch.setattr(jaccard, "_TOGETHER", together)
+    monkeypatch.setattr(jaccard, "_HOT", hot)
     rows = corpus(seed=seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(frame(spark, rows)).documents.collect()}
     assert got == brute_components(rows)
@@ -130,6 +131,26 @@ def test_jaccard_links_are_all_links(spark, monkeypatch, together):
     assert {r.doc_id: r.n_links for r in twice.link_counts.collect()}[1] == 2 and {r.doc_id: r.n_links for r in twice.link_counts.where("doc_id > 3").collect()} == {4: 0, 5: 0}
 
 
+def test_jaccard_shingles_taken_for_rare_ones(spark, monkeypatch):
+    """A passage in many unlinked documents, with an order that knows no frequency: the exact counts keep the candidates few."""
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(40)
+    near = [words(60) for _ in range(20)]
+    rows = [(i, " ".join(words(30) + passage + words(30)), *[None] * 6) for i in range(600)] + [(1000 + 2 * i + j, " ".join(t[: 60 - j] + passage), *[None] * 6) for i, t in enumerate(near) for j in range(2)]
+    monkeypatch.setattr(jaccard, "frequency_classes", lambda blocks: np.zeros(1 << jaccard.FREQ_BITS, np.uint8))
+    sizes, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: sizes.append(pairs.count()) or verified(pairs, *rest))
+    met = {}
+    for hot in (1024, 64):
+        monkeypatch.setattr(jaccard, "_HOT", hot)
+        sizes.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(frame(spark, rows)).documents.collect()}
+        assert got == brute_components(rows)
+        met[hot] = sizes[1]
+    assert met[64] < 640 < met[1024]  # the second turn's candidates: fewer than documents, against all pairs under the passage
+
+
 def test_jaccard_odd_rows(spark):
     assert jaccard.jaccard_join(empty(spark)).documents.count() == 0
     text = " ".join(WORDS)
@@ -203,6 +224,26 @@ def test_best_fit_is_tightest(lengths):
     assert sorted(50 - f for f in fill) == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from([chr(c) for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x250))]), max_size=200))
+def test_both_encoders_give_the_same_ids(text):
+    known = tokenizer()
+    both = packing.encoder(known["tokenizer_path"], known["ranks_path"], known["pattern"])
+    assert both(text) == both.exact.encode(text, add_special_tokens=False).ids
+
+
+def test_both_encoders_on_documents():
+    import pyarrow.parquet as pq
+
+    known = tokenizer()
+    both = packing.encoder(known["tokenizer_path"], known["ranks_path"], known["pattern"])
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    texts += ["<|endoftext|> a", "a<|b", "x" * 50_000, " " * 3000 + "a", "漢字 é", "'ll I'LL 'S", "a\u00ad b", "\r\n\r\n \t x"]
+    assert all(both(t) == both.exact.encode(t, add_special_tokens=False).ids for t in texts)
+    fast = sum(both.fast is not None and bool(packing._PLAIN.fullmatch(t)) for t in texts)
+    assert fast > 0.9 * len(texts)
+
+
 # op 7
 
 
