@@ -323,7 +323,12 @@ _seq("merge", f"select row_number() over (order by x, s, i) - 1 as idx, x from (
 _seq("append", f"select idx, x from {S} union all select idx + {_N}, x from {S}")(lambda s: append(s, s))
 _seq("zip_with", f"select idx, x + idx as x from {S}")(lambda s: zip_with(s, s.select("idx", F.col("idx").alias("x")), lambda a, b: a + b))
 _seq("mismatch", f"select min(idx) as idx from {S} where idx % 100 = 99")(lambda s: mismatch(s, s.select("idx", F.when(F.col("idx") % 100 == 99, -1).otherwise(F.col("x")).alias("x"))))
-_seq("seq_equal", "select true as equal")(lambda s: equal(s, s))
+_D = f"(select a.idx, a.x, case when a.idx % 100 = 99 then -1 else a.x end as y from {S} a)"
+_seq("seq_equal", f"select 'copy' as other, count(*) filter (x <> x) = 0 as equal from {_D} union all select 'changed', count(*) filter (x <> y) = 0 from {_D} union all select 'shorter', count(*) = count(*) filter (idx > 0) from {_D}")(
+    lambda s: equal(s, s).withColumn("other", F.lit("copy"))
+    .unionByName(equal(s, s.select("idx", F.when(F.col("idx") % 100 == 99, -1).otherwise(F.col("x")).alias("x"))).withColumn("other", F.lit("changed")))
+    .unionByName(equal(s, s.where("idx > 0")).withColumn("other", F.lit("shorter")))
+)
 _seq("lexicographical_compare", f"select coalesce((select x < -1 from {S} where idx = 99), false) as less")(lambda s: lexicographical_less(s, s.select("idx", F.when(F.col("idx") % 100 == 99, -1).otherwise(F.col("x")).alias("x"))))
 _M = f"(select idx, x % 3 as x from {S})"
 _M3 = f"(select idx, x, lead(x) over (order by idx) as y, lead(x, 2) over (order by idx) as z from {_M})"
