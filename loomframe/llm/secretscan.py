@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, split_by_ids
 
 _BLANK = "cast(array() as array<struct<start:long,end:long>>)"
 
@@ -70,15 +70,11 @@ def spans(text: Column, rule: Rule) -> tuple[Column, Column, Column, Column]:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, kind, version, start, end) of rows (blob, text, todo): spans in code points, end exclusive.
-
-    todo holds the (kind, version) pairs that a row is scanned for; no other rule is tried on it.
-    """
+    """(blob, kind, version, start, end) of rows (blob, text): spans in code points, end exclusive."""
     parts = []
-    texts = blobs.select("blob", F.coalesce("text", F.lit("")).alias("text"), "todo")
+    texts = blobs.select("blob", F.coalesce("text", F.lit("")).alias("text"))
     # one pass: the rules that match, then for those the pieces, then the running sums
-    asked = lambda r: F.array_contains("todo", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")))
-    marked = texts.select("blob", "text", *[F.when(asked(r), spans(F.col("text"), r)[3]).otherwise(F.lit(False)).alias(f"m{i}") for i, r in enumerate(rules)])
+    marked = texts.select("blob", "text", *[spans(F.col("text"), r)[3].alias(f"m{i}") for i, r in enumerate(rules)])
     marked = marked.where(" or ".join(f"m{i}" for i in range(len(rules))))
     for i, r in enumerate(rules):
         between, whole, group, _ = spans(F.col("text"), r)
@@ -114,8 +110,8 @@ def empty_ledger(spark) -> Ledger:
 def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Ledger]:
     """Findings (path, blob, kind, version, start, end) of all paths under ``rules``, and the ledger after the scan.
 
-    The first row of a blob stands for it, so each unseen text is read once, and tried only with the rules that the
-    ledger lacks for it: after a new version of one rule, no other rule is tried on a known blob.
+    The first row of a blob stands for it, so each unseen text is scanned once, and only with the rules that the
+    ledger lacks for it: after a new version of one rule, no other rule is tried on a known blob. No text moves.
     """
     spark = docs.sparkSession
     ledger = ledger or empty_ledger(spark)
@@ -127,11 +123,18 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...]
     known = ledger.scanned.join(F.broadcast(wanted), ["kind", "version"]).groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("known"))  # as many as there are rules
     all_rules = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     todo = holders.join(known, "blob", "left").select("path", "blob", F.when(F.col("known").isNull(), all_rules).otherwise(F.array_except(all_rules, "known")).alias("todo")).where(F.size("todo") > 0)
-    todo = materialise(todo, "unseen")
-    # the holder's text; a null or repeated path finds its blob by the hash
-    full = texts.join(todo.select(F.col("path").alias("p"), F.col("blob").alias("b"), "todo"), F.col("path").eqNullSafe(F.col("p")), "inner")
-    full = full.where(blob_of(F.col("text")) == F.col("b")).select("b", "text", "todo").withColumnRenamed("b", "blob")
-    fresh = materialise(scan_blobs(full, rules).distinct(), "findings")
+    # blobs that lack the same rules are scanned together, by those alone; there are as many such sets as the rules had versions
+    lacks = F.array_join(F.transform("todo", lambda t: F.concat_ws(":", t["kind"], t["version"])), ",")
+    todo = materialise(todo.withColumn("lacks", lacks), "unseen")
+    fresh = None
+    for (names,) in sorted(todo.select("lacks").distinct().collect()):
+        own = todo.where(F.col("lacks") == names)
+        missing = tuple(r for r in rules if f"{r.kind}:{r.version}" in names.split(","))
+        # the holders' rows, and few others; what they hold besides the blobs is left out of the findings
+        _, asked = split_by_ids(texts.withColumn("place", F.xxhash64("path")), own.select(F.xxhash64("path")), "place")
+        part = scan_blobs(asked.select(blob_of(F.col("text")).alias("blob"), "text"), missing).join(own.select("blob"), "blob", "left_semi")
+        fresh = part if fresh is None else fresh.unionByName(part)
+    fresh = materialise(fresh.distinct() if fresh is not None else empty_ledger(spark).findings, "findings")
     after = Ledger(ledger.scanned.unionByName(todo.select("blob", F.explode("todo").alias("t")).select("blob", "t.kind", "t.version")), ledger.findings.unionByName(fresh))
     found = after.findings.join(F.broadcast(wanted), ["kind", "version"])
     return held.join(found, "blob").select("path", "blob", "kind", "version", "start", "end"), after

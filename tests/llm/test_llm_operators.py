@@ -313,18 +313,21 @@ def brute_spans(t):
 
 def test_secret_scans_try_missing_rules_only(spark, monkeypatch):
     tried, scan_blobs = [], secretscan.scan_blobs
-    monkeypatch.setattr(secretscan, "scan_blobs", lambda blobs, rules: tried.append(Counter((r.blob, k) for r in blobs.collect() for k in r.todo)) or scan_blobs(blobs, rules))
+    monkeypatch.setattr(secretscan, "scan_blobs", lambda blobs, rules: tried.append(Counter((r.blob, r_.kind, r_.version) for r in blobs.collect() for r_ in rules)) or scan_blobs(blobs, rules))
     df = frame(spark, [(1, "token = abcdef123 " + "ab12" * 8, *[None] * 6), (2, None, *[None] * 6), (None, "token = abcdef123 " + "ab12" * 8, *[None] * 6), (2, "secret: hunter22", *[None] * 6)])
     found, ledger = secretscan.scan(df)
-    assert set(tried[0].values()) == {1} and len(tried[0]) == 3 * len(secretscan.RULES)
+    assert len(tried) == 1 and len(tried[0]) == 3 * len(secretscan.RULES)
     # the ledger decides: a known pair is not tried again, even under another pattern; the new version of one rule is all that is tried
     other = tuple(secretscan.Rule(r.kind, 2 if r.kind == "assign" else r.version, r.pattern if r.kind == "assign" else "[a-z]+", r.group, r.least, r.hints) for r in secretscan.RULES)
     again, later = secretscan.scan(df, ledger, other)
-    assert {k for _, k in tried[1]} == {("assign", 2)} and len(tried[1]) == 3
+    assert len(tried) == 2 and {k[1:] for k in tried[1]} == {("assign", 2)} and len(tried[1]) == 3
     rows = lambda d, kind: Counter((r.path, r.start, r.end) for r in d.collect() if r.kind == kind)
     assert rows(again, "hex") == rows(found, "hex") and rows(again, "assign") == rows(found, "assign") and sum(rows(found, "assign").values()) == 3
     secretscan.scan(df, later, other)
-    assert not tried[2]
+    assert len(tried) == 2
+    # new blobs take all rules, known ones none
+    secretscan.scan(df.unionByName(frame(spark, [(9, "one more", *[None] * 6)])), later, other)
+    assert len(tried) == 3 and {k[0] for k in tried[2]} == {hashlib.sha256(b"one more").hexdigest()} and len(tried[2]) == len(other)
 
 
 def test_secret_spans_and_ledger(spark):
