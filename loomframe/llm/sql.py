@@ -103,7 +103,7 @@ rep as (select r, count(distinct i + o) as n from k, range(5) t(o) where c >= 2
 l as (select r, host, text, unnest(string_split(text, chr(10))) as line from d),
 ln as (select *, regexp_extract_all({_fold("line")}, '{_WORD}') as ws from l),
 dup as (select r, count(*) - count(distinct line) as n from ln where len(ws) > 0 group by r),
-sl as (select r, host, text, array_to_string(ws, ' ') as key, len(ws) as n from ln where len(ws) between 1 and 50),
+sl as (select r, host, text, array_to_string(ws, ' ') as key, len(ws) as n from ln where len(ws) >= 1),
 lim as (select host, greatest(20, 0.01 * count(distinct text)) as most from d group by host),
 often as (select sl.host, key from sl join lim on lim.host = sl.host group by sl.host, key, most having count(distinct text) > most),
 gone as (select r, sum(n) as n from sl join often using (host, key) group by r),
