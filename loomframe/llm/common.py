@@ -98,6 +98,10 @@ def code_points(c: Column) -> Column:
     return F.char_length(c).cast("long")
 
 
+#: Edges that one file, and one task of the last stage of a round, has on average at least.
+EDGES_A_FILE = 50_000
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``links``: rows (node, component), component the smallest node in reach.
 
@@ -107,7 +111,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    before, files = None, max(1, -(-edges.count() // EDGES_A_FILE))
     for _ in range(max_rounds):
         # large star: every larger neighbour is hung on the smallest node next to u
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -116,7 +120,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # small star: smaller neighbours and u itself are hung on the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        after = materialise(small, "edges")
+        after = materialise(small.coalesce(files), "edges")  # a round has at most twice as many edges as there were
         forget(edges)
         edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

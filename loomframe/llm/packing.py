@@ -19,6 +19,7 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.exact, self.fast = Tokenizer.from_file(path), None
+        self.read, self.fast = lambda: Tokenizer.from_file(path), None
         if ranks:
             import tiktoken
 
@@ -51,6 +52,11 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def exact(self):
+        """Read when a text asks for it, since two vocabularies take twice the memory."""
+        return self.read()
+
     def __call__(self, text: str) -> list[int]:
         if self.fast is not None and _PLAIN.fullmatch(text) and not _SPECIAL.search(text):
             return self.fast.encode_ordinary(text)
