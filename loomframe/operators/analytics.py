@@ -344,17 +344,18 @@ def low_diameter(e: DataFrame, vertices: DataFrame, beta: float = 0.2, seed: int
     u = (F.pmod(hashed(F.col("id"), seed=seed), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
     delay = stored(vertices.select("id", (-F.log(u) / beta).alias("x")))
     top = delay.agg(F.max("x")).first()[0]
-    start = delay.select("id", F.floor(top - F.col("x")).alias("at"))
-    start, done, r = stored(start), None, 0
-    while True:
-        own = start.where(F.col("at") <= r).select("id", F.col("id").alias("centre"))
-        if done is not None:
-            reach = both.join(done.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("centre").alias("centre"))
-            own = reach.unionByName(own.join(reach.select("id"), "id", "left_anti")).join(done.select("id"), "id", "left_anti")
-        done = stored(own if done is None else done.unionByName(own))
-        r += 1
-        if r > top and done.count() == start.count():
-            return done
+    if top is None:
+        return vertices.select("id", F.col("id").alias("centre"))
+    start = stored(delay.select("id", F.floor(top - F.col("x")).alias("at")))
+    # neighbours of earlier rounds' vertices are in already, so a round asks those of the last one
+    front = start.where("at = 0").select("id", F.col("id").alias("centre"))
+    done = _Growing(front)
+    for r in range(1, int(top) + 1):
+        reach = both.join(front.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("centre").alias("centre"))
+        own = start.where(F.col("at") == r).select("id", F.col("id").alias("centre")).join(reach.select("id"), "id", "left_anti")
+        front = done.add(reach.unionByName(own).join(done.rows().select("id"), "id", "left_anti"))
+        done.settle()
+    return done.rows()
 
 
 def set_cover(members: DataFrame) -> DataFrame:
