@@ -352,16 +352,16 @@ def write_sequence(seq: DataFrame, path: str, name: str = "sequenceInt") -> None
     write_lines(seq, F.col("x").cast("string"), ["idx"], path, [name])
 
 
-def write_points(points: DataFrame, path: str, dims: int = 2) -> None:
-    """A point file of (idx, x, y[, z])."""
-    write_lines(points, F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"[:dims]]), ["idx"], path, [f"pbbs_sequencePoint{dims}d"])
+def write_points(points: DataFrame, path: str, dims: int = 2, head: str = "sequencePoint2d") -> None:
+    """A point file of (idx, x, y[, z]) under the header line that its readers want."""
+    write_lines(points, F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"[:dims]]), ["idx"], path, [head])
 
 
-def write_triangles(points: DataFrame, triangles: DataFrame, path: str) -> None:
-    """A triangle file of points (idx, x, y) and triangles (idx, a, b, c from 0)."""
+def write_triangles(points: DataFrame, triangles: DataFrame, path: str, head: str = "triangles") -> None:
+    """A triangle file of points (idx, x, y) and triangles (idx, a, b, c from 0) under the header line that its readers want."""
     body = points.select(F.lit(0).alias("s"), "idx", F.concat_ws(" ", F.col("x").cast("string"), F.col("y").cast("string")).alias("v"))
     body = body.unionByName(triangles.select(F.lit(1).alias("s"), "idx", F.concat_ws(" ", *[(F.col(c) + 1).cast("string") for c in "abc"]).alias("v")))
-    write_lines(body, F.col("v"), ["s", "idx"], path, ["pbbs_triangles", str(points.count()), str(triangles.count())])
+    write_lines(body, F.col("v"), ["s", "idx"], path, [head, str(points.count()), str(triangles.count())])
 
 
 def write_svmlight(pairs: DataFrame, path: str) -> None:
@@ -492,7 +492,7 @@ register("round_trip_communities", f"select v, dense_rank() over (order by h) -
 register("clique_expansion", f"select distinct a.v as src, b.v as dst from {_MEM} a join {_MEM} b on a.h = b.h where a.v <> b.v")(_through(lambda s, d, p: write_konect(_members(s, d), p), lambda s, p: clique_expansion(read_konect(s, p))))
 register("community_cliques", f"select distinct a.v as src, b.v as dst from {_MEM} a join {_MEM} b on a.h = b.h where a.v <> b.v")(_through(lambda s, d, p: write_communities(_members(s, d), p), lambda s, p: clique_expansion(read_communities(s, p))))
 register("round_trip_sequence", "select o_orderkey as idx, cast(floor(o_totalprice) as bigint) as x from orders")(_through(lambda s, d, p: write_sequence(_orders(s, d), p), lambda s, p: read_sequence(s, p, "long")))
-register("round_trip_points", "select p_partkey as idx, cast(p_size as double) as x, p_retailprice as y, p_partkey * 0.5e0 as z from part")(_through(lambda s, d, p: write_points(_points(s, d), p, 3), read_points))
+register("round_trip_points", "select p_partkey as idx, cast(p_size as double) as x, p_retailprice as y, p_partkey * 0.5e0 as z from part")(_through(lambda s, d, p: write_points(_points(s, d), p, 3, "sequencePoint3d"), read_points))
 register("round_trip_triangles", "select p_partkey as idx, p_partkey as a, p_partkey as b, p_partkey as c from part")(_through(_triangle_rows, lambda s, p: read_triangles(s, p)[1]))
 register("round_trip_svmlight", "select dense_rank() over (order by o) - 1 as row, cast(o % 2 as double) as label, feature, value from (select l_orderkey as o, l_partkey as feature, sum(l_quantity) as value from lineitem group by 1, 2)")(_through(_svm, read_svmlight))
 

@@ -154,7 +154,7 @@ def test_files_in_many_splits(spark, tmp_path):
     hyper = ["AdjacencyHypergraph", 3, 4, 2, 4, 0, 2, 3, 0, 1, 1, 0, 0, 2, 0, 2, 0, 1]
     (tmp_path / "h").write_text("\n".join(map(str, hyper)))
     (tmp_path / "s").write_text("sequenceInt\n" + "".join(f"{i * i}\n" for i in range(500)))
-    (tmp_path / "t").write_text("pbbs_triangles\n3\n1\n0 0\n1 0\n0 1\n1 2 3\n")
+    (tmp_path / "t").write_text("triangles\n3\n1\n0 0\n1 0\n0 1\n1 2 3\n")
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
