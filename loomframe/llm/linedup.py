@@ -32,8 +32,19 @@ _TRIM = "\t\n\x0b\x0c\r "
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Characters beyond ASCII that have a lower case: upper-case and title-case letters, letter numbers, other symbols.
+_OTHER_UPPER = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^\x00-\x7F]]"
+
+
 def line_key(line: Column) -> Column:
-    return F.translate(F.trim(line, F.lit(_TRIM)), _UPPER, _LOWER)
+    """The line, stripped and with A-Z lower-cased.
+
+    Where no other character has a lower case, that is what ``lower`` gives; ``translate``
+    takes several times as long and makes an object of every character.
+    """
+    bare = F.trim(line, F.lit(_TRIM))
+    plain = (F.octet_length(bare) == F.char_length(bare)) | ~F.rlike(bare, F.lit(_OTHER_UPPER))
+    return F.when(plain, F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
 
 
 def split_lines(text: Column) -> Column:

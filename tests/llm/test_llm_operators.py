@@ -283,6 +283,14 @@ def test_line_dedup(spark, monkeypatch, share, id_bits):
     assert {"key", "line", "token", "node", "n"} <= set(got.columns)
 
 
+def test_line_keys_fold_ascii_only(spark):
+    rng = random.Random(4)
+    chars = [chr(c) for c in (*range(9, 14), *range(0x20, 0x7F), *range(0xA0, 0x250), *range(0x370, 0x3D0), 0x130, 0x131, 0x1C5, 0x2126, 0x212A, *range(0x2160, 0x2190), *range(0x24B6, 0x24EA), 0x10400, 0x10428, 0x1F130, 0x3A3, 0x3C2, 0xFF21, 0xFF41, 0x6F22)]
+    rows = [(i, "".join(rng.choice(chars if i % 3 else "aB cD\t") for _ in range(rng.randrange(12)))) for i in range(3000)] + [(9000 + i, "A" + c + "z") for i, c in enumerate(chars)]
+    got = spark.createDataFrame(rows, "i long, line string").select("line", linedup.line_key(F.col("line")).alias("key")).collect()
+    assert all(r.key == fold(r.line.strip(" \t\n\x0b\x0c\r")) for r in got)
+
+
 def test_line_dedup_odd_rows(spark):
     assert linedup.dedup_lines(empty(spark)).count() == 0
     rows = [(None, "same long line here", *[None] * 6), (1, "same long line here\nx", *[None] * 6), (1, "same long line here\nx", *[None] * 6)]
