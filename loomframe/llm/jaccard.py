@@ -40,7 +40,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialise, text_of
@@ -364,13 +364,13 @@ def _recounted(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     order is. So a shingle that the table of fixed size let pass for a rare one moves
     back, and only sets that are mostly made of frequent shingles still meet under such.
     """
-    own = nodes.withColumnRenamed("n", "size")
-    sets = materialise(_sets_of(texts, nodes.select("node").distinct(), k).join(own, "node").where(F.size("tokens") == F.col("size")), "sets")
-    rows = sets.select("node", F.col("size").alias("n"), "component", F.explode("tokens").alias("token"))
+    own = nodes.select("node", F.col("n").alias("size"))
+    sets = _sets_of(texts, nodes.select("node").distinct(), k).join(own, "node").where(F.size("tokens") == F.col("size"))
+    rows = materialise(sets.select("node", F.col("size").alias("n"), F.explode("tokens").alias("token")), "shingles")
     counted = rows.join(rows.groupBy("token").agg(F.count("*").alias("c")), "token")
-    first = F.expr(f"int(n - ({percent} * n + 99) div 100 + 1)")
-    ordered = counted.groupBy("node", "n", "component").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("all")).withColumn("prefix", F.slice("all", F.lit(1), first))
-    return ordered.select(F.posexplode("prefix").alias("place", "t"), "node", "n", "component").select("t.token", "node", "place", "n", "component")
+    place = F.row_number().over(Window.partitionBy("node", "n").orderBy("c", "token")) - 1
+    placed = counted.withColumn("place", place).where(F.expr(f"place <= n - ({percent} * n + 99) div 100"))
+    return placed.select("token", "node", "place", "n").join(nodes.select("node", "component"), "node").select("token", "node", "place", "n", "component")
 
 
 def _met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
